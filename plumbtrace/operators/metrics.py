@@ -167,7 +167,7 @@ def bootstrap_average_precision(df: DataFrame, positive: Column, score: str, see
     """
     groups = groups or []
     counts = score_counts(df, groups, positive, score)
-    bucketed = with_bucket(counts, "score", boundaries(counts, "score", buckets)).repartition(buckets, "_bucket")
+    bucketed = with_bucket(counts, "score", boundaries(counts, "score", buckets)).repartition("_bucket")
     # replicate -1 carries the unweighted counts
     drawn = bucketed.withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
     weight = lambda c: F.when(F.col("replicate") < 0, F.col(c)).otherwise(

@@ -115,7 +115,7 @@ def win_tie_loss(pairs: DataFrame, groups: list[str], difference: str) -> DataFr
 def distribution(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Counts row x column with a total per row and a row of totals."""
     counts = df.select(F.explode(F.array(F.col(row).cast("string"), F.lit("total"))).alias(row), column)
-    wide = counts.groupBy(row).pivot(column, values).agg(F.count("*"))
+    wide = counts.groupBy(row).pivot(column, values).agg(F.count(F.lit(1)))
     filled = wide.select(row, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(v) for v in values])
     return filled.withColumn("total", sum((F.col(f"`{v}`") for v in values[1:]), F.col(f"`{values[0]}`")))
 
