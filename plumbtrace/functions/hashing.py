@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 TWO_32 = 4294967296.0
 
 
@@ -29,11 +31,13 @@ def hash_uniform(seed, *keys) -> Column:
 
 def hash_normal(seed, *keys) -> Column:
     """Standard normal draw (Box-Muller on two halves of one digest)."""
-    digest = _key(seed, *keys)
-    first = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
-    second = F.conv(F.substring(digest, 9, 8), 16, 10).cast("double")
-    radius = F.sqrt(-2.0 * F.log((first + 1.0) / TWO_32))
-    return radius * F.cos(2.0 * math.pi * second / TWO_32)
+
+    def box_muller(digest: Column) -> Column:
+        first = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
+        second = F.conv(F.substring(digest, 9, 8), 16, 10).cast("double")
+        return F.sqrt(-2.0 * F.log((first + 1.0) / TWO_32)) * F.cos(2.0 * math.pi * second / TWO_32)
+
+    return let(_key(seed, *keys), box_muller)
 
 
 def hash_order(seed, *keys) -> Column:

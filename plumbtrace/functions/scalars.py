@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 
 def rounded(c: Column, digits: int = 6) -> Column:
     """Round for reporting; the added zero turns a negative zero into zero."""
@@ -67,14 +69,19 @@ def logistic(x: Column) -> Column:
 
 def normalise_probability(p: Column, classes: int = 2) -> Column:
     """One score becomes [1-p, p]; otherwise pad with zeros or cut to `classes`."""
-    pair = F.array(1.0 - F.element_at(p, 1), F.element_at(p, 1))
-    padded = F.concat(p, F.array_repeat(F.lit(0.0), F.greatest(F.lit(classes) - F.size(p), F.lit(0))))
-    return F.when(F.size(p) == 1, pair).otherwise(F.slice(padded, 1, classes))
+
+    def shaped(a: Column) -> Column:
+        missing = F.greatest(F.lit(classes) - F.size(a), F.lit(0))
+        padded = F.concat(a, F.array_repeat(F.lit(0.0), missing))
+        pair = F.array(1.0 - F.element_at(a, 1), F.element_at(a, 1))
+        return F.when(F.size(a) == 1, pair).otherwise(F.slice(padded, 1, classes))
+
+    return let(p, shaped)
 
 
 def argmax(p: Column) -> Column:
     """Zero-based position of the first maximum."""
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    return let(p, lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int"))
 
 
 def array_sum(a: Column) -> Column:
@@ -82,7 +89,7 @@ def array_sum(a: Column) -> Column:
 
 
 def array_mean(a: Column) -> Column:
-    return array_sum(a) / F.size(a)
+    return let(a, lambda v: array_sum(v) / F.size(v))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -95,38 +102,49 @@ def array_std_pop(a: Column) -> Column:
 
 
 def array_variance_pop(a: Column) -> Column:
-    mean = array_mean(a)
-    return array_mean(F.transform(a, lambda v: (v - mean) * (v - mean)))
+    return let(a, lambda v: let(array_mean(v), lambda m: array_mean(F.transform(v, lambda x: (x - m) * (x - m)))))
 
 
 def array_pearson(a: Column, b: Column) -> Column:
     """Pearson correlation of two arrays; zero when either side is constant."""
-    ma, mb = array_mean(a), array_mean(b)
-    cov = array_sum(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    va = array_sum(F.transform(a, lambda x: (x - ma) * (x - ma)))
-    vb = array_sum(F.transform(b, lambda y: (y - mb) * (y - mb)))
-    return F.when((va > 1e-24) & (vb > 1e-24), cov / F.sqrt(va * vb)).otherwise(F.lit(0.0))
+    centred = lambda c: let(c, lambda v: let(array_mean(v), lambda m: F.transform(v, lambda x: x - m)))
+
+    def correlation(z: Column) -> Column:
+        product = array_sum(F.zip_with(z["a"], z["b"], lambda x, y: x * y))
+        va = array_sum(F.transform(z["a"], lambda x: x * x))
+        vb = array_sum(F.transform(z["b"], lambda y: y * y))
+        return let(F.struct(product.alias("p"), va.alias("va"), vb.alias("vb")), lambda s: F.when(
+            (s["va"] > 1e-24) & (s["vb"] > 1e-24), s["p"] / F.sqrt(s["va"] * s["vb"])).otherwise(F.lit(0.0)))
+
+    return let(F.struct(centred(a).alias("a"), centred(b).alias("b")), correlation)
 
 
 def trapezoid(a: Column) -> Column:
     """Area under evenly spaced points on [0, 1]."""
-    n = F.size(a)
-    ends = (F.element_at(a, 1) + F.element_at(a, -1)) / 2.0
-    return (array_sum(a) - ends) / (n - 1)
+
+    def area(v: Column) -> Column:
+        ends = (F.element_at(v, 1) + F.element_at(v, -1)) / 2.0
+        return (array_sum(v) - ends) / (F.size(v) - 1)
+
+    return let(a, area)
 
 
 def normalised_area(a: Column) -> Column:
     """Min-max scale, then trapezoid. A flat curve gives 0.5, fewer than two points 0."""
-    lo, hi = F.array_min(a), F.array_max(a)
-    flat = (hi - lo) <= (F.lit(1e-8) + F.lit(1e-5) * F.abs(lo))
-    return (
-        F.when(F.size(a) < 2, F.lit(0.0))
-        .when(flat, F.lit(0.5))
-        .otherwise((trapezoid(a) - lo) / (hi - lo))
-    )
+
+    def scaled(v: Column) -> Column:
+        lo, hi = F.array_min(v), F.array_max(v)
+        flat = (hi - lo) <= (F.lit(1e-8) + F.lit(1e-5) * F.abs(lo))
+        return (
+            F.when(F.size(v) < 2, F.lit(0.0))
+            .when(flat, F.lit(0.5))
+            .otherwise((trapezoid(v) - lo) / (hi - lo))
+        )
+
+    return let(a, scaled)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two sets; two empty sets count as no overlap."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: ratio(
+        F.size(F.array_intersect(s["a"], s["b"])), F.size(F.array_union(s["a"], s["b"]))))

@@ -208,13 +208,13 @@ def category():
 
 
 @query("e20_category_means", f"""WITH {JUDGE}, src AS (SELECT {CATEGORY} AS category, engine, metric, score::DOUBLE AS v FROM long WHERE NOT (engine = 'none' AND metric IN ('faithfulness', 'context_utilization_score'))),
-{bootstrap_sql('src', ['category', 'engine', 'metric'], 42)} SELECT category, engine, metric, n, round(mean, 3) AS mean, round(low, 3) AS low, round(high, 3) AS high FROM bs""")
+{bootstrap_sql('src', ['category', 'engine', 'metric'], 42)} SELECT category, engine, metric, n, round(mean, 3) AS mean, round(low, 3) + 0.0 AS low, round(high, 3) + 0.0 AS high FROM bs""")
 def e20(spark, d):
     return rnd(evaluation.category_means(long(spark, d), category(), "engine", 42, BOOT), "mean", "low", "high", digits=3)
 
 
 @query("e20b_category_differences", f"""WITH {DIFFS}, src AS (SELECT {CATEGORY} AS category, comparison, metric, difference AS v FROM diffs),
-{bootstrap_sql('src', ['category', 'comparison', 'metric'], 42)} SELECT category, comparison, metric, n, round(mean, 3) AS mean, round(low, 3) AS low, round(high, 3) AS high FROM bs""")
+{bootstrap_sql('src', ['category', 'comparison', 'metric'], 42)} SELECT category, comparison, metric, n, round(mean, 3) AS mean, round(low, 3) + 0.0 AS low, round(high, 3) + 0.0 AS high FROM bs""")
 def e20b(spark, d):
     return rnd(evaluation.category_differences(diffs(spark, d), category(), 42, BOOT), "mean", "low", "high", digits=3)
 
@@ -261,9 +261,9 @@ def e25(spark, d):
 
 
 @query("e25b_judge_completeness", f"""WITH {JUDGE}, q AS (SELECT DISTINCT user_id FROM raw) SELECT q.user_id, e.engine FROM q, (VALUES ('none'), ('bm25'), ('vector')) e(engine)
-WHERE NOT EXISTS (SELECT 1 FROM raw r WHERE r.user_id = q.user_id AND r.engine = e.engine AND r.value > 20)""")
+WHERE NOT EXISTS (SELECT 1 FROM raw r WHERE r.user_id = q.user_id AND r.engine = e.engine AND r.value > 90)""")
 def e25b(spark, d):
-    kept = raw_judgements(spark, d).filter("value > 20")
+    kept = raw_judgements(spark, d).filter("value > 90")
     asked_ids = Tables(spark, d).events.select("user_id").distinct()
     return evaluation.missing_pairs(asked_ids, kept, "user_id", "engine", ENGINES)
 
