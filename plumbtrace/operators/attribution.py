@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbtrace.functions.binding import bind, let
-from plumbtrace.functions.hashing import hash_u32, hash_uniform
+from plumbtrace.functions.hashing import hash_u32
 from plumbtrace.functions.scalars import argmax, array_mean
 from .scoring import LinearScorer, Scorer, score_variants
 
@@ -102,27 +102,32 @@ class ShapleyExplainer:
 KERNEL_FACTOR, RIDGE = 0.75, 1.0
 
 
-def _solve(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weighted ridge with an unpenalised intercept; one small system per row."""
-    total = w.sum()
-    zm, ym = (w[:, None] * z).sum(0) / total, (w * y).sum() / total
-    zc, yc = z - zm, y - ym
-    a = (zc * w[:, None]).T @ zc + RIDGE * np.eye(z.shape[1])
-    return np.linalg.solve(a, (zc * w[:, None]).T @ yc)
+def solve_ridge(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weighted ridge with an unpenalised intercept, one small system per row.
 
-
-def fit_surrogates(d: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def fit(z: pd.Series, y: pd.Series) -> pd.Series:
-        width = KERNEL_FACTOR * math.sqrt(d)
-        out = []
-        for flat, target in zip(z, y):
-            zz = np.asarray(flat, dtype="float64").reshape(-1, d)
-            distance2 = (1.0 - zz).sum(1)
-            out.append(_solve(zz, np.asarray(target, dtype="float64"), np.sqrt(np.exp(-distance2 / width ** 2))))
-        return pd.Series(out)
-
-    return fit
+    z is rows x samples x features, y rows x samples; samples far from the row (many
+    features in another bin) weigh little.
+    """
+    d = z.shape[2]
+    width = KERNEL_FACTOR * math.sqrt(d)
+    w = np.sqrt(np.exp(-(d - z.sum(2)) / width ** 2))
+    total = w.sum(1)
+    zc = z - (np.einsum("ns,nsd->nd", w, z) / total[:, None])[:, None, :]
+    yc = y - ((w * y).sum(1) / total)[:, None]
+    zw = zc * w[:, :, None]
+    a = np.einsum("nsd,nse->nde", zw, zc) + RIDGE * np.eye(d)
+    return np.linalg.solve(a, np.einsum("nsd,ns->nd", zw, yc)[:, :, None])[:, :, 0]
+
+
+def uniform_grid(row_hash: np.ndarray, first: int, shape: tuple[int, int]) -> np.ndarray:
+    """Uniform numbers per (row, sample, feature) from a 64-bit row hash (splitmix64)."""
+    with np.errstate(over="ignore"):
+        step = np.arange(first, first + shape[0] * shape[1], dtype="uint64").reshape(shape)
+        v = row_hash.astype("uint64")[:, None, None] + (step[None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        v = v ^ (v >> np.uint64(31))
+    return (v >> np.uint64(11)).astype("float64") / 9007199254740992.0
 
 
 class SurrogateExplainer:
@@ -145,34 +150,58 @@ class SurrogateExplainer:
     def _table(self) -> Column:
         return F.array(*[literal_array(e) for e in self.edges])
 
-    def _bin(self, value: Column, edge: Column) -> Column:
-        return (value > edge[1]).cast("int") + (value > edge[2]).cast("int") + (value > edge[3]).cast("int")
+    def _draw(self, x: np.ndarray, row_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Altered rows and their same-bin indicators; sample 0 is the row itself."""
+        edges, (n, d) = np.asarray(self.edges, dtype="float64"), x.shape
+        own = (x[:, :, None] > edges[None, :, 1:4]).sum(2)
+        grid = (self.samples, d)
+        bins = np.floor(uniform_grid(row_hash, 0, grid) * 4).astype("int64")
+        u = uniform_grid(row_hash, self.samples * d, grid)
+        feature = np.arange(d)[None, None, :]
+        low, high = edges[feature, bins], edges[feature, bins + 1]
+        values, z = low + u * (high - low), (bins == own[:, None, :]).astype("float64")
+        values[:, 0, :], z[:, 0, :] = x, 1.0
+        return values, z
 
     def explain(self, df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
-        d = len(self.names)
-        own = bind(df, _edges=self._table(), _bins=F.zip_with(F.col(x), self._table(), lambda v, e: self._bin(v, e)))
-        drawn_bin = lambda s, i: F.floor(hash_uniform(self.seed, *keys, s, i, F.lit("bin")) * 4).cast("int")
-
-        def variant(s: Column) -> Column:
-            def value(v: Column, i: Column) -> Column:
-                edge, u = F.element_at("_edges", i + 1), hash_uniform(self.seed, *keys, s, i, F.lit("value"))
-                inside = let(drawn_bin(s, i), lambda b: F.element_at(edge, b + 1)
-                             + u * (F.element_at(edge, b + 2) - F.element_at(edge, b + 1)))
-                return F.when(s == 0, v).otherwise(inside)
-            return F.transform(F.col(x), value)
-
-        z = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(self.samples - 1)), lambda s: F.transform(
-            F.col("_bins"), lambda b, i: F.when((s == 0) | (drawn_bin(s, i) == b), 1).otherwise(0).cast("tinyint"))))
-        scored = score_variants(own, keys, self.scorer, self.samples, variant, "_scores")
-        if self.target == "predicted":
-            scored = bind(scored, _target=argmax(F.element_at("_scores", 1)))
-            y = F.transform("_scores", lambda p: F.element_at(p, F.col("_target") + 1))
-        else:
-            scored = scored.withColumn("_target", F.lit(int(self.target)))
-            y = F.transform("_scores", lambda p: p[int(self.target)])
-        # nondeterministic: later projections must not pull the Python call into themselves
-        fitted = bind(scored, _z=z, _y=y).withColumn(out, fit_surrogates(d).asNondeterministic()(F.col("_z"), F.col("_y")))
-        return fitted.drop("_z", "_y", "_edges", "_bins", "_scores", "_target")
+        """Draw, score and solve in Arrow batches; a model that has to score as a
+        distributed transform sees the altered rows exploded instead."""
+        hashed = df.withColumn("_h", F.xxhash64(F.lit(str(self.seed)), *keys))
+        rows_at_once = max(1, 4_000_000 // (self.samples * len(self.names)))
+        probe = self.scorer.batch(np.zeros((1, len(self.names))))
+        if probe is not None:
+            def solve(values: pd.Series, hashes: pd.Series) -> pd.Series:
+                parts, matrix, h = [], np.stack(values.to_numpy()).astype("float64"), hashes.to_numpy()
+                for i in range(0, len(h), rows_at_once):
+                    altered, z = self._draw(matrix[i:i + rows_at_once], h[i:i + rows_at_once])
+                    parts.append(solve_ridge(z, self._pick(self.scorer.batch(altered))))
+                return pd.Series(list(np.concatenate(parts)))
+
+            call = F.pandas_udf(solve, T.ArrayType(T.DoubleType())).asNondeterministic()
+            return hashed.withColumn(out, call(F.col(x), F.col("_h"))).drop("_h")
+
+        def altered_rows(values: pd.Series, hashes: pd.Series) -> pd.Series:
+            return pd.Series([list(self._draw(np.asarray(v, dtype="float64")[None], np.asarray([h]))[0][0]) for v, h in zip(values, hashes)])
+
+        def solve_scored(values: pd.Series, hashes: pd.Series, scores: pd.Series) -> pd.Series:
+            parts = []
+            for v, h, p in zip(values, hashes, scores):
+                z = self._draw(np.asarray(v, dtype="float64")[None], np.asarray([h]))[1]
+                parts.append(solve_ridge(z, self._pick(np.stack(p)[None]))[0])
+            return pd.Series(parts)
+
+        draw = F.pandas_udf(altered_rows, T.ArrayType(T.ArrayType(T.DoubleType()))).asNondeterministic()
+        solve = F.pandas_udf(solve_scored, T.ArrayType(T.DoubleType())).asNondeterministic()
+        drawn = hashed.withColumn("_altered", draw(F.col(x), F.col("_h")))
+        scored = score_variants(drawn, keys, self.scorer, self.samples, lambda i: F.element_at("_altered", (i + 1).cast("int")), "_scores")
+        return scored.withColumn(out, solve(F.col(x), F.col("_h"), F.col("_scores"))).drop("_h", "_altered", "_scores")
+
+    def _pick(self, p: np.ndarray) -> np.ndarray:
+        """rows x samples x classes -> rows x samples of the explained class."""
+        if self.target != "predicted":
+            return p[:, :, int(self.target)]
+        chosen = p[:, 0, :].argmax(1)
+        return np.take_along_axis(p, chosen[:, None, None], axis=2)[:, :, 0]
 
     def rules(self, x: Column) -> Column:
         """Text of each feature's bin: `a <= q1`, `q1 < a <= q2`, `a > q3`."""

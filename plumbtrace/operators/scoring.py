@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,6 +24,9 @@ class Scorer(Protocol):
     def expression(self, features: Column) -> Column | None:
         """Probability array as a column, or None when only `score` works."""
 
+    def batch(self, features: np.ndarray) -> np.ndarray | None:
+        """Probabilities of a matrix inside a task, where the model is small enough for that."""
+
     def score(self, df: DataFrame, features: str, out: str) -> DataFrame:
         """Add the probability array of a features column."""
 
@@ -49,6 +53,11 @@ class LinearScorer(_ExpressionScorer):
         p = m if self.link == "identity" else logistic(m)
         return let(p, lambda v: F.array(1.0 - v, v))
 
+    def batch(self, features: np.ndarray) -> np.ndarray:
+        m = features @ np.asarray(self.weights) + self.bias
+        p = m if self.link == "identity" else 1.0 / (1.0 + np.exp(-m))
+        return np.stack([1.0 - p, p], axis=-1)
+
 
 class SoftmaxScorer(_ExpressionScorer):
     """k classes: softmax of one linear margin per class."""
@@ -63,6 +72,11 @@ class SoftmaxScorer(_ExpressionScorer):
         shifted = let(margins, lambda m: let(F.array_max(m), lambda top: F.transform(m, lambda v: F.exp(v - top))))
         return let(shifted, normalised)
 
+    def batch(self, features: np.ndarray) -> np.ndarray:
+        m = features @ np.asarray(self.weights, dtype="float64").T + np.asarray(self.biases, dtype="float64")
+        e = np.exp(m - m.max(axis=-1, keepdims=True))
+        return e / e.sum(axis=-1, keepdims=True)
+
 
 def normalised(a: Column) -> Column:
     """An array divided by its sum; `a` must be bound."""
@@ -79,6 +93,9 @@ class ModelScorer:
     def expression(self, features: Column) -> None:
         return None
 
+    def batch(self, features: np.ndarray) -> None:
+        return None
+
     def score(self, df: DataFrame, features: str, out: str) -> DataFrame:
         given = df.withColumn(self.features_col, array_to_vector(F.col(features)))
         scored = self.model.transform(given)
@@ -92,6 +109,16 @@ class ModelScorer:
         return scored.withColumn(out, p).drop(*extra, self.features_col)
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Use all cores when the input has fewer splits than there are cores.
+
+    Scoring many altered copies is bound by processors, so a small file that arrives
+    as one split is spread by key. A large input has more splits and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def score_variants(df: DataFrame, keys: list[str], scorer: Scorer, count: Column | int,
                    variant: Callable[[Column], Column], out: str, partitions: int | None = None) -> DataFrame:
     """Add `out`: probability arrays of `count` altered feature arrays per row.

@@ -38,8 +38,8 @@ class Setup:
         scale = [round(stats[c][1], 6) for c in COLUMNS]
         key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
         x = F.array(*[(F.col(c) / F.lit(s)).cast("double") for c, s in zip(COLUMNS, scale)])
-        self.rows = t.lineitem.select(key.alias("row_id"), "l_returnflag", "l_linestatus", x.alias("x"))
         self.keys = ["row_id"]
+        self.rows = scoring.spread(t.lineitem.select(key.alias("row_id"), "l_returnflag", "l_linestatus", x.alias("x")), self.keys)
         self.baseline = [round(b, 6) for b in attribution.baseline_means(self.rows, "x", D)]
         self.linear = scoring.LinearScorer(W, round(0.5 - sum(w * b for w, b in zip(W, self.baseline)), 6))
         self.logistic = scoring.LinearScorer(WL, 0.25 - sum(w * b for w, b in zip(WL, self.baseline)), "logistic")
@@ -310,7 +310,7 @@ def normal_sql(*keys):
 
 
 NOISE = f"""sd AS (SELECT row_id, stddev_pop(x) AS sd FROM long GROUP BY row_id),
-lv AS (SELECT row_id, dr, sd * [0.05, 0.1, 0.2]::DOUBLE[][({h('42', 'row_id', 'dr', "'level'")} % 3 + 1)::INTEGER] AS scale FROM sd, range({DRAWS}) t(dr)),
+lv AS (SELECT row_id, dr, sd * ([0.05, 0.1, 0.2]::DOUBLE[])[({h('42', 'row_id', 'dr', "'level'")} % 3 + 1)::INTEGER] AS scale FROM sd, range({DRAWS}) t(dr)),
 nz AS (SELECT row_id, dr, i, x + scale * {normal_sql('row_id', 'dr', 'i')} AS xp, w * (x + scale * {normal_sql('row_id', 'dr', 'i')} - b) AS phip, phi FROM ph JOIN lv USING (row_id)),
 nk AS (SELECT *, row_number() OVER (PARTITION BY row_id, dr ORDER BY abs(phip) DESC, i) AS rp FROM nz),
 jc AS (SELECT row_id, dr, count(*) FILTER (rp <= {K} AND r <= {K}) AS both_ FROM nk JOIN (SELECT row_id, i, r FROM rk) USING (row_id, i) GROUP BY ALL),
