@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = (
-    "sources", "cleaning", "audit", "metrics", "ranking", "retrieval", "statistics", "explanations",
+    "sources", "cleaning", "audit", "metrics", "ranking", "retrieval", "statistics", "explanations", "documents", "training",
 )
 
 
