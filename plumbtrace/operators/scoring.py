@@ -106,7 +106,7 @@ class ModelScorer:
             # one-vs-rest ensembles report margins: squash each and normalise
             raw = F.transform(vector_to_array(F.col("rawPrediction")), lambda v: logistic(2.0 * v))
             p = let(raw, normalised)
-        return scored.withColumn(out, p).drop(*extra, self.features_col)
+        return scored.select(*[c for c in df.columns if c != out], p.alias(out))
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
