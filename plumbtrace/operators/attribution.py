@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbtrace.functions.binding import bind, let
-from plumbtrace.functions.hashing import hash_u32
+from plumbtrace.functions.counters import counter_u32, row_word
 from plumbtrace.functions.scalars import argmax, array_mean
+from . import kernels
 from .scoring import LinearScorer, Scorer, score_variants
 
 
@@ -40,6 +41,10 @@ class LinearExplainer:
         if scorer.link != "identity":
             raise ValueError("the closed form needs an identity link")
         self.scorer, self.baseline = scorer, baseline
+        self.batched = True
+
+    def batch(self, x: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return np.asarray(self.scorer.weights) * (x - np.asarray(self.baseline))
 
     def expression(self, x: Column) -> Column:
         pairs = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(self.scorer.weights, self.baseline)])
@@ -60,18 +65,19 @@ class ShapleyExplainer:
     def __init__(self, scorer: Scorer, baseline: list[float], seed=42, permutations: int = 8, target: int = 1):
         self.scorer, self.baseline, self.seed = scorer, baseline, seed
         self.permutations, self.target = permutations, target
+        self.batched = scorer.batch(np.zeros((1, len(baseline)))) is not None
 
-    def expression(self, x: Column) -> None:
-        return None
+    def batch(self, x: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return kernels.shapley(self.scorer.batch, x, np.asarray(self.baseline), words, self.permutations, self.target)
 
-    def _ranks(self, keys: list[str]) -> Column:
-        """Per permutation, the one-based step of each feature."""
+    def _ranks(self) -> Column:
+        """Per permutation, the one-based step of each feature; `_w` is the row's random word."""
         d = len(self.baseline)
 
         def walk(m: Column) -> Column:
             marks = F.array_sort(F.transform(
                 F.sequence(F.lit(0), F.lit(d - 1)),
-                lambda i: F.struct(hash_u32(self.seed, *keys, F.floor(m / 2), i).alias("h"), i.alias("i"))))
+                lambda i: F.struct(counter_u32(F.col("_w"), F.floor(m / 2) * d + i).alias("h"), i.alias("i"))))
             order = F.transform(marks, lambda s: s["i"])
             step = let(order, lambda o: F.transform(
                 F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.array_position(o, i).cast("int")))
@@ -81,7 +87,16 @@ class ShapleyExplainer:
 
     def explain(self, df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
         d, base = len(self.baseline), literal_array(self.baseline)
-        ranked = bind(df, _ranks=self._ranks(keys))
+        word = row_word(self.seed, *keys)
+        if self.batched:
+            def solve(values: pd.Series, words: pd.Series) -> pd.Series:
+                features, w = np.stack(values.to_numpy()).astype("float64"), words.to_numpy()
+                parts = [self.batch(features[i:i + 2000], w[i:i + 2000]) for i in range(0, len(w), 2000)]
+                return pd.Series(list(np.concatenate(parts)))
+
+            call = F.pandas_udf(solve, T.ArrayType(T.DoubleType())).asNondeterministic()
+            return df.withColumn(out, call(F.col(x), word))
+        ranked = bind(bind(df, _w=word), _ranks=self._ranks())
 
         def variant(v: Column) -> Column:
             walk = F.element_at("_ranks", (F.floor(v / (d + 1)) + 1).cast("int"))
@@ -95,7 +110,7 @@ class ShapleyExplainer:
         phi = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.aggregate(
             F.transform("_ranks", lambda r, m: at(m, r[i]) - at(m, r[i] - 1)),
             F.lit(0.0), lambda s, v: s + v, lambda s: s / float(self.permutations)))
-        return bind(bind(scored, _flat=flat), **{out: phi}).drop("_ranks", "_scores", "_flat")
+        return bind(bind(scored, _flat=flat), **{out: phi}).drop("_w", "_ranks", "_scores", "_flat")
 
 
 # Defaults of the tabular surrogate.
@@ -143,9 +158,7 @@ class SurrogateExplainer:
         """`edges` holds five numbers per feature: minimum, quartiles, maximum."""
         self.scorer, self.edges, self.names = scorer, edges, names
         self.seed, self.samples, self.target = seed, samples, target
-
-    def expression(self, x: Column) -> None:
-        return None
+        self.batched = False
 
     def _table(self) -> Column:
         return F.array(*[literal_array(e) for e in self.edges])

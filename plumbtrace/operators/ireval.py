@@ -40,6 +40,13 @@ def ndcg_at(relevant: Column, total: Column, k: int) -> Column:
     return F.when(total > 0, array_sum(gains) / ideal).otherwise(F.lit(0.0))
 
 
+def relevance_join(runs: DataFrame, qrels: DataFrame, query: str, engine: str, ids: str, item: str) -> DataFrame:
+    """One row per retrieved item with its rank and whether it is marked relevant."""
+    marks = qrels.filter(F.col(item).isNotNull()).select(query, item).distinct().withColumn("_hit", F.lit(True))
+    rows = runs.select(query, engine, F.posexplode(ids).alias("_pos", item)).join(marks, [query, item], "left")
+    return rows.select(query, engine, (F.col("_pos") + 1).alias("rank"), item, F.coalesce("_hit", F.lit(False)).alias("relevant"))
+
+
 def judged_runs(runs: DataFrame, qrels: DataFrame, query: str, engine: str, ids: str, item: str) -> DataFrame:
     """Add `relevant` (true/false by rank) and `n_relevant` to each run.
 
@@ -48,10 +55,8 @@ def judged_runs(runs: DataFrame, qrels: DataFrame, query: str, engine: str, ids:
     """
     marks = qrels.filter(F.col(item).isNotNull()).select(query, item).distinct()
     totals = marks.groupBy(query).agg(F.count("*").cast("int").alias("n_relevant"))
-    found = runs.select(query, engine, F.posexplode(ids).alias("_pos", item)).join(
-        marks.withColumn("_hit", F.lit(True)), [query, item], "left")
-    flags = found.groupBy(query, engine).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_hit", F.lit(False)).alias("hit")))).alias("_f"))
+    found = relevance_join(runs, marks, query, engine, ids, item)
+    flags = found.groupBy(query, engine).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("relevant").alias("hit")))).alias("_f"))
     joined = runs.join(flags, [query, engine], "left").join(totals, query, "left")
     relevant = F.coalesce(F.transform("_f", lambda x: x["hit"]), F.array().cast("array<boolean>"))
     return joined.withColumn("relevant", relevant).withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0))).drop("_f")

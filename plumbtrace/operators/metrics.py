@@ -171,7 +171,7 @@ def bootstrap_average_precision(df: DataFrame, positive: Column, score: str, see
     # replicate -1 carries the unweighted counts
     drawn = bucketed.withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
     weight = lambda c: F.when(F.col("replicate") < 0, F.col(c)).otherwise(
-        poisson_count(F.col(c), seed, *groups, F.col("score"), F.col("replicate"), c)).cast("long")
+        poisson_count(F.col(c), seed, *groups, F.round(F.col("score") * 1000000000).cast("long"), F.col("replicate"), F.lit(c))).cast("long")
     drawn = drawn.select(*groups, "_bucket", "replicate", "score", weight("pos").alias("pos"), weight("neg").alias("neg"))
     keys = [*groups, "replicate"]
     totals = drawn.groupBy(*keys, "_bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))

@@ -7,13 +7,17 @@ scores are averaged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbtrace.functions.binding import bind, let
-from plumbtrace.functions.hashing import hash_normal, hash_u32, hash_uniform
+from plumbtrace.functions.counters import counter_normal, counter_u32, np_counter_u32, row_word
+from plumbtrace.functions.hashing import hash_u32, hash_uniform
 from plumbtrace.functions.scalars import (
     argmax, array_mean, array_pearson, array_std_pop, array_variance_pop, jaccard, logistic, normalised_area,
 )
+from . import kernels
 from .attribution import literal_array, rank_array, top_features
 from .scoring import Scorer, score_variants
 
@@ -45,6 +49,8 @@ def faithfulness(df: DataFrame, keys: list[str], x: str, phi: str, baseline: lis
     The target class is the predicted class of the untouched row. `ranking` replaces
     the row's own attributions by one global importance vector.
     """
+    if scorer.batch(np.zeros((1, len(baseline)))) is not None:
+        return _faithfulness_batches(df, x, phi, baseline, scorer, ranking)
     d = len(baseline)
     points = curve_points(d)
     s = len(points)
@@ -79,20 +85,63 @@ def faithfulness(df: DataFrame, keys: list[str], x: str, phi: str, baseline: lis
     return out.withColumn("faithfulness", score).drop("_imp", "_rank", "_p", "_t", "_drops")
 
 
-def perturbed(keys: list[str], x: Column, draw: Column, seed, levels=NOISE_LEVELS) -> Column:
-    """The row plus Gaussian noise of a drawn level times the spread of its own features."""
-    level = F.element_at(literal_array(levels), (hash_u32(seed, *keys, draw, F.lit("level")) % len(levels) + 1).cast("int"))
-    scale = level * array_std_pop(x)
-    return let(scale, lambda s: F.transform(x, lambda v, i: v + s * hash_normal(seed, *keys, draw, i)))
+FAITHFULNESS_TYPE = T.StructType([
+    T.StructField("target", T.IntegerType()), T.StructField("probability", T.ArrayType(T.DoubleType())),
+    T.StructField("deletion_curve", T.ArrayType(T.DoubleType())), T.StructField("insertion_curve", T.ArrayType(T.DoubleType())),
+    T.StructField("deletion_auc", T.DoubleType()), T.StructField("insertion_auc", T.DoubleType()),
+    T.StructField("ablation_correlation", T.DoubleType()), T.StructField("faithfulness", T.DoubleType()),
+])
+ROWS_AT_ONCE = 2_000
+
+
+def matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype("float64")
+
+
+def _faithfulness_batches(df: DataFrame, x: str, phi: str, baseline: list[float], scorer: Scorer, ranking: list[float] | None) -> DataFrame:
+    """The same measures for scorers that take a matrix: one Arrow pass, no shuffle."""
+    base, points = np.asarray(baseline), curve_points(len(baseline))
+
+    def measure(xs: pd.Series, phis: pd.Series) -> pd.DataFrame:
+        out, features, given = [], matrix(xs), matrix(phis)
+        for i in range(0, len(features), ROWS_AT_ONCE):
+            f = features[i:i + ROWS_AT_ONCE]
+            imp = given[i:i + ROWS_AT_ONCE] if ranking is None else np.broadcast_to(np.asarray(ranking, dtype="float64"), f.shape)
+            p = scorer.batch(f)
+            target = p.argmax(1)
+            deleted, inserted = kernels.curves(scorer.batch, f, kernels.ranks(imp), base, points, target)
+            original = np.take_along_axis(p, target[:, None], axis=1)[:, 0]
+            part = pd.DataFrame({
+                "target": target.astype("int32"), "probability": list(p), "deletion_curve": list(deleted), "insertion_curve": list(inserted),
+                "deletion_auc": kernels.area(1.0 - deleted), "insertion_auc": kernels.area(inserted),
+                "ablation_correlation": kernels.ablation(scorer.batch, f, imp, base, original, target)})
+            part["faithfulness"] = (FAITHFULNESS["deletion"] * part["deletion_auc"] + FAITHFULNESS["insertion"] * part["insertion_auc"]
+                                    + FAITHFULNESS["ablation"] * part["ablation_correlation"])
+            out.append(part)
+        return pd.concat(out, ignore_index=True)
+
+    call = F.pandas_udf(measure, FAITHFULNESS_TYPE).asNondeterministic()
+    return df.withColumn("_f", call(F.col(x), F.col(phi))).select(*df.columns, "_f.*")
+
+
+def perturbed(word: Column, x: Column, draw: Column, levels=NOISE_LEVELS) -> Column:
+    """The row plus Gaussian noise of a drawn level times the spread of its own features.
+
+    `word` is the row's random word. Draw j of d features uses counters from
+    j * (2d + 1): one for the level, then two per feature.
+    """
+    first = lambda v: draw.cast("long") * (2 * F.size(v) + 1)
+    level = lambda v: F.element_at(literal_array(levels), (counter_u32(word, first(v)) % len(levels) + 1).cast("int"))
+    return let(x, lambda v: let(level(v) * array_std_pop(v), lambda s: F.transform(
+        v, lambda e, i: e + s * counter_normal(word, first(v) + 1 + 2 * i))))
 
 
 def explain_draws(df: DataFrame, keys: list[str], x: str, explainer, seed, draws: int = DRAWS, out: str = "draw_phi") -> DataFrame:
     """Attributions of `draws` perturbed copies of every row."""
     steps = F.sequence(F.lit(0), F.lit(draws - 1))
-    if explainer.expression(F.array(F.lit(0.0))) is not None:
-        return bind(df, **{out: F.transform(steps, lambda j: explainer.expression(perturbed(keys, F.col(x), j, seed)))})
     placed = df.repartition(*keys)
-    copies = placed.withColumn("_draw", F.explode(steps)).select(*keys, "_draw", perturbed(keys, F.col(x), F.col("_draw"), seed).alias("_x"))
+    worded = bind(placed.select(*keys, x), _w=row_word(seed, *keys)).withColumn("_draw", F.explode(steps))
+    copies = worded.select(*keys, "_draw", perturbed(F.col("_w"), F.col(x), F.col("_draw")).alias("_x"))
     explained = explainer.explain(copies, [*keys, "_draw"], "_x", "_phi")
     gathered = explained.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_draw", "_phi"))).alias("_d"))
     return placed.join(gathered.select(*keys, F.transform("_d", lambda s: s["_phi"]).alias(out)), keys)
@@ -106,6 +155,8 @@ def robustness(df: DataFrame, keys: list[str], x: str, phi: str, explainer, seed
     if explainer is None:
         none = F.lit(None).cast("double")
         return df.withColumns({"jaccard_similarity": none, "importance_variance": none, "robustness": none})
+    if explainer.batched:
+        return _robustness_batches(df, keys, x, phi, explainer, seed, draws, k)
     drawn = explain_draws(df, keys, x, explainer, seed, draws)
     first = top_features(F.col(phi), k)
     overlap = let(first, lambda f: array_mean(F.transform("draw_phi", lambda p: jaccard(f, top_features(p, k)))))
@@ -118,6 +169,26 @@ def robustness(df: DataFrame, keys: list[str], x: str, phi: str, explainer, seed
                           + ROBUSTNESS["variance"] * (1.0 - F.col("importance_variance")))
 
 
+def _robustness_batches(df: DataFrame, keys: list[str], x: str, phi: str, explainer, seed, draws: int, k: int) -> DataFrame:
+    fields = ("jaccard_similarity", "importance_variance", "robustness")
+
+    def measure(xs: pd.Series, phis: pd.Series, words: pd.Series) -> pd.DataFrame:
+        out, features, given, w = [], matrix(xs), matrix(phis), words.to_numpy()
+        for i in range(0, len(features), ROWS_AT_ONCE):
+            part = slice(i, i + ROWS_AT_ONCE)
+            noisy = kernels.noisy_rows(features[part], w[part], draws, NOISE_LEVELS)
+            n, _, d = noisy.shape
+            # every perturbed copy is a row of its own with its own random word
+            copies = explainer.batch(noisy.reshape(n * draws, d), np_counter_u32(w[part], 2 ** 30 + np.arange(draws)).reshape(-1))
+            overlap, variance = kernels.stability(given[part], copies.reshape(n, draws, d), k, VARIANCE_FLOOR)
+            out.append(pd.DataFrame(dict(zip(fields, (overlap, variance, ROBUSTNESS["jaccard"] * overlap + ROBUSTNESS["variance"] * (1.0 - variance))))))
+        return pd.concat(out, ignore_index=True)
+
+    kind = T.StructType([T.StructField(f, T.DoubleType()) for f in fields])
+    call = F.pandas_udf(measure, kind).asNondeterministic()
+    return df.withColumn("_r", call(F.col(x), F.col(phi), row_word(seed, *keys))).select(*df.columns, "_r.*")
+
+
 def sparsity(phi: Column, cut: float = SPARSITY_CUT) -> Column:
     return 1.0 - F.size(F.filter(phi, lambda v: F.abs(v) > cut)) / F.size(phi)
 

@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from plumbtrace.functions.binding import bind, let
 from plumbtrace.functions.hashing import hash_u32
 from .bounded import broadcast_if_small
 from .ordered import top_k
+from .scoring import spread
 from .splits import random_negatives
 
 # Chunk size and overlap, results per query, BM25 parameters.
@@ -32,10 +34,10 @@ def tokens(text: Column) -> Column:
 def stride_chunks(docs: DataFrame, doc: str, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Windows of `size` words that share `overlap` words with the one before."""
     stride = size - overlap
-    cut = docs.select(doc, words(F.col(text)).alias("_w")).filter(F.size("_w") > 0)
+    cut = bind(docs.select(doc, text), _w=words(F.col(text))).filter(F.size("_w") > 0)
     n = F.greatest(F.ceil((F.size("_w") - overlap) / float(stride)), F.lit(1)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice("_w", i * stride + 1, size), " "))
-    return cut.select(doc, F.posexplode(pieces).alias("chunk_pos", "text"))
+    return bind(cut, _pieces=pieces).select(doc, F.posexplode("_pieces").alias("chunk_pos", "text"))
 
 
 def sentence_chunks(docs: DataFrame, doc: str, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -46,14 +48,12 @@ def sentence_chunks(docs: DataFrame, doc: str, text: str, size: int = CHUNK_SIZE
     next one. One fold per document, inside the JVM.
     """
     sentence_type = "array<struct<t:string,n:int>>"
-    as_pieces = lambda s: F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(words(s)) - 1) / F.lit(size)).cast("int")),
-        lambda i: F.slice(words(s), i * size + 1, size))
-    sentences = F.filter(F.split(F.col(text), SENTENCE_END), lambda s: F.trim(s) != "")
+    as_pieces = lambda s: let(words(s), lambda w: F.when(F.size(w) == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(w) - 1) / F.lit(size)).cast("int")), lambda i: F.slice(w, i * size + 1, size))))
     units = F.transform(
-        F.flatten(F.transform(F.filter(sentences, lambda s: F.size(words(s)) > 0), as_pieces)),
+        F.flatten(F.transform(F.split(F.col(text), SENTENCE_END), as_pieces)),
         lambda w: F.struct(F.array_join(w, " ").alias("t"), F.size(w).alias("n")))
-    cut = docs.select(doc, units.cast(sentence_type).alias("_u")).filter(F.size("_u") > 0)
+    cut = bind(docs.select(doc, text), _u=units.cast(sentence_type)).filter(F.size("_u") > 0)
 
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["n"])
     joined = lambda a: F.array_join(F.transform(a, lambda x: x["t"]), " ")
@@ -71,7 +71,7 @@ def sentence_chunks(docs: DataFrame, doc: str, text: str, size: int = CHUNK_SIZE
         F.concat(s["done"], F.array(joined(s["open"]))).alias("done"),
         F.concat(tail(s["open"], F.least(F.lit(overlap), F.lit(size) - x["n"])), F.array(x)).alias("open")))
     chunks = F.aggregate("_u", empty, step, lambda s: F.concat(s["done"], F.array(joined(s["open"]))))
-    return cut.select(doc, F.posexplode(chunks).alias("chunk_pos", "text"))
+    return bind(cut, _chunks=chunks).select(doc, F.posexplode("_chunks").alias("chunk_pos", "text"))
 
 
 def with_chunk_id(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -87,13 +87,16 @@ def unique_chunks(chunks: DataFrame, order: list[str]) -> DataFrame:
 
 def bm25_postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
     """(chunk, term, tf, length). Counting happens inside each chunk row, without a shuffle."""
-    t = chunks.select(key, tokens(F.col(text)).alias("_t")).withColumn("length", F.size("_t"))
+    t = bind(spread(chunks.select(key, text), [key]), _t=tokens(F.col(text))).withColumn("length", F.size("_t"))
     terms = t.select(key, "length", F.explode("_t").alias("term"))
     return terms.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_size(chunks: DataFrame, text: str) -> DataFrame:
-    return chunks.agg(F.count("*").alias("n_chunks"), F.avg(F.size(tokens(F.col(text)))).alias("avg_length"))
+def corpus_size(chunks: DataFrame, postings: DataFrame) -> tuple[int, float]:
+    """Number of chunks (also those without a token) and their mean length: two numbers."""
+    n = chunks.count()
+    total = postings.agg(F.sum("tf")).first()[0] or 0
+    return n, (total / n if n else 0.0)
 
 
 def bm25_terms(postings: DataFrame, n_chunks: int) -> DataFrame:
@@ -114,10 +117,10 @@ def bm25_topk(queries: DataFrame, query: str, text: str, chunks: DataFrame, key:
     salted by chunk, so that a term found in most chunks spreads over many tasks.
     """
     postings = bm25_postings(chunks, key, chunk_text) if postings is None else postings
-    size = corpus_size(chunks, chunk_text).first()
+    n_chunks, avg_length = corpus_size(chunks, postings)
     asked = queries.select(query, F.explode(tokens(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
     vocabulary = asked.select("term").distinct()
-    idf = bm25_terms(postings.join(broadcast_if_small(vocabulary, broadcast_limit), "term", "left_semi"), size["n_chunks"] or 0)
+    idf = bm25_terms(postings.join(broadcast_if_small(vocabulary, broadcast_limit), "term", "left_semi"), n_chunks)
     weighted = asked.join(idf, "term").select(query, "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     few = weighted.limit(broadcast_limit + 1).collect()
     if len(few) <= broadcast_limit:
@@ -127,7 +130,7 @@ def bm25_topk(queries: DataFrame, query: str, text: str, chunks: DataFrame, key:
         salted = postings.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
         spread = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         matched = salted.join(spread, ["term", "_salt"])
-    norm = k1 * (1 - b + b * F.col("length") / F.lit(float(size["avg_length"] or 1.0)))
+    norm = k1 * (1 - b + b * F.col("length") / F.lit(avg_length or 1.0))
     gain = F.col("weight") * F.col("tf") / (F.col("tf") + norm)
     scored = matched.groupBy(query, key).agg(F.round(F.sum(gain), 9).alias("score"))
     return top_k(scored, [query], [F.col("score").desc(), F.col(key)], k)

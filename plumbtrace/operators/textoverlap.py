@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from plumbtrace.functions.binding import let
 from plumbtrace.functions.scalars import dot, ratio
 
 OVERLAP_TOKEN = "[a-z0-9]+"
@@ -17,9 +18,8 @@ def overlap_tokens(text: Column) -> Column:
 def ngrams(tokens: Column, n: int) -> Column:
     if n == 1:
         return tokens
-    count = F.size(tokens) - n + 1
-    return F.when(count < 1, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    return let(tokens, lambda t: F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))))
 
 
 def f_measure(hits: Column, candidate: Column, reference: Column) -> Column:

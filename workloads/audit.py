@@ -7,19 +7,12 @@ from pyspark.sql import functions as F
 from plumbtrace.functions.scalars import rounded
 from plumbtrace.operators import audit, splits
 
+from .randomness import h, u
 from .registry import Tables, query
 
 KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 
-def h(seed: str, *cols: str) -> str:
-    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(cols)})), 1, 8))::UBIGINT"
-
-
-def u(seed: str, *cols: str) -> str:
-    return f"({h(seed, *cols)}::DOUBLE / 4294967296.0::DOUBLE)"
-
-
 KEYS = ", ".join(KEY)
 HK = h("7", *KEY)
 

@@ -29,6 +29,15 @@ ph AS (SELECT *, w * (x - b) AS phi FROM long),
 rk AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(phi) DESC, i) AS r FROM ph)"""
 
 
+MIXED = """mx0 AS (SELECT row_id, c, (word + (c + 1) * 2654435769) & 4294967295 AS v FROM {source}),
+mx1 AS (SELECT row_id, c, xor(v, v >> 16) AS v FROM mx0),
+mx2 AS (SELECT row_id, c, (v * 51819 + ((v * 34283) & 65535) * 65536) & 4294967295 AS v FROM mx1),
+mx3 AS (SELECT row_id, c, xor(v, v >> 13) AS v FROM mx2),
+mx4 AS (SELECT row_id, c, (v * 44597 + ((v * 49842) & 65535) * 65536) & 4294967295 AS v FROM mx3),
+mx AS (SELECT row_id, c, xor(v, v >> 16) AS v FROM mx4)"""
+WORDS = f"(SELECT row_id, {h('42', 'row_id')}::BIGINT AS word, c FROM f, range({{n}}) t(c))"
+
+
 class Setup:
     """Scaled features per line item, baseline, scorers and explainers."""
 
@@ -153,7 +162,8 @@ def x01(spark, d):
 PERMS = 4
 
 
-@query("x01b_shapley_sampled", f"""WITH {FEATURES}, o AS (SELECT row_id, i, wl * (x - b) AS g, pr, row_number() OVER (PARTITION BY row_id, pr ORDER BY {h('42', 'row_id', 'pr', 'i')}, i) AS pos FROM long, range({PERMS // 2}) t(pr)),
+@query("x01b_shapley_sampled", f"""WITH {FEATURES}, {MIXED.format(source=WORDS.format(n=PERMS // 2 * D))},
+o AS (SELECT row_id, i, wl * (x - b) AS g, c // {D} AS pr, row_number() OVER (PARTITION BY row_id, c // {D} ORDER BY v, i) AS pos FROM mx JOIN long USING (row_id) WHERE c % {D} = i),
 m AS (SELECT row_id, i, g, pr * 2 AS m, pos FROM o UNION ALL SELECT row_id, i, g, pr * 2 + 1, {D + 1} - pos FROM o),
 c AS (SELECT row_id, i, 0.25::DOUBLE + sum(g) OVER (PARTITION BY row_id, m ORDER BY pos) AS z, g FROM m)
 SELECT row_id, i::INTEGER AS feature_idx, {NAMES}[i + 1] AS feature, round(avg(1.0::DOUBLE / (1.0::DOUBLE + exp(-z)) - 1.0::DOUBLE / (1.0::DOUBLE + exp(-(z - g)))), 6) AS attribution FROM c GROUP BY row_id, i""")
@@ -304,14 +314,12 @@ def x12(spark, d):
 DRAWS, K = 10, 2
 
 
-def normal_sql(*keys):
-    m = f"md5(concat_ws('|', '42', {', '.join(keys)}))"
-    return f"sqrt(-2.0::DOUBLE * ln((('0x' || substr({m}, 1, 8))::UBIGINT::DOUBLE + 1.0::DOUBLE) / 4294967296.0::DOUBLE)) * cos(2.0::DOUBLE * pi() * ('0x' || substr({m}, 9, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE)"
-
-
-NOISE = f"""sd AS (SELECT row_id, stddev_pop(x) AS sd FROM long GROUP BY row_id),
-lv AS (SELECT row_id, dr, sd * ([0.05, 0.1, 0.2]::DOUBLE[])[({h('42', 'row_id', 'dr', "'level'")} % 3 + 1)::INTEGER] AS scale FROM sd, range({DRAWS}) t(dr)),
-nz AS (SELECT row_id, dr, i, x + scale * {normal_sql('row_id', 'dr', 'i')} AS xp, w * (x + scale * {normal_sql('row_id', 'dr', 'i')} - b) AS phip, phi FROM ph JOIN lv USING (row_id)),
+NOISE = f"""{MIXED.format(source=WORDS.format(n=DRAWS * (2 * D + 1)))},
+sd AS (SELECT row_id, stddev_pop(x) AS sd FROM long GROUP BY row_id),
+lv AS (SELECT row_id, c // {2 * D + 1} AS dr, sd * ([0.05, 0.1, 0.2]::DOUBLE[])[(v % 3 + 1)::INTEGER] AS scale FROM mx JOIN sd USING (row_id) WHERE c % {2 * D + 1} = 0),
+nn AS (SELECT row_id, c // {2 * D + 1} AS dr, (c % {2 * D + 1} - 1) // 2 AS i, max(v) FILTER ((c % {2 * D + 1}) % 2 = 1) AS v1, max(v) FILTER ((c % {2 * D + 1}) % 2 = 0) AS v2 FROM mx WHERE c % {2 * D + 1} > 0 GROUP BY ALL),
+nz AS (SELECT row_id, dr, i, x + scale * g AS xp, w * (x + scale * g - b) AS phip, phi FROM
+  (SELECT row_id, dr, i, sqrt(-2.0::DOUBLE * ln((v1 + 1.0::DOUBLE) / 4294967296.0::DOUBLE)) * cos(2.0::DOUBLE * pi() * v2 / 4294967296.0::DOUBLE) AS g FROM nn) JOIN lv USING (row_id, dr) JOIN ph USING (row_id, i)),
 nk AS (SELECT *, row_number() OVER (PARTITION BY row_id, dr ORDER BY abs(phip) DESC, i) AS rp FROM nz),
 jc AS (SELECT row_id, dr, count(*) FILTER (rp <= {K} AND r <= {K}) AS both_ FROM nk JOIN (SELECT row_id, i, r FROM rk) USING (row_id, i) GROUP BY ALL),
 jj AS (SELECT row_id, avg(both_ / ({2 * K} - both_)::DOUBLE) AS jaccard FROM jc GROUP BY row_id),
@@ -326,7 +334,9 @@ def x13(spark, d):
     rows = s.rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
     from plumbtrace.functions.scalars import array_sum
 
-    noisy = rows.select("row_id", "draw", quality.perturbed(s.keys, F.col("x"), F.col("draw"), 42).alias("xp"))
+    from plumbtrace.functions.counters import row_word
+
+    noisy = rows.select("row_id", "draw", quality.perturbed(row_word(42, "row_id"), F.col("x"), F.col("draw")).alias("xp"))
     return noisy.select("row_id", "draw", rounded(array_sum(F.col("xp")), 5).alias("total"))
 
 

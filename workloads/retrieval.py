@@ -133,9 +133,9 @@ def f06(spark, d):
 
 @query("r03_bm25_index", f"WITH {CHUNKS}, {BM25} SELECT term, df, round(idf, 6) AS idf, (SELECT n FROM stats) AS n_chunks, round((SELECT avgl FROM stats), 6) AS avg_length FROM idf")
 def r03(spark, d):
-    size = retrieval.corpus_size(chunk_table(spark, d), "text").first()
-    terms = retrieval.bm25_terms(postings(spark, d), size["n_chunks"])
-    return rnd(terms, "idf").withColumn("n_chunks", F.lit(size["n_chunks"]).cast("long")).withColumn("avg_length", rounded(F.lit(size["avg_length"])))
+    n, length = retrieval.corpus_size(chunk_table(spark, d), postings(spark, d))
+    terms = retrieval.bm25_terms(postings(spark, d), n)
+    return rnd(terms, "idf").withColumn("n_chunks", F.lit(n).cast("long")).withColumn("avg_length", rounded(F.lit(length)))
 
 
 @query("r04_bm25_topk", f"WITH {CHUNKS}, {BM25} SELECT item_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM bm25")
@@ -287,3 +287,9 @@ def e09(spark, d):
         F.floor(F.col("vec_id") / 20).alias("pair"), F.when(F.col("vec_id") % 2 == 0, "candidate").otherwise("reference").alias("side"),
         "vec_id", "embedding")
     return rnd(textoverlap.embedding_match(t, "pair", "side", "vec_id", "embedding"), "precision", "recall", "f1")
+
+
+@query("j10_relevance_join", f"""{WITH_QRELS}, items AS (SELECT item_id, engine, unnest(ids) AS chunk_id, generate_subscripts(ids, 1) AS rank FROM runs)
+SELECT i.item_id, i.engine, i.rank::INTEGER AS rank, i.chunk_id, q.item_id IS NOT NULL AS relevant FROM items i LEFT JOIN qrels q ON q.item_id = i.item_id AND q.chunk_id = i.chunk_id""")
+def j10(spark, d):
+    return ireval.relevance_join(runs(spark, d), qrels(spark, d), "item_id", "engine", "ids", "chunk_id")

@@ -8,8 +8,8 @@ from plumbtrace.functions.scalars import rounded, stars
 from plumbtrace.operators import enrich, paired, summaries
 from plumbtrace.plans import evaluation
 
-from .audit import u
 from .metrics import rnd
+from .randomness import poisson_sql
 from .ranking import DESCRIBE, STATS
 from .registry import Tables, query
 
@@ -164,24 +164,6 @@ def e18(spark, d):
 BOOT = 2000
 
 
-def poisson_sql(n, seed, keys):
-    draw = " + ".join(f"(uu >= {c!r}::DOUBLE)::INTEGER" for c in _poisson_steps())
-    k = ", ".join(keys)
-    md = f"md5(concat_ws('|', '{seed}', {k}, 'n'))"
-    normal = f"sqrt(-2.0::DOUBLE * ln((('0x' || substr({md}, 1, 8))::UBIGINT::DOUBLE + 1.0::DOUBLE) / 4294967296.0::DOUBLE)) * cos(2.0::DOUBLE * pi() * ('0x' || substr({md}, 9, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE)"
-    small = f"list_sum(list_transform(list_transform(range(1, {n} + 1), lambda j: {u(seed, *keys, 'j')}), lambda uu: {draw}))"
-    return f"CASE WHEN {n} <= 0 THEN 0 WHEN {n} <= 16 THEN {small} ELSE greatest(round({n} + sqrt({n}::DOUBLE) * {normal}), 0)::INTEGER END"
-
-
-def _poisson_steps():
-    import math
-    total, term = math.exp(-1), math.exp(-1)
-    for k in range(1, 13):
-        yield total
-        term /= k
-        total += term
-
-
 def bootstrap_sql(source, groups, seed):
     g = ", ".join(groups)
     keys = [*groups, "round(v * 1000000)::BIGINT", "rep"]
