@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plumbtrace.functions.scalars import ratio
+from .bounded import attach_one
 from .cleaning import quoted
 
 
@@ -23,8 +24,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """One row per class: n / (classes * rows of the class)."""
     counts = class_counts(df, label)
     whole = counts.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
-    # a one-row table: the cross join only widens the class table
-    return counts.join(F.broadcast(whole)).select(
+    return attach_one(counts, whole).select(
         label, "n", (F.col("total") / (F.col("classes") * F.col("n"))).alias("weight"))
 
 

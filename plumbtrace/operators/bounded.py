@@ -17,3 +17,8 @@ def broadcast_if_small(df: DataFrame, limit: int = LIMIT_ROWS) -> DataFrame:
     if len(rows) > limit:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def attach_one(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row, as scalar subqueries."""
+    return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])

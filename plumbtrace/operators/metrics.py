@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbtrace.functions.hashing import hash_normal, hash_uniform, poisson_one
 from plumbtrace.functions.scalars import ratio
+from .bounded import attach_one
 from .ordered import BUCKETS, boundaries, prefix_sums, with_bucket
 
 
@@ -108,7 +109,7 @@ def pr_points(df: DataFrame, positive: Column, score: str, groups: list[str] | N
     tp = F.col("tp_before") + F.col("pos")
     points = ordered.withColumn("tp", tp).withColumn("fp", F.col("fp_before") + F.col("neg"))
     totals = counts.groupBy(*groups).agg(F.sum("pos").alias("total")) if groups else counts.agg(F.sum("pos").alias("total"))
-    points = points.join(totals, groups) if groups else points.join(F.broadcast(totals))
+    points = points.join(totals, groups) if groups else attach_one(points, totals)
     return points.select(
         *groups, F.col("score").alias("threshold"), "pos", "total",
         ratio(F.col("tp"), F.col("total")).alias("recall"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
@@ -223,6 +224,6 @@ def best_threshold(df: DataFrame, positive: Column, score: str, steps: int = STE
     swept = threshold_sweep(df, positive, score, steps)
     best = swept.agg(F.max_by(F.struct("threshold", "f1", "n_predicted"), F.struct(F.col("f1"), -F.col("threshold"))).alias("b"))
     plain = df.agg(F.count_if(F.col(score) >= default).alias("n_at_default"))
-    return best.join(F.broadcast(plain)).select(
+    return attach_one(best, plain).select(
         F.col("b.threshold").alias("threshold"), F.col("b.f1").alias("f1"),
         F.col("b.n_predicted").alias("n_at_best"), "n_at_default")

@@ -17,6 +17,7 @@ from plumbtrace.functions.hashing import hash_u32, hash_uniform
 from plumbtrace.functions.scalars import (
     argmax, array_mean, array_pearson, array_std_pop, array_variance_pop, jaccard, logistic, normalised_area,
 )
+from .bounded import attach_one
 from . import kernels
 from .attribution import literal_array, rank_array, top_features
 from .scoring import Scorer, score_variants
@@ -231,11 +232,11 @@ def global_robustness(df: DataFrame, keys: list[str], phi: str, size: int, seed=
     # from here on: subsets x features numbers
     vectors = per_subset.groupBy("subset").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("feature_idx", "importance"))), lambda s: s["importance"]).alias("_v"))
-    compared = vectors.join(F.broadcast(whole)).agg(
+    compared = attach_one(vectors, whole).agg(
         F.avg(jaccard(top_features(F.col("_all"), k), top_features(F.col("_v"), k))).alias("jaccard"), F.count("*").alias("n_subsets"))
     spread = per_subset.groupBy("feature_idx").agg(F.avg("importance").alias("m"), F.stddev_pop("importance").alias("s"))
     cv = spread.agg(F.coalesce(F.avg(F.when(F.col("m") > MEAN_FLOOR, F.col("s") / F.col("m"))), F.lit(0.0)).alias("cv"))
     variance = F.least(F.col("cv") / CV_LIMIT, F.lit(1.0))
-    return compared.join(F.broadcast(cv)).select(
+    return attach_one(compared, cv).select(
         F.col("jaccard").alias("subset_jaccard_similarity"), variance.alias("subset_importance_variance"), "n_subsets",
         (ROBUSTNESS["jaccard"] * F.col("jaccard") + ROBUSTNESS["variance"] * (1.0 - variance)).alias("robustness"))

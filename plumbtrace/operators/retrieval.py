@@ -124,8 +124,10 @@ def bm25_topk(queries: DataFrame, query: str, text: str, chunks: DataFrame, key:
     weighted = asked.join(idf, "term").select(query, "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     few = weighted.limit(broadcast_limit + 1).collect()
     if len(few) <= broadcast_limit:
+        # placed by chunk before the query terms multiply the rows: the sums per (query,
+        # chunk) and the first k per query then need no shuffle of the scored pairs
         small = F.broadcast(queries.sparkSession.createDataFrame(few, weighted.schema))
-        matched = postings.join(small, "term")
+        matched = postings.join(F.broadcast(small.select("term").distinct()), "term", "left_semi").repartition(key).join(small, "term")
     else:
         salted = postings.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
         spread = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))

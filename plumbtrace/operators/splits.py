@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbtrace.functions.hashing import hash_order, hash_u32, hash_uniform
-from .bounded import broadcast_if_small
+from .bounded import attach_one, broadcast_if_small
 from .ordered import hash_row_numbers, row_numbers, top_k
 
 BITS = 16
@@ -196,7 +196,7 @@ def random_negatives(queries: DataFrame, candidates: DataFrame, pooled: DataFram
     ring = shuffled(candidates.select(item).distinct(), [item], seed, "_slot")
     size = ring.agg(F.count("*").alias("_size"))
     counts = pooled.groupBy(query).agg(F.count_distinct(item).alias("_pooled"))
-    start = queries.select(query).distinct().join(counts, query, "left").join(F.broadcast(size)).filter("_size > 0")
+    start = attach_one(queries.select(query).distinct().join(counts, query, "left"), size).filter("_size > 0")
     reach = F.least(F.coalesce("_pooled", F.lit(0)) + n, F.col("_size"))
     slots = start.select(
         query, "_size", hash_u32(f"{seed}-start", F.col(query)).alias("_from"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbtrace.functions.scalars import ratio
+from .bounded import attach_one
 from .ordered import prefix_sums, top_k
 
 
@@ -18,7 +19,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probabilities:
     counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     placed = prefix_sums(counts, groups, "_v", {"_before": "_n"})
     sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size")) if groups else counts.agg(F.sum("_n").alias("_size"))
-    rows = placed.join(sizes, groups) if groups else placed.join(F.broadcast(sizes))
+    rows = placed.join(sizes, groups) if groups else attach_one(placed, sizes)
 
     def at(index: Column) -> Column:
         return F.max(F.when((F.col("_before") <= index) & (index < F.col("_before") + F.col("_n")), F.col("_v")))
@@ -65,7 +66,7 @@ def surrogate_rollup(df: DataFrame, row_key: list[str], feature: str, weight: st
     strongest = top_k(df, row_key, [F.abs(F.col(weight)).desc(), F.col(feature)], per_row, "_r")
     sums = strongest.groupBy(feature).agg(F.sum(F.abs(F.col(weight))).alias("_s"))
     total = sums.agg(F.sum("_s").alias("_t"))
-    shares = sums.join(F.broadcast(total)).select(feature, ratio(F.col("_s"), F.col("_t")).alias("importance"))
+    shares = attach_one(sums, total).select(feature, ratio(F.col("_s"), F.col("_t")).alias("importance"))
     return shares.orderBy(F.col("importance").desc(), feature).limit(keep)
 
 
@@ -102,7 +103,7 @@ def coverage_audit(results: DataFrame, expected: DataFrame, query: str, engine:
     problems = ["missing_queries", "queries_missing_engines", "unexpected_queries", "duplicate_pairs",
                 "duplicate_expected", "unexpected_engine_rows", "malformed_rows"]
     passed = sum((F.col(c) for c in problems[1:]), F.col(problems[0])) == 0
-    return facts.join(F.broadcast(broken)).withColumn("passed", passed)
+    return attach_one(facts, broken).withColumn("passed", passed)
 
 
 def win_tie_loss(pairs: DataFrame, groups: list[str], difference: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbtrace.operators.bounded import attach_one
 from plumbtrace.operators import quality
 
 # Weights of the three dimensions.
@@ -54,7 +55,7 @@ def global_quality(df: DataFrame, keys: list[str], x: str, phi: str, baseline: l
         F.avg("deletion_auc").alias("deletion_auc"), F.avg("insertion_auc").alias("insertion_auc"),
         F.avg("ablation_correlation").alias("ablation_correlation"), F.avg("faithfulness").alias("faithfulness"))
     robust = quality.global_robustness(df, keys, phi, len(baseline), seed, subsets, k=k)
-    both = faithful.join(F.broadcast(robust)).withColumn("phi_all", F.array(*[F.lit(v) for v in ranking]))
+    both = attach_one(faithful, robust).withColumn("phi_all", F.array(*[F.lit(v) for v in ranking]))
     scored = quality.complexity(both, "phi_all").drop("phi_all")
     return scored.withColumn("overall", overall_quality({n: F.col(n) for n in DIMENSIONS}))
 
