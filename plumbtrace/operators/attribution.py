@@ -145,6 +145,27 @@ def uniform_grid(row_hash: np.ndarray, first: int, shape: tuple[int, int]) -> np
     return (v >> np.uint64(11)).astype("float64") / 9007199254740992.0
 
 
+def draw_altered(x: np.ndarray, row_hash: np.ndarray, edges: list[list[float]], samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Altered rows and their same-bin indicators; sample 0 is the row itself."""
+    e, d = np.asarray(edges, dtype="float64"), x.shape[1]
+    own = (x[:, :, None] > e[None, :, 1:4]).sum(2)
+    bins = np.floor(uniform_grid(row_hash, 0, (samples, d)) * 4).astype("int64")
+    u = uniform_grid(row_hash, samples * d, (samples, d))
+    feature = np.arange(d)[None, None, :]
+    low, high = e[feature, bins], e[feature, bins + 1]
+    values, z = low + u * (high - low), (bins == own[:, None, :]).astype("float64")
+    values[:, 0, :], z[:, 0, :] = x, 1.0
+    return values, z
+
+
+def pick_class(p: np.ndarray, target: int | str) -> np.ndarray:
+    """rows x samples x classes -> rows x samples of the explained class."""
+    if target != "predicted":
+        return p[:, :, int(target)]
+    chosen = p[:, 0, :].argmax(1)
+    return np.take_along_axis(p, chosen[:, None, None], axis=2)[:, :, 0]
+
+
 class SurrogateExplainer:
     """Local linear surrogate over quartile bins.
 
@@ -163,44 +184,32 @@ class SurrogateExplainer:
     def _table(self) -> Column:
         return F.array(*[literal_array(e) for e in self.edges])
 
-    def _draw(self, x: np.ndarray, row_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Altered rows and their same-bin indicators; sample 0 is the row itself."""
-        edges, (n, d) = np.asarray(self.edges, dtype="float64"), x.shape
-        own = (x[:, :, None] > edges[None, :, 1:4]).sum(2)
-        grid = (self.samples, d)
-        bins = np.floor(uniform_grid(row_hash, 0, grid) * 4).astype("int64")
-        u = uniform_grid(row_hash, self.samples * d, grid)
-        feature = np.arange(d)[None, None, :]
-        low, high = edges[feature, bins], edges[feature, bins + 1]
-        values, z = low + u * (high - low), (bins == own[:, None, :]).astype("float64")
-        values[:, 0, :], z[:, 0, :] = x, 1.0
-        return values, z
-
     def explain(self, df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
         """Draw, score and solve in Arrow batches; a model that has to score as a
         distributed transform sees the altered rows exploded instead."""
         hashed = df.withColumn("_h", F.xxhash64(F.lit(str(self.seed)), *keys))
         rows_at_once = max(1, 4_000_000 // (self.samples * len(self.names)))
-        probe = self.scorer.batch(np.zeros((1, len(self.names))))
-        if probe is not None:
+        # what the tasks need, without the explainer itself: a fitted model stays here
+        edges, samples, target, batch = self.edges, self.samples, self.target, self.scorer.batch
+        if batch(np.zeros((1, len(self.names)))) is not None:
             def solve(values: pd.Series, hashes: pd.Series) -> pd.Series:
                 parts, matrix, h = [], np.stack(values.to_numpy()).astype("float64"), hashes.to_numpy()
                 for i in range(0, len(h), rows_at_once):
-                    altered, z = self._draw(matrix[i:i + rows_at_once], h[i:i + rows_at_once])
-                    parts.append(solve_ridge(z, self._pick(self.scorer.batch(altered))))
+                    altered, z = draw_altered(matrix[i:i + rows_at_once], h[i:i + rows_at_once], edges, samples)
+                    parts.append(solve_ridge(z, pick_class(batch(altered), target)))
                 return pd.Series(list(np.concatenate(parts)))
 
             call = F.pandas_udf(solve, T.ArrayType(T.DoubleType())).asNondeterministic()
             return hashed.withColumn(out, call(F.col(x), F.col("_h"))).drop("_h")
 
         def altered_rows(values: pd.Series, hashes: pd.Series) -> pd.Series:
-            return pd.Series([list(self._draw(np.asarray(v, dtype="float64")[None], np.asarray([h]))[0][0]) for v, h in zip(values, hashes)])
+            return pd.Series([list(draw_altered(np.asarray(v, dtype="float64")[None], np.asarray([h]), edges, samples)[0][0]) for v, h in zip(values, hashes)])
 
         def solve_scored(values: pd.Series, hashes: pd.Series, scores: pd.Series) -> pd.Series:
             parts = []
             for v, h, p in zip(values, hashes, scores):
-                z = self._draw(np.asarray(v, dtype="float64")[None], np.asarray([h]))[1]
-                parts.append(solve_ridge(z, self._pick(np.stack(p)[None]))[0])
+                z = draw_altered(np.asarray(v, dtype="float64")[None], np.asarray([h]), edges, samples)[1]
+                parts.append(solve_ridge(z, pick_class(np.stack(p)[None], target))[0])
             return pd.Series(parts)
 
         draw = F.pandas_udf(altered_rows, T.ArrayType(T.ArrayType(T.DoubleType()))).asNondeterministic()
@@ -209,13 +218,6 @@ class SurrogateExplainer:
         scored = score_variants(drawn, keys, self.scorer, self.samples, lambda i: F.element_at("_altered", (i + 1).cast("int")), "_scores")
         return scored.withColumn(out, solve(F.col(x), F.col("_h"), F.col("_scores"))).drop("_h", "_altered", "_scores")
 
-    def _pick(self, p: np.ndarray) -> np.ndarray:
-        """rows x samples x classes -> rows x samples of the explained class."""
-        if self.target != "predicted":
-            return p[:, :, int(self.target)]
-        chosen = p[:, 0, :].argmax(1)
-        return np.take_along_axis(p, chosen[:, None, None], axis=2)[:, :, 0]
-
     def rules(self, x: Column) -> Column:
         """Text of each feature's bin: `a <= q1`, `q1 < a <= q2`, `a > q3`."""
         parts = F.arrays_zip(x.alias("x"), self._table().alias("e"), F.array(*[F.lit(n) for n in self.names]).alias("n"))
