@@ -22,3 +22,17 @@ def broadcast_if_small(df: DataFrame, limit: int = LIMIT_ROWS) -> DataFrame:
 def attach_one(df: DataFrame, one: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row, as scalar subqueries."""
     return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join that also matches a missing key with a missing key.
+
+    Groups may have a null name; an ordinary join would lose their rows.
+    """
+    if not keys:
+        raise ValueError("join_on needs at least one key")
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbtrace.functions.hashing import hash_normal, hash_uniform, poisson_one
 from plumbtrace.functions.scalars import ratio
-from .bounded import attach_one
+from .bounded import attach_one, join_on
 from .ordered import BUCKETS, boundaries, prefix_sums, with_bucket
 
 
@@ -109,7 +109,7 @@ def pr_points(df: DataFrame, positive: Column, score: str, groups: list[str] | N
     tp = F.col("tp_before") + F.col("pos")
     points = ordered.withColumn("tp", tp).withColumn("fp", F.col("fp_before") + F.col("neg"))
     totals = counts.groupBy(*groups).agg(F.sum("pos").alias("total")) if groups else counts.agg(F.sum("pos").alias("total"))
-    points = points.join(totals, groups) if groups else attach_one(points, totals)
+    points = join_on(points, totals, groups) if groups else attach_one(points, totals)
     return points.select(
         *groups, F.col("score").alias("threshold"), "pos", "total",
         ratio(F.col("tp"), F.col("total")).alias("recall"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
@@ -181,7 +181,7 @@ def bootstrap_average_precision(df: DataFrame, positive: Column, score: str, see
                             F.coalesce(F.sum("q").over(after), F.lit(0)).alias("q0"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     local = drawn.select("*", F.sum("pos").over(inside).alias("p1"), F.sum("neg").over(inside).alias("q1"))
-    joined = local.join(offsets, [*keys, "_bucket"])
+    joined = join_on(local, offsets, [*keys, "_bucket"])
     tp = F.col("p0") + F.col("p1")
     gain = F.col("pos") * ratio(tp, tp + F.col("q0") + F.col("q1"))
     per = joined.groupBy(*keys).agg(ratio(F.sum(gain), F.sum("pos")).alias("ap"))

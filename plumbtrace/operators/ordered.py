@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .bounded import join_on
+
 BUCKETS = 256
 
 
@@ -51,7 +53,7 @@ def prefix_sums(collapsed: DataFrame, groups: list[str], value: str, sums: dict[
     order = [F.col(value).desc() if descending else F.col(value).asc(), *[F.col(t) for t in tie]]
     inside = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_l_{o}") for o, c in sums.items()])
-    joined = local.join(offsets, [*groups, "_bucket"])
+    joined = join_on(local, offsets, [*groups, "_bucket"])
     return joined.select(
         *collapsed.columns, *[(F.col(f"_l_{o}") + F.col(f"_o_{o}")).alias(o) for o in sums])
 
@@ -70,7 +72,7 @@ def with_mid_ranks(df: DataFrame, groups: list[str], value: str, out: str = "ran
     exactly one rank row, so AQE can split its side of the join.
     """
     ranks = mid_ranks(df, groups, value, out, descending).drop("n")
-    return df.join(ranks, [*groups, value])
+    return join_on(df, ranks, [*groups, value])
 
 
 TIE_BUCKETS = 64
@@ -89,8 +91,8 @@ def row_numbers(df: DataFrame, value: str, tie: list[str], out: str, groups: lis
     collapsed = tagged.groupBy(*groups, value, "_sub").agg(F.count("*").alias("n"))
     offsets = prefix_sums(collapsed, groups, value, {"_before": "n"}, tie=["_sub"], descending=descending).drop("n")
     inside = Window.partitionBy(*groups, value, "_sub").orderBy(*tie)
-    numbered = tagged.withColumn("_in", F.row_number().over(inside)).join(offsets, [*groups, value, "_sub"])
-    return numbered.withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_sub")
+    numbered = tagged.withColumn("_in", F.row_number().over(inside))
+    return join_on(numbered, offsets, [*groups, value, "_sub"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_sub")
 
 
 def hash_row_numbers(df: DataFrame, hashed: str, tie: list[str], out: str, bits: int = 16,
@@ -102,7 +104,7 @@ def hash_row_numbers(df: DataFrame, hashed: str, tie: list[str], out: str, bits:
     across = Window.partitionBy(*[F.col(g) for g in groups]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*groups, "_b", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*groups, "_b").orderBy(hashed, *tie)
-    return tagged.withColumn("_in", F.row_number().over(inside)).join(offsets, [*groups, "_b"]).withColumn(
+    return join_on(tagged.withColumn("_in", F.row_number().over(inside)), offsets, [*groups, "_b"]).withColumn(
         out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_b")
 
 

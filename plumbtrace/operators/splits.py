@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbtrace.functions.hashing import hash_order, hash_u32, hash_uniform
-from .bounded import attach_one, broadcast_if_small
+from .bounded import attach_one, broadcast_if_small, join_on
 from .ordered import hash_row_numbers, row_numbers, top_k
 
 BITS = 16
@@ -56,26 +56,29 @@ def segment_by_hash(df: DataFrame, groups: list[str], key: list[str], seed, cuts
         F.coalesce(F.sum("_n").over(by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_n").over(by_group).alias("_total"),
     ).withColumn("_cuts", cuts)
-    # per group and cut: the first prefix that reaches past the cut, and the rows before it
+    # per group and cut: its row number, the first prefix that reaches past it, and the rows before that prefix
+    n = len(names) - 1
     edge = lambda i: F.min(F.when(F.col("_before") + F.col("_n") > F.col("_cuts")[i], F.struct("_b", "_before")))
     edges = running.groupBy(*groups).agg(
-        F.first("_cuts").alias("_cuts"), F.array(*[edge(i) for i in range(len(names) - 1)]).alias("_edges"))
-    tagged = hashed.join(broadcast_if_small(edges), groups)
-    past = lambda e, c: e.isNotNull() & ((F.col("_b") > e["_b"]) | ((F.col("_b") == e["_b"]) & (e["_before"] >= c)))
-    split_here = F.exists(
-        F.arrays_zip(F.col("_edges").alias("e"), F.col("_cuts").alias("c")),
-        lambda z: F.coalesce((F.col("_b") == z["e"]["_b"]) & (z["e"]["_before"] < z["c"]), F.lit(False)))
-    segment = F.size(F.filter(
-        F.arrays_zip(F.col("_edges").alias("e"), F.col("_cuts").alias("c")), lambda z: past(z["e"], z["c"])))
-    name = lambda i: F.element_at(F.array(*[F.lit(n) for n in names]), i + 1)
+        *[F.max(F.col("_cuts")[i]).alias(f"_cut{i}") for i in range(n)], *[edge(i).alias(f"_edge{i}") for i in range(n)])
+    flat = edges.select(*groups, *[c for i in range(n) for c in (
+        F.col(f"_cut{i}"), F.col(f"_edge{i}._b").alias(f"_at{i}"), F.col(f"_edge{i}._before").alias(f"_pre{i}"))])
+    tagged = join_on(hashed, broadcast_if_small(flat), groups)
+    contested_by = lambda i: F.coalesce((F.col("_b") == F.col(f"_at{i}")) & (F.col(f"_pre{i}") < F.col(f"_cut{i}")), F.lit(False))
+    past = lambda i: F.coalesce((F.col("_b") > F.col(f"_at{i}")) | ((F.col("_b") == F.col(f"_at{i}")) & (F.col(f"_pre{i}") >= F.col(f"_cut{i}"))), F.lit(False))
+    split_here, segment, before, behind = F.lit(False), F.lit(0), F.lit(None).cast("long"), F.lit(0)
+    for i in range(n):
+        split_here = split_here | contested_by(i)
+        segment = segment + past(i).cast("int")
+        before = F.coalesce(before, F.when(contested_by(i), F.col(f"_pre{i}")))
+        behind = behind + (F.col(f"_cut{i}") < F.col("_pos")).cast("int")
+    name = lambda i: F.element_at(F.array(*[F.lit(v) for v in names]), i + 1)
     settled = tagged.filter(~split_here).withColumn(out, name(segment))
-    before = F.element_at(F.filter("_edges", lambda e: e["_b"] == F.col("_b")), 1)["_before"]
     inside = Window.partitionBy(*groups, "_b").orderBy("_h", *key)
-    contested = (
-        tagged.filter(split_here).withColumn("_pos", F.row_number().over(inside) + before)
-        .withColumn(out, name(F.size(F.filter("_cuts", lambda c: c < F.col("_pos"))))).drop("_pos")
-    )
-    return settled.unionByName(contested).drop("_h", "_b", "_cuts", "_edges")
+    ranked = tagged.filter(split_here).withColumn("_pos", F.row_number().over(inside) + before)
+    contested = ranked.withColumn(out, name(behind)).drop("_pos")
+    helpers = ["_h", "_b", *[f"{c}{i}" for i in range(n) for c in ("_cut", "_at", "_pre")]]
+    return settled.unionByName(contested).drop(*helpers)
 
 
 def stratified_split(df: DataFrame, label: str, key: list[str], seed, parts=SPLITS, out: str = "split") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbtrace.functions.scalars import ratio
-from .bounded import attach_one
+from .bounded import attach_one, join_on
 from .ordered import prefix_sums, top_k
 
 
@@ -19,7 +19,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probabilities:
     counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     placed = prefix_sums(counts, groups, "_v", {"_before": "_n"})
     sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size")) if groups else counts.agg(F.sum("_n").alias("_size"))
-    rows = placed.join(sizes, groups) if groups else attach_one(placed, sizes)
+    rows = join_on(placed, sizes, groups) if groups else attach_one(placed, sizes)
 
     def at(index: Column) -> Column:
         return F.max(F.when((F.col("_before") <= index) & (index < F.col("_before") + F.col("_n")), F.col("_v")))
@@ -42,7 +42,7 @@ def describe_by(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     v = F.col(value).cast("double")
     simple = df.groupBy(*groups).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
-    return simple.join(exact_quantiles(df, groups, value, QUARTILES), groups, "left")
+    return join_on(simple, exact_quantiles(df, groups, value, QUARTILES), groups, "left")
 
 
 def describe_with_overall(df: DataFrame, group: str, value: str, overall: str = "overall") -> DataFrame:

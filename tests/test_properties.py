@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbtrace.functions import counters, scalars, special
 from plumbtrace.operators import (
-    attribution, audit, cleaning, ireval, kernels, metrics, ordered, paired, quality, retrieval, scoring, splits, textoverlap,
+    attribution, audit, cleaning, ireval, kernels, metrics, ordered, paired, quality, retrieval, scoring, splits, summaries, textoverlap,
 )
 from plumbtrace.plans import training
 from plumbtrace.sources import files
@@ -150,6 +150,14 @@ def test_split_is_exact_and_stable(spark):
     assert sum(1 for i, s in one.items() if i >= 4500 and s == "val") == 100
 
 
+def test_missing_group_names_keep_their_rows(spark):
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), (F.col("id") % 10).cast("double").alias("v"))
+    assert splits.stratified_split(df, "g", ["id"], 1).count() == 900
+    assert ordered.with_mid_ranks(df, ["g"], "v").count() == 900
+    assert ordered.row_numbers(df, "v", ["id"], "rn", ["g"]).agg(F.count("rn")).first()[0] == 900
+    assert summaries.describe_by(df, ["g"], "v").filter("median IS NULL").count() == 0
+
+
 def test_auc_against_all_pairs(spark):
     rng = random.Random(2)
     data = [(rng.randint(0, 1), round(rng.random(), 1)) for _ in range(200)]
