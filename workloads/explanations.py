@@ -18,7 +18,7 @@ NAMES = ["quantity", "price", "discount", "tax", "line"]
 W = [0.07, -0.05, 0.03, 0.10, -0.02]
 WL = [0.9, -0.6, 0.4, 1.2, -0.3]  # logistic variant
 D = len(W)
-ID = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
+ID = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity::BIGINT, round(l_extendedprice * 100)::BIGINT)"
 
 FEATURES = f"""st AS (SELECT {', '.join(f'round(stddev_pop({c}), 6) AS s{i}' for i, c in enumerate(COLUMNS))} FROM lineitem),
 f AS (SELECT {ID} AS row_id, l_returnflag, l_linestatus, [{', '.join(f'{c} / s{i}' for i, c in enumerate(COLUMNS))}] AS x FROM lineitem, st),
@@ -38,6 +38,12 @@ mx AS (SELECT row_id, c, xor(v, v >> 16) AS v FROM mx4)"""
 WORDS = f"(SELECT row_id, {h('42', 'row_id')}::BIGINT AS word, c FROM f, range({{n}}) t(c))"
 
 
+def row_id():
+    """A key that is unique in every supplied scale."""
+    parts = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    return F.concat_ws("-", *parts, F.col("l_quantity").cast("long"), F.round(F.col("l_extendedprice") * 100).cast("long"))
+
+
 class Setup:
     """Scaled features per line item, baseline, scorers and explainers."""
 
@@ -45,10 +51,9 @@ class Setup:
         t = Tables(spark, d)
         stats = scoring.standard_fit(t.lineitem, COLUMNS)
         scale = [round(stats[c][1], 6) for c in COLUMNS]
-        key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
         x = F.array(*[(F.col(c) / F.lit(s)).cast("double") for c, s in zip(COLUMNS, scale)])
         self.keys = ["row_id"]
-        self.rows = scoring.spread(t.lineitem.select(key.alias("row_id"), "l_returnflag", "l_linestatus", x.alias("x")), self.keys)
+        self.rows = scoring.spread(t.lineitem.select(row_id().alias("row_id"), "l_returnflag", "l_linestatus", x.alias("x")), self.keys)
         self.baseline = [round(b, 6) for b in attribution.baseline_means(self.rows, "x", D)]
         self.linear = scoring.LinearScorer(W, round(0.5 - sum(w * b for w, b in zip(W, self.baseline)), 6))
         self.logistic = scoring.LinearScorer(WL, 0.25 - sum(w * b for w, b in zip(WL, self.baseline)), "logistic")
@@ -75,7 +80,7 @@ def cells(*names):
 @query("m01_standardize", f"""SELECT {ID} AS row_id, {', '.join(f'round(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_pop({c}) FROM lineitem), 6) + 0.0 AS {n}' for c, n in zip(COLUMNS, NAMES))}, 0.0::DOUBLE AS same FROM lineitem""")
 def m01(spark, d):
     li = Tables(spark, d).lineitem.select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"),
+        row_id().alias("row_id"),
         *[F.col(c).cast("double").alias(n) for c, n in zip(COLUMNS, NAMES)], F.lit(3.0).alias("same"))
     stats = scoring.standard_fit(li, [*NAMES, "same"])
     return rnd(scoring.standard_apply(li, stats), *NAMES, "same")
