@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, token_frames
-from .common import ship, table
+from . import decontaminate, document_quality, language, mixing, token_frames, toxicity
+from .common import distinct_labels, fold, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,31 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_token_frames")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return token_frames.token_digest(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query("op6_language")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", fold(F.col("doc_id"), 4).alias("fold"))
+    o = F.col("language")
+    return language.identify(docs, F.col("fold") != 2).select(
+        "doc_id", (F.col("fold") == 2).alias("held_out"), o.lang_pred.alias("lang_pred"), o.score.alias("score")
+    )
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = distinct_labels(table(spark, folder, "labels"), "quality").where(fold(F.col("doc_id"), 5) != 0)
+    scores = document_quality.quality_scores(docs, labels)
+    return scores.select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = distinct_labels(table(spark, folder, "labels"), "toxic").where(fold(F.col("doc_id"), 3) != 1)
+    return toxicity.toxicity_scores(docs, labels).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
