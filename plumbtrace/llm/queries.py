@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, document_quality, language, mixing, token_frames, toxicity
+from . import credentials, decontaminate, document_quality, language, mixing, token_frames, toxicity
 from .common import distinct_labels, fold, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, labels).select(
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query("op7_secrets")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    s = F.col("secrets")
+    return credentials.find_secrets(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", s.n_assign.alias("n_assign"), s.n_access.alias("n_access"), s.n_hex.alias("n_hex"),
+        F.sha2(s.base, 256).alias("base_sha256"), s.spans.alias("spans"),
+    )

@@ -34,7 +34,7 @@ LOOKALIKES = {
 #: Marks that may stand between letters.
 MARKS = set(".-_*~,'/\\:;·•^#=")
 #: Costs (negative logarithms) of the channel.
-COST_LOOKALIKE, COST_KEPT, COST_MARK, COST_GAP, COST_REPEAT = 3.0, 7.0, 2.5, 2.5, 1.5
+COST_LOOKALIKE, COST_KEPT, COST_MARK, COST_GAP, COST_NO_GAP, COST_REPEAT = 3.0, 7.0, 2.0, 2.0, 0.5, 1.5
 
 _SIZE = 28
 _OTHER = 27
@@ -83,11 +83,11 @@ def readings(stretch: str) -> list[list[tuple[str, float]]]:
             kept = [(c * min(run, 3), COST_REPEAT * (run > 2))]
             nodes.append(kept if run == 1 else [*kept, (c, COST_REPEAT), *([(c * 2, COST_REPEAT)] if run > 2 else [])])
         elif c == " ":
-            nodes.append([(" ", 0.0), ("", COST_GAP)])
+            nodes.append([(" ", COST_GAP), ("", COST_NO_GAP)])
         else:
             options = [(x * n, COST_LOOKALIKE) for x in LOOKALIKES.get(c, "") for n in ((1, 2) if run > 1 else (1,))]
             if c in MARKS or c in "!":
-                options += [("", COST_MARK), (" ", COST_MARK)]
+                options += [("", COST_MARK), (" ", COST_MARK + COST_GAP)]
             nodes.append([*options, (c, COST_KEPT)])
     return nodes
 
@@ -281,7 +281,7 @@ def train_toxicity(docs: DataFrame, labelled: DataFrame, docs_per_class: int = D
     return ToxicityModel(characters, index, weights, bias)
 
 
-def _logistic(rows: list[list[int]], y: np.ndarray, n: np.ndarray, width: int, penalty: float = 2.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def _logistic(rows: list[list[int]], y: np.ndarray, n: np.ndarray, width: int, penalty: float = 0.3, steps: int = 400) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression on rows of ones, by Adam on the whole sample."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     cols = np.fromiter((c for r in rows for c in r), np.int64, len(owner))
