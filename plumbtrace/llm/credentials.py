@@ -164,7 +164,9 @@ class FormatModel:
 
     def kind_of(self, s: str) -> str | None:
         """The likeliest kind whose format the token has, if any."""
-        plain, best, score = sum(self.ordinary.get(c, self.unseen) for c in s), None, MARGIN
+        # ordinary text holds words and numbers
+        plain = -len(s) * math.log(10) if s.isdigit() else sum(self.ordinary.get(c, self.unseen) for c in s)
+        best, score = None, MARGIN
         for kind, (automaton, bar) in self.formats.items():
             p = automaton.log_likelihood(s)
             if p - plain > score and p / (len(s) + 1) >= bar:

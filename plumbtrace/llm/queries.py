@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import credentials, decontaminate, document_quality, language, mixing, token_frames, toxicity
+from . import credentials, decontaminate, document_quality, language, mixing, near_duplicates, token_frames, toxicity
 from .common import distinct_labels, fold, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", s.n_assign.alias("n_assign"), s.n_access.alias("n_access"), s.n_hex.alias("n_hex"),
         F.sha2(s.base, 256).alias("base_sha256"), s.spans.alias("spans"),
     )
+
+
+@query("op4_near_duplicates")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).drop("h")
