@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import credentials, decontaminate, document_quality, language, mixing, near_duplicates, token_frames, toxicity
+from . import (
+    credentials, decontaminate, document_quality, language, main_text, mixing, near_duplicates, one_bit_search, token_frames, toxicity,
+)
 from .common import distinct_labels, fold, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +114,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_near_duplicates")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).drop("h")
+
+
+@query("op8_one_bit_search")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return one_bit_search.search(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+@query("op10_main_text")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
