@@ -14,6 +14,9 @@ A task that is run again writes a new file; only files named in the manifest cou
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -32,48 +35,90 @@ FRAME_BYTES = 1 << 18
 #: Input bytes that one file holds about.
 FILE_BYTES = 64 << 20
 #: Distinct pieces of text whose ids a worker keeps.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 
 #: Fixed values of the public seekable format.
 SKIPPABLE, SEEK_MAGIC, INDEX_MAGIC, HAS_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50, 0x80
 
 
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """Loaded once for each worker; a worker has one task at a time, so threads would only add memory."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for a byte in byte-level vocabularies: itself if it is printable, else the next free one."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {**{b: chr(b) for b in printable}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
+
+
+class _Pieces(dict):
+    """Piece -> ids as bytes; a piece that isn't known yet is encoded by the library and kept."""
+
+    _LETTERS = _byte_letters()
+
+    def __init__(self, tokenizer, lead: str, stops: dict[str, bytes]):
+        super().__init__()
+        self.tokenizer, self.model, self.lead, self.stops = tokenizer, tokenizer.model, lead, stops
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[-1:] in self.stops and piece[-2:-1].isalpha():
+            ids = self[piece[:-1]] + self.stops[piece[-1]]
+        elif piece.isalpha():
+            # letters alone are one word of the pattern, so the vocabulary's merges can be asked directly
+            whole = (self.lead + piece).encode("utf-8")
+            found = self.model.tokenize("".join(map(self._LETTERS.__getitem__, whole)))
+            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        else:
+            found = self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Encodes whole texts with a byte-level BPE file, piece by piece.
 
     The vocabulary's word pattern never joins a blank with what stands before it, so a text may be cut
-    before each space that follows a character other than white space. Pieces repeat, so
-    the library encodes each of them once for as long as it is kept.
+    before each space that follows a character other than white space. A comma or stop after a letter is a
+    word of its own too. Pieces repeat, so the library encodes each of them once for as long as it is kept.
     """
 
-    def __init__(self, path: str, cache: int = CACHE_PIECES):
-        from tokenizers import Tokenizer
+    #: White space before a space: the cut there isn't safe.
+    _ODD = re.compile(r"\s ")
 
-        self.tokenizer, self.known, self.cache = Tokenizer.from_file(path), {}, cache
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        parts = text.split(" ")
-        out, last = [parts[0]], parts[0]
-        for p in parts[1:]:
-            if last and not last[-1].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-            last = p
-        return out
+    def __init__(self, path: str, cache: int = CACHE_PIECES):
+        self.tokenizer, self.cache = _tokenizer(path), cache
+        stops: dict[str, bytes] = {}
+        plain = _Pieces(self.tokenizer, "", stops)
+        stops.update({c: plain[c] for c in ",."})
+        #: Pieces as they stand, and pieces after a space.
+        self.first, self.later = _Pieces(self.tokenizer, "", stops), _Pieces(self.tokenizer, " ", stops)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        if len(self.known) > self.cache:
-            self.known.clear()
-        known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        for k in range(0, len(new), 4096):
-            for p, e in zip(new[k:k + 4096], self.tokenizer.encode_batch_fast(new[k:k + 4096], add_special_tokens=False)):
-                known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for known in (self.first, self.later):
+            if len(known) > self.cache:
+                known.clear()
+        out = []
+        get = self.later.__getitem__
+        for text in texts:
+            if self._ODD.search(text):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                head, *rest = text.split(" ")
+                out.append(b"".join([self.first[head] if head else b"", *map(get, rest)]))
+        return out
 
 
 class FrameWriter:
@@ -187,7 +232,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, text: str = "text
             if not len(batch):
                 continue
             if writer is None:
-                encode, shard = PieceEncoder(tokenizer), int(batch["shard"].iloc[0])
+                encode, shard = _encoder(tokenizer), int(batch["shard"].iloc[0])
                 path = f"{folder}/tokens-{shard:06d}-{uuid.uuid4().hex}.zst"
                 files_of, inner = _filesystem(path)
                 files_of.create_dir(inner.rsplit("/", 1)[0], recursive=True)
