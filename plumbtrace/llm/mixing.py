@@ -138,12 +138,13 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK_WORDS, share: float =
     at = F.greatest(F.col("start") - F.col("index") * block, F.lit(0))
     to = F.least(F.col("start") + F.col("size") - F.col("index") * block, F.lit(block))
     taken = (
-        parts.join(takes, ["s", "index"])
+        # sizes of generated rows can't be estimated: without the hint Spark might broadcast all blocks
+        parts.hint("merge").join(takes.hint("merge"), ["s", "index"])
         .withColumn("words", F.col("whole") * (to - at) + F.greatest(F.least(to, F.col("head")) - at, F.lit(0)))
         .groupBy("s", "start", "size").agg(F.sum("words").alias("taken"))
     )
     keyed = placed.select("doc_id", "h", "source", "size", "source_size", "target", "s", "start")
-    documents = keyed.join(taken, ["s", "start", "size"], "left").select(
+    documents = keyed.hint("merge").join(taken.hint("merge"), ["s", "start", "size"], "left").select(
         "doc_id", "h", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
     return documents, slots
@@ -163,11 +164,14 @@ def _slots(targets: DataFrame, seed: int, block: int, shard_slots: int) -> DataF
     groups = t.groupBy("group").agg(F.sum("n_slots").alias("in_group")).select(
         "group", F.coalesce(F.sum("in_group").over(Window.orderBy("group").rowsBetween(*before)), F.lit(0)).alias("group_start")
     )
-    all_slots = F.lit(t.agg(F.sum("n_slots")).first()[0] or 0).cast("long")
+    total = t.agg(F.sum("n_slots")).first()[0] or 0
+    all_slots = F.lit(total).cast("long")
     t = t.join(F.broadcast(groups), "group").withColumn(
         "first", F.col("group_start") + F.coalesce(F.sum("n_slots").over(Window.partitionBy("group").orderBy("s").rowsBetween(*before)), F.lit(0))
     )
-    chunks = t.where("n_slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK)))).repartition("s", "chunk")
+    chunks = t.where("n_slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK))))
+    # a chunk is few bytes but much work, so the number of tasks is given
+    chunks = chunks.repartition(max(targets.sparkSession.sparkContext.defaultParallelism * 2, -(-total // (16 * CHUNK))), "s", "chunk")
     k, n, n_full = F.col("k"), F.col("n"), F.col("n_full")
     slots = chunks.withColumn("k", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n_slots")) - 1)))
     slots = slots.withColumn("j", F.pmod(k, n)).withColumn("epoch", F.floor(k / n)).withColumn("whole", k < F.col("n_whole"))
