@@ -8,10 +8,10 @@
    the bucket's first component. A pair's signature bytes are compared in batches; it is dropped
    as soon as the posterior chance of a similarity at the bar falls under `miss`. What survives
    is verified on the full sets, and verified links merge components.
-4. Rest: in buckets that still hold several components, members outside the largest one are compared with
-   all others, block by block, in the same sequential way; survivors are verified as well. Pairs in
-   one component need no check, since they can't change the result. So no link is lost but by the chances
-   of the bands and of `miss`; nothing is capped.
+4. Rest: in buckets that still hold several components, all pairs of different components are compared in
+   the same sequential way and verified: of small buckets as rows, of larger ones where blocks of members
+   meet, so that pairs never become rows. Pairs in one component need no check, since they can't
+   change the result. So no link is lost but by the chances of the bands and of `miss`; nothing is capped.
 
 Links, components and labels stay distributed; each round is a written table.
 """
@@ -35,7 +35,8 @@ HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-4
 STAR_ROUNDS = 3
-BLOCK = 64
+#: Buckets of more members are compared by blocks of BLOCK.
+SMALL, BLOCK = 16, 256
 #: Candidate nodes (24 bytes each) whose keys are broadcast to fetch texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 _CHUNK = 1 << 17
@@ -247,33 +248,80 @@ def _star_pairs(told: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct()
 
 
-def _rest_pairs(told: DataFrame) -> DataFrame:
-    """Plausible pairs of different components in a bucket: members outside the largest component with all members."""
-    sizes = told.groupBy("key", "root").agg(F.count("*").alias("n"))
-    totals = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"))
-    packed = told.join(totals, "key").select(
-        "key", F.concat("node", "root", "card").alias("item"), (F.col("root") != F.col("most.root")).alias("minor"),
-        F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK)).alias("block"),
-    )
-    blocks = packed.groupBy("key", "block", "minor").agg(F.collect_list("item").alias("items"))
-    left = blocks.where("minor").select("key", F.col("items").alias("x"))
-    pairs = left.join(blocks.select("key", F.col("items").alias("y")), "key")
+def _small_pairs(told: DataFrame) -> DataFrame:
+    """Plausible pairs of different components inside buckets of SMALL members at most."""
+    packed = told.groupBy("key").agg(F.collect_list(F.concat("node", "root", "card")).alias("items"))
     width = 32 + 4 + HASHES
 
     @F.pandas_udf("array<struct<a: binary, b: binary>>")
-    def compare(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    def compare(buckets: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(xs, ys):
-            u, v = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, width) for z in (x, y))
-            i, j = (k.ravel() for k in np.meshgrid(np.arange(len(u)), np.arange(len(v)), indexing="ij"))
-            other = (u[i, 16:32] != v[j, 16:32]).any(1)
+        for items in buckets:
+            u = np.frombuffer(b"".join(items), np.uint8).reshape(-1, width)
+            i, j = np.triu_indices(len(u), 1)
+            other = (u[i, 16:32] != u[j, 16:32]).any(1)
             i, j = i[other], j[other]
-            keep = plausible(u[i, 32:], v[j, 32:])
-            found = {tuple(sorted((u[p, :16].tobytes(), v[q, :16].tobytes()))) for p, q in zip(i[keep], j[keep])}
+            keep = plausible(u[i, 32:], u[j, 32:])
+            found = (sorted((u[p, :16].tobytes(), u[q, :16].tobytes())) for p, q in zip(i[keep], j[keep]))
             out.append([{"a": a, "b": b} for a, b in found])
         return pd.Series(out)
 
-    return pairs.select(F.explode(compare("x", "y")).alias("p")).select("p.a", "p.b").distinct()
+    return packed.select(F.explode(compare("items")).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _block_links(told: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links between components inside larger buckets.
+
+    Each member has one block, by the first of its buckets, whatever other buckets it is in; two blocks meet once,
+    however many buckets they share. Pairs are compared and verified where blocks meet, and only links
+    come out: one for each two components that a meeting finds linked.
+    """
+    homes = told.groupBy("node", "root", "card").agg(F.min("key").alias("home"))
+    sizes = homes.groupBy("home").agg(F.count("*").alias("n"))
+    homes = materialise(
+        homes.join(sizes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))))
+        .select("node", "root", "card", "block"), "near_blocks",
+    )
+    roots = told.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"))
+    placed = told.select("key", "node", "root").join(homes.select("node", "block"), "node").join(roots, "key")
+    placed = placed.groupBy("key", "block").agg(F.max(F.col("root") != F.col("most.root")).alias("minor"))
+    meets = placed.where("minor").select("key", F.col("block").alias("x")).join(placed.select("key", F.col("block").alias("y")), "key")
+    meets = meets.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    sides = meets.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+
+    @F.pandas_udf("binary")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingler = Shingler()
+        for b in batches:
+            yield pd.Series([shingler(t).tobytes() for t in b], dtype=object)
+
+    members = materialise(homes.join(texts, "node").withColumn("set", packed("text")).drop("text"), "near_block_sets")
+    rows = sides.join(members, "block")
+
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(b, np.uint64) for b in group["set"]]
+        cards, roots_, nodes = _cards(group["card"]), group["root"].tolist(), group["node"].tolist()
+        first = (group["block"] == group["x"].iloc[0]).to_numpy()
+        inside = bool(first.all())
+        near: dict[bytes, bytes] = {}
+
+        def top(r: bytes) -> bytes:
+            while r in near:
+                r = near[r]
+            return r
+
+        out = []
+        for i in np.flatnonzero(first):
+            js = np.arange(i + 1, len(group)) if inside else np.flatnonzero(~first)
+            js = js[plausible(np.repeat(cards[i:i + 1], len(js), 0), cards[js])] if len(js) else js
+            for j in js:
+                u, v = top(roots_[i]), top(roots_[j])
+                if u != v and linked(sets[i], sets[j]):
+                    near[u] = v
+                    out.append(tuple(sorted((nodes[i], nodes[j]))))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return rows.groupBy("x", "y").applyInPandas(verify, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -309,11 +357,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         links = found if links is None else links.unionByName(found)
         labels = connected(links)
-    rest = _components_of(members, labels).join(matcher.cards, "node")
-    rest = _rest_pairs(rest)
+    rest = _components_of(members, labels)
+    large = rest.groupBy("key").agg((F.count("*") > SMALL).alias("large"))
+    rest = materialise(rest.join(large, "key").join(matcher.cards, "node"), "near_rest_members")
+    small = _small_pairs(rest.where("not large"))
     if tested is not None:
-        rest = rest.join(tested, ["a", "b"], "left_anti")
-    found = materialise(matcher.verify(materialise(rest, "near_rest")), "near_links")
+        small = small.join(tested, ["a", "b"], "left_anti")
+    found = matcher.verify(materialise(small, "near_rest"))
+    found = materialise(found.unionByName(_block_links(rest.where("large"), matcher.texts)), "near_links")
     if not found.isEmpty():
         links = found if links is None else links.unionByName(found)
         labels = connected(links)
