@@ -36,7 +36,7 @@ BATCH = 16
 MISS = 1e-4
 STAR_ROUNDS = 3
 #: Buckets of more members are compared by blocks of BLOCK.
-SMALL, BLOCK = 16, 256
+SMALL, BLOCK = 16, 1024
 #: Candidate nodes (24 bytes each) whose keys are broadcast to fetch texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 _CHUNK = 1 << 17
