@@ -99,7 +99,7 @@ def _word_counts(texts: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
         for batch in batches:
             for text in batch["text"]:
                 seen.update(filter(wanted.__contains__, words_of(text)))
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        yield pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "n": list(seen.values())})
 
     rows = texts.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {bytes(r.word): r.n for r in rows}

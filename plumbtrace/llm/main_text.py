@@ -255,7 +255,7 @@ def train_blocks(pages: DataFrame, column: str = "html", sample_pages: int = SAM
                     if block.says:
                         key = (block.says > 0, *np.round(block.shape(), 1))
                         kept[key] = kept.get(key, 0) + 1
-        yield pd.DataFrame({"y": [k[0] for k in kept], "x": [[float(v) for v in k[1:]] for k in kept], "n": list(kept.values())})
+        yield pd.DataFrame({"y": [k[0] for k in kept], "x": pd.Series([[float(v) for v in k[1:]] for k in kept], dtype=object), "n": list(kept.values())})
 
     rows = sample.mapInPandas(examples, "y boolean, x array<double>, n long").groupBy("y", "x").agg(F.sum("n").alias("n")).collect()
     if len({r.y for r in rows}) < 2:

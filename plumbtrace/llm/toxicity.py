@@ -253,7 +253,7 @@ def train_toxicity(docs: DataFrame, labelled: DataFrame, docs_per_class: int = D
             for text, y in zip(b["text"], b["y"]):
                 by[y].update(features_of(restorer.words(text)))
         names = list(by[0].keys() | by[1].keys())
-        yield pd.DataFrame({"feature": names, "n0": [by[0][x] for x in names], "n1": [by[1][x] for x in names]})
+        yield pd.DataFrame({"feature": pd.Series(names, dtype=object), "n0": [by[0][x] for x in names], "n1": [by[1][x] for x in names]})
 
     n1, n0 = min(sizes[1], docs_per_class), min(sizes[0], docs_per_class)
     odds = F.log((F.col("n1") + 0.5) / n1) - F.log((F.col("n0") + 0.5) / n0)
