@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbtrace.functions.scalars import ratio
 from .bounded import attach_one
-from .cleaning import quoted
+from .cleaning import nan_as_null, quoted
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -46,21 +46,23 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def distinct_including_null(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    """Distinct values per class, a missing value counting as one more."""
-    return df.groupBy(label).agg(*[
+    """Distinct values per class, a missing value (null or NaN) counting as one more."""
+    return nan_as_null(df, columns).groupBy(label).agg(*[
         (F.count_distinct(quoted(c)) + F.max(quoted(c).isNull().cast("int"))).alias(c) for c in columns])
 
 
 def null_ratio(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    return df.groupBy(label).agg(*[F.avg(quoted(c).isNull().cast("double")).alias(c) for c in columns])
+    """Share of missing values (null or NaN) per class."""
+    return nan_as_null(df, columns).groupBy(label).agg(*[F.avg(quoted(c).isNull().cast("double")).alias(c) for c in columns])
 
 
 def leakage_audit(df: DataFrame, label: str, malicious, columns: list[str]) -> DataFrame:
     """Three flags per column from one pass over the table.
 
     A column is constant when it has one value and no gaps, or only gaps; min = max
-    decides that without counting distinct values.
+    decides that without counting distinct values. NaN is a gap.
     """
+    df = nan_as_null(df, columns)
     bad = quoted(label) == malicious
 
     def facts(c: str, side: str, cond):

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plumbtrace.functions.scalars import coerce_double
+from plumbtrace.functions.scalars import coerce_double, nan_to_null
 
 # Cleaning presets of the flow table and of its benchmark variant.
 RARE_VALUES = {
@@ -23,10 +23,17 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def nan_as_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """Not-a-number counts as missing: null in the named (or all) floating-point columns."""
+    wanted = set(df.columns if columns is None else columns)
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    return df.select(*[nan_to_null(quoted(c)).alias(c) if c in wanted & floats else quoted(c) for c in df.columns])
+
+
 def drop_sparse_columns(df: DataFrame, min_non_null: int | None = None,
                         fraction: float = 0.7, floor: int = 1000) -> DataFrame:
-    """Keep columns with enough non-null values: one aggregate over the whole table."""
-    counts = df.agg(F.count("*").alias("_n"), *[F.count(quoted(c)).alias(c) for c in df.columns]).first()
+    """Keep columns with enough values that are neither null nor NaN: one aggregate over the whole table."""
+    counts = nan_as_null(df).agg(F.count("*").alias("_n"), *[F.count(quoted(c)).alias(c) for c in df.columns]).first()
     need = min_non_null if min_non_null is not None else max(floor, int(fraction * counts["_n"]))
     return df.select([quoted(c) for c in df.columns if counts[c] >= need])
 

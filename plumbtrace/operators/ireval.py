@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbtrace.functions.scalars import array_sum, ratio, rounded
+from .bounded import join_on
 
 
 def first_hit(relevant: Column) -> Column:
@@ -15,6 +16,17 @@ def first_hit(relevant: Column) -> Column:
     return F.when(p > 0, p).cast("int")
 
 
+def first_hit_rank(df: DataFrame, keys: list[str], order: str, hit: Column) -> DataFrame:
+    """(keys, first_hit): rank of the first row that is a hit, over the whole list of each key; null without one.
+
+    Two aggregates and no gathered list, so lists of any length will do. `order` ranks rows without ties.
+    """
+    first = df.groupBy(*keys).agg(F.min(F.when(hit, F.col(order))).alias("_first"))
+    joined = join_on(df.select(*keys, order), first, keys)
+    n = F.count_if(F.col(order) <= F.col("_first")).cast("int")
+    return joined.groupBy(*keys).agg(F.when(n > 0, n).alias("first_hit"))
+
+
 def precision_at(relevant: Column, k: int) -> Column:
     """Hits among the first k over k, however short the list is."""
     return F.size(F.filter(F.slice(relevant, 1, k), lambda r: r)) / F.lit(float(k))

@@ -8,6 +8,8 @@ window sees them, so one very frequent value is one row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -17,10 +19,13 @@ BUCKETS = 256
 
 
 def boundaries(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
-    """Distinct quantiles of a numeric column: at most `buckets` numbers reach the driver."""
+    """Distinct finite quantiles of a numeric column: at most `buckets` numbers reach the driver.
+
+    Infinite values need no bound of their own: they fall in the first or the last bucket.
+    """
     probes = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(F.col(value).cast("double"), probes, 10 * buckets).alias("q")).first()
-    return sorted({float(v) for v in (row["q"] or []) if v is not None})
+    return sorted({float(v) for v in (row["q"] or []) if v is not None and math.isfinite(v)})
 
 
 def with_bucket(df: DataFrame, value: str, bounds: list[float], out: str = "_bucket") -> DataFrame:

@@ -157,7 +157,7 @@ def quota_sample(df: DataFrame, query: str, engine: str, cell: str, level: str,
     For each seed a query offers itself to one engine chosen by hash, so it cannot
     be used twice. Within a cell the quota takes queries in hash order. The
     smallest seed whose draw fills all quotas and has `minimum` rows of each level
-    wins; no seed, no rows.
+    wins; without such a seed it raises ValueError.
     """
     needed = F.create_map(*[x for (c, e), q in quotas.items() for x in (F.lit(f"{c}|{e}"), F.lit(q))])
     engines = sorted({e for _, e in quotas})
@@ -177,7 +177,10 @@ def quota_sample(df: DataFrame, query: str, engine: str, cell: str, level: str,
     for c in checks:
         ok = ok & c
     valid = picked.groupBy("seed").agg(ok.alias("ok")).filter("ok").agg(F.min("seed").alias("seed"))
-    return picked.join(F.broadcast(valid.filter("seed IS NOT NULL")), "seed").select("seed", query, engine, cell, level)
+    seed = valid.first()["seed"]
+    if seed is None:
+        raise ValueError(f"none of {seeds} seeds fills all quotas with {minimum} rows of each level")
+    return picked.where(F.col("seed") == seed).select("seed", query, engine, cell, level)
 
 
 def blinded(df: DataFrame, key: list[str], seed, prefix: str = "A", width: int = 2, out: str = "id") -> DataFrame:

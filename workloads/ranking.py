@@ -216,14 +216,11 @@ def w05(spark, d):
 
 
 @query("w06_first_hit", f"""WITH {JUDGED}, r AS (SELECT user_id, engine, event_id, score, row_number() OVER (PARTITION BY user_id, engine ORDER BY event_id) AS rank FROM judged)
-SELECT user_id, engine, min(rank) FILTER (score = 2)::INTEGER AS first_hit FROM r WHERE rank <= 20 GROUP BY ALL""")
+SELECT user_id, engine, min(rank) FILTER (score = 2)::INTEGER AS first_hit FROM r GROUP BY ALL""")
 def w06(spark, d):
-    from plumbtrace.operators.ireval import first_hit
+    from plumbtrace.operators.ireval import first_hit_rank
 
-    # result lists of 20 items: the list length bounds what is gathered
-    ranked = ordered.top_k(judged(spark, d), ["user_id", "engine"], [F.col("event_id")], 20)
-    runs = ranked.groupBy("user_id", "engine").agg(F.array_sort(F.collect_list(F.struct("rank", "score"))).alias("items"))
-    return runs.select("user_id", "engine", first_hit(F.transform("items", lambda x: x["score"] == 2)).alias("first_hit"))
+    return first_hit_rank(judged(spark, d), ["user_id", "engine"], "event_id", F.col("score") == 2)
 
 
 @query("w07_blinded_ids", f"""
