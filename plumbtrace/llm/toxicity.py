@@ -222,9 +222,22 @@ class ToxicityModel:
                 found = cache[word] = tuple(k for f in features_of((word,)) if (k := get(f)) is not None)
             return found
 
+        by_token: dict[str, tuple[int, ...]] = {}
+
         def score(text: str | None) -> float:
-            hit = {k for word in restorer.words(text) for k in of_word(word)} if text else ()
-            z = self.bias + sum(w[k] for k in hit)
+            hit: set[int] = set()
+            tokens = text.lower().split() if text else []
+            if len(by_token) > CACHE_WORDS:
+                by_token.clear()
+            for t in set(tokens):
+                found = by_token.get(t)
+                if found is None:
+                    found = by_token[t] = tuple({k for word in restore_token(t, self.characters).split() for k in of_word(word)})
+                if found:
+                    hit.update(found)
+            for word in restorer._spaced(tokens):
+                hit.update(of_word(word))
+            z = self.bias + sum(w[k] for k in sorted(hit))
             return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
         return score
