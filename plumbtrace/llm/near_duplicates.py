@@ -173,24 +173,29 @@ def shingled(docs: DataFrame) -> DataFrame:
     return materialise(rows.select("doc_id", "h", "s.*"), "near_sets")
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every a of edges (a > b) has one b, and no b is an a: then each component's smallest node is its b."""
+    ups = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    downs = edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    by_node = ups.unionByName(downs).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return by_node.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with an edge (a, b); root: the smallest node reachable.
 
-    Alternating large-star and small-star steps on written tables, until nothing changes.
+    Alternating large-star and small-star steps on written tables, until only stars are left.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near_edges")
-    mark = None
-    while True:
+    while not _only_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # as many rows as edges at most, so repeated ones wait for the end of the step
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         now = materialise(small.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct(), "near_stars")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = new
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 class _Matcher:

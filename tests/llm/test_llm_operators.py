@@ -172,6 +172,21 @@ def test_near_duplicates_keep_one_and_edges(spark, docs):
     assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edges", [
+    [], [(5, 3)], [(3, 3), (4, 3)], [(k, k + 1) for k in range(40)], [(40, k) for k in range(40)],
+    [(random.Random(k).randrange(60), random.Random(k + 500).randrange(60)) for k in range(45)],
+])
+def test_components_match_union_find(spark, edges):
+    top: dict[int, int] = {}
+    for a, b in edges:
+        if a != b:
+            x, y = top.get(a, a), top.get(b, b)
+            for n in [a, b, *[n for n, r in top.items() if r in (x, y)]]:
+                top[n] = min(x, y)
+    df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")
+    assert {r.node[0]: r.root[0] for r in near_duplicates.connected(df).collect()} == {n: r for n, r in top.items() if n != r}
+
+
 def test_restoring_and_toxicity(spark):
     characters = toxicity.CharacterModel(toxicity.trigram_counts(["you are a stupid idiot", "what a loser", "the moron and the clown"] * 50))
     restorer = toxicity.Restorer(characters)
