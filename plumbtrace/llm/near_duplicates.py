@@ -4,16 +4,15 @@
    from here on, so copies are never paired.
 2. MinHash signatures are cut into bands; nodes that share a band's key are candidates. Signatures are
    also kept as one byte for each hash function.
-3. Star rounds: in each bucket one member of every component found so far is paired with one of
-   the bucket's first component. A pair's signature bytes are compared in batches; it is dropped
-   as soon as the posterior chance of a similarity at the bar falls under `miss`. What survives
-   is verified on the full sets, and verified links merge components.
+3. Stars: in each bucket every node is paired with the smallest. A pair's signature bytes are compared in
+   batches; it is dropped as soon as the posterior chance of a similarity at the bar falls under `miss`.
+   What survives is verified on the full sets, and verified links merge components.
 4. Rest: in buckets that still hold several components, all pairs of different components are compared in
    the same sequential way and verified: of small buckets as rows, of larger ones where blocks of members
    meet, so that pairs never become rows. Pairs in one component need no check, since they can't
    change the result. So no link is lost but by the chances of the bands and of `miss`; nothing is capped.
 
-Links, components and labels stay distributed; each round is a written table.
+Links, components and labels stay distributed; each step is a written table.
 """
 
 from __future__ import annotations
@@ -34,7 +33,6 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-4
-STAR_ROUNDS = 3
 #: Buckets of more members are compared by blocks of BLOCK.
 SMALL, BLOCK = 16, 1024
 #: Candidate nodes (24 bytes each) whose keys are broadcast to fetch texts; more are joined by a shuffle.
@@ -198,59 +196,52 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-class _Matcher:
-    """Prunes and verifies pairs of nodes."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that link on their full sets."""
 
-    def __init__(self, cards: DataFrame, texts: DataFrame):
-        self.cards, self.texts = cards, texts
+    @F.pandas_udf("boolean")
+    def same(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        shingler, kept = Shingler(), {}
+        for a, b in batches:
+            out = []
+            for x, y in zip(a, b):
+                if x not in kept:  # a star's centre comes many times in a row
+                    kept = {x: shingler(x)}
+                out.append(linked(kept[x], shingler(y)))
+            yield pd.Series(out, dtype=bool)
 
-    def both(self, pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(table.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
-        return pairs
+    for side in "ab":
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
+    return pairs.where(same("text_b", "text_a")).select("a", "b")
 
-    def prune(self, pairs: DataFrame) -> DataFrame:
-        @F.pandas_udf("boolean")
-        def likely(a: pd.Series, b: pd.Series) -> pd.Series:
-            out = np.zeros(len(a), bool)
-            if len(a):
-                out[plausible(_cards(a), _cards(b))] = True
-            return pd.Series(out)
 
-        return self.both(pairs, self.cards, "card").where(likely("card_a", "card_b")).select("a", "b")
+def _members(candidates: DataFrame, *more: str) -> DataFrame:
+    return candidates.select("node", "card", *more, F.explode("keys").alias("key"))
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        @F.pandas_udf("boolean")
-        def same(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            shingler, kept = Shingler(), {}
-            for a, b in batches:
-                out = []
-                for x, y in zip(a, b):
-                    if x not in kept:  # a star's centre comes many times in a row
-                        kept = {x: shingler(x)}
-                    out.append(linked(kept[x], shingler(y)))
-                yield pd.Series(out, dtype=bool)
 
-        return self.both(pairs, self.texts, "text").where(same("text_b", "text_a")).select("a", "b")
+def _star_pairs(members: DataFrame) -> DataFrame:
+    """Plausible pairs of a bucket's members with its smallest node."""
 
+    @F.pandas_udf("boolean")
+    def likely(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.zeros(len(a), bool)
+        if len(a):
+            out[plausible(_cards(a), _cards(b))] = True
+        return pd.Series(out)
 
-def _components_of(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of the buckets that hold more than one component: (key, node, root)."""
-    if labels is None:
-        return members.withColumn("root", F.col("node"))
-    told = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    told = materialise(told, "near_members")
-    mixed = told.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    return told.join(mixed, "key")
+    first = members.groupBy("key").agg(F.min(F.struct("node", "card")).alias("first"))
+    pairs = members.join(first, "key").where("node <> first.node").where(likely("card", "first.card"))
+    return pairs.select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
 
 
-def _star_pairs(told: DataFrame, turn: int) -> DataFrame:
-    """One member of every component of a bucket with one of its first component."""
-    reps = told.groupBy("key", "root").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("luck"), "node")).alias("rep"))
-    reps = reps.select("key", "root", "rep.node")
-    first = reps.groupBy("key").agg(F.min(F.struct("root", "node")).alias("first"))
-    pairs = reps.join(first, "key").where("root <> first.root")
-    return pairs.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct()
+def _mixed_buckets(candidates: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the buckets that hold more than one component: (key, node, root, card, large)."""
+    if labels is None:
+        told = _members(candidates.withColumn("root", F.col("node")), "root")
+    else:
+        told = _members(candidates.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "root")
+    mixed = told.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), (F.count("*") > SMALL).alias("large"))
+    return told.join(mixed.where("x <> y").select("key", "large"), "key")
 
 
 def _small_pairs(told: DataFrame) -> DataFrame:
@@ -345,33 +336,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     placed = nodes.select("node", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = materialise(placed.join(shared, "key").select("key", "node"), "near_buckets")
-    asked = members.select("node").distinct()
-    candidates = materialise(nodes.join(asked, "node").select("node", "pick", "card"), "near_candidates")
-    matcher = _Matcher(candidates.select("node", "card"), _texts(docs, candidates))
-
-    labels, links, tested = None, None, None
-    for turn in range(STAR_ROUNDS):
-        pairs = _star_pairs(_components_of(members, labels), turn)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near_pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = materialise(matcher.verify(matcher.prune(pairs)), "near_links")
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        labels = connected(links)
-    rest = _components_of(members, labels)
-    large = rest.groupBy("key").agg((F.count("*") > SMALL).alias("large"))
-    rest = materialise(rest.join(large, "key").join(matcher.cards, "node"), "near_rest_members")
-    small = _small_pairs(rest.where("not large"))
-    if tested is not None:
-        small = small.join(tested, ["a", "b"], "left_anti")
-    found = matcher.verify(materialise(small, "near_rest"))
-    found = materialise(found.unionByName(_block_links(rest.where("large"), matcher.texts)), "near_links")
+    # a node has BANDS keys at most
+    asked = placed.join(shared, "key").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    candidates = materialise(nodes.join(asked, "node").select("node", "pick", "card", "keys"), "near_candidates")
+    texts = _texts(docs, candidates)
+
+    stars = materialise(_star_pairs(_members(candidates)), "near_pairs")
+    found = materialise(_verified(stars, texts), "near_links")
+    labels = None if found.isEmpty() else connected(found)
+    rest = materialise(_mixed_buckets(candidates, labels), "near_rest_members")
+    small = _small_pairs(rest.where("not large")).join(stars.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
+    found = _verified(materialise(small, "near_rest"), texts)
+    found = materialise(found.unionByName(_block_links(rest.where("large"), texts)), "near_links")
     if not found.isEmpty():
-        links = found if links is None else links.unionByName(found)
+        # the components so far are stars already
+        links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
         labels = connected(links)
 
     named = nodes.select("node", "least")
