@@ -296,24 +296,20 @@ def _block_links(told: DataFrame, texts: DataFrame) -> DataFrame:
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(b, np.uint64) for b in group["set"]]
-        cards, roots_, nodes = _cards(group["card"]), group["root"].tolist(), group["node"].tolist()
+        cards, nodes = _cards(group["card"]), group["node"].tolist()
+        component = pd.factorize(group["root"])[0]
         first = (group["block"] == group["x"].iloc[0]).to_numpy()
-        inside = bool(first.all())
-        near: dict[bytes, bytes] = {}
-
-        def top(r: bytes) -> bytes:
-            while r in near:
-                r = near[r]
-            return r
-
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        if len(right) and len(right) < len(left):  # one batch of comparisons for each of the fewer
+            left, right = right, left
         out = []
-        for i in np.flatnonzero(first):
-            js = np.arange(i + 1, len(group)) if inside else np.flatnonzero(~first)
+        for i in left:
+            js = right if len(right) else np.arange(i + 1, len(group))
+            js = js[component[js] != component[i]]
             js = js[plausible(np.repeat(cards[i:i + 1], len(js), 0), cards[js])] if len(js) else js
             for j in js:
-                u, v = top(roots_[i]), top(roots_[j])
-                if u != v and linked(sets[i], sets[j]):
-                    near[u] = v
+                if component[i] != component[j] and linked(sets[i], sets[j]):
+                    component[component == component[j]] = component[i]
                     out.append(tuple(sorted((nodes[i], nodes[j]))))
         return pd.DataFrame(out, columns=["a", "b"])
 
