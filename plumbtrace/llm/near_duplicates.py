@@ -324,6 +324,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     come as often as they stand, with one component. A null doc_id counts only where a component has no other
     (component_id is null then), and isn't kept. Only doc_id and text are read, so other columns don't matter.
     """
+    return _with_roots(docs).drop("root")
+
+
+def _with_roots(docs: DataFrame) -> DataFrame:
+    """What near_duplicates() returns, and root: the smallest node of the row's component, null for empty sets.
+
+    Unlike component_id, which is null or repeated where doc_ids are, root names a component.
+    """
     rows = shingled(docs)
     nodes = materialise(
         rows.where("n_shingles > 0").groupBy("node").agg(
@@ -353,12 +361,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if labels is not None:
         named = named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = named.join(smallest, "root").select("node", "component_id")
+        named = named.join(smallest, "root").select("node", "root", "component_id")
     else:
-        named = named.select("node", F.col("least").alias("component_id"))
+        named = named.select("node", F.col("node").alias("root"), F.col("least").alias("component_id"))
     out = rows.select("doc_id", "h", "n_shingles", "node").join(named, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "h", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return out.select("doc_id", "h", "n_shingles", "component_id", kept, "root")
 
 
 def _texts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -377,9 +386,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     The row with the smallest doc_id stays (of rows with one id, that with the smallest hash of its text; of equal rows, one).
     """
-    found = near_duplicates(docs)
+    found = _with_roots(docs)
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")
-    grouped = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(order).alias("m"), F.count("*").alias("n"))
+    grouped = found.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("m"))
     keep = grouped.select(F.col("m.doc_id").alias("keep_id"), F.col("m.h").alias("keep_h"))
     tagged = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("h"), F.col("doc_id"))
     kept = tagged.join(keep, (F.col("h") == F.col("keep_h")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))

@@ -172,6 +172,18 @@ def test_near_duplicates_keep_one_and_edges(spark, docs):
     assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_keep_one_of_each_component_without_an_id(spark):
+    linked = prose(700, 80)
+    rows = [(None, prose(710 + k, 60)) for k in range(5)] + [(None, linked), (None, linked + " more"), (None, linked)]
+    rows += [(7, prose(720 + k, 60)) for k in range(4)] + [(7, prose(720, 60))]
+    rows += [(8, prose(730, 60)), (8, prose(731, 60)), (9, prose(731, 60)), (None, prose(731, 60)), (None, ""), (None, None)]
+    kept = near_duplicates.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    either = [got.pop((None, t), 0) for t in (linked, linked + " more")]
+    assert sum(either) == 1
+    assert got == Counter([*rows[:5], *rows[8:12], *rows[13:15], *rows[17:]])
+
+
 @pytest.mark.parametrize("edges", [
     [], [(5, 3)], [(3, 3), (4, 3)], [(k, k + 1) for k in range(40)], [(40, k) for k in range(40)],
     [(random.Random(k).randrange(60), random.Random(k + 500).randrange(60)) for k in range(45)],
