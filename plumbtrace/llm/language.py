@@ -18,11 +18,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbtrace.sources.scratch import materialise
+
 UNDETERMINED = "und"
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Labelled documents of each language that the network is trained on at most, about.
+#: Distinct labelled texts of each language that the network is trained on at most.
 DOCS_PER_LANGUAGE = 600
 WINDOWS_PER_DOC = 3
 BATCH_WINDOWS = 256
@@ -118,28 +120,38 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 def train_language_model(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, seed: int = 3) -> ByteNet | None:
     """Fit on `labelled` (text, lang); null texts and languages teach nothing. No usable row: None.
 
-    Documents are chosen by a hash of their text, so the sample doesn't depend on the partitioning.
+    Of each language's distinct texts, those with the smallest hashes are taken, so the sample depends neither on the
+    partitioning nor on how often a text comes; every language with a usable row has examples.
     """
     rows = labelled.select("text", "lang").where("lang is not null and text is not null and text rlike '\\\\p{L}'")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    rows = rows.withColumn("luck", F.xxhash64("text", F.lit(seed)))
+    distinct = materialise(rows.select("lang", "luck").distinct(), "language_texts")
+    counts = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts or docs_per_language < 1:
         return None
-    luck = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30))
-    bar = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, docs_per_language / n) * (1 << 30)))])
+    # hashes under the bar are enough and few: by 8 standard deviations more than wanted, or all
+    asked = docs_per_language + 8 * docs_per_language ** 0.5 + 64
+    bars = {k: (1 << 63) - 1 if n <= asked else int(asked / n * (1 << 64)) - (1 << 63) for k, n in counts.items()}
+    bar = F.create_map(*[F.lit(v) for pair in bars.items() for v in pair])
+    first: dict[str, list[int]] = {}
+    for r in distinct.where(F.col("luck") <= F.element_at(bar, F.col("lang"))).collect():
+        first.setdefault(r.lang, []).append(r.luck)
+    taken = [(lang, k) for lang, lucks in first.items() for k in sorted(lucks)[:docs_per_language]]
+    taken = F.broadcast(labelled.sparkSession.createDataFrame(taken, "lang string, luck long"))
 
     @F.pandas_udf("array<binary>")
     def cut(texts: pd.Series, lucks: pd.Series) -> pd.Series:
         out = []
         for text, k in zip(texts, lucks):
-            data, rng = _bytes(text), np.random.default_rng(k)
+            data, rng = _bytes(text), np.random.default_rng(k % (1 << 30))
             size = rng.integers(12, WINDOW, WINDOWS_PER_DOC, endpoint=True)
             starts = [int(rng.integers(0, max(1, len(data) - s + 1))) for s in size]
             out.append([data[a:a + s].tobytes() for a, s in zip(starts, size)])
         return pd.Series(out)
 
     sample = (
-        rows.where(luck < F.element_at(bar, F.col("lang"))).select("lang", F.explode(cut("text", luck)).alias("data"))
-        .where("length(data) > 0").collect()
+        rows.join(taken, ["lang", "luck"]).groupBy("lang", "luck").agg(F.first("text").alias("text"))
+        .select("lang", F.explode(cut("text", "luck")).alias("data")).where("length(data) > 0").collect()
     )
     languages = sorted(counts)
     sample.sort(key=lambda r: (r.lang, bytes(r.data)))
