@@ -1,11 +1,12 @@
 """Secret scans: base patterns, and formats learned by grammar inference.
 
-Credentials that the base patterns find in a bounded sample of documents are the labelled
-strings. For each kind they form a prefix tree; its states are merged, breadth first, wherever their
+Credentials that the base patterns find in all documents are the labelled strings; of each kind, a bounded
+number is learned from. They form a prefix tree; its states are merged, breadth first, wherever their
 continuations are statistically compatible (Hoeffding bounds), which folds the tree into a
-probabilistic automaton of the format. Every candidate token of every text is scored by the automata: the log-likelihood for
-each character must be one that labelled credentials reach, and the likelihood must exceed by far
-that of ordinary words, whose characters are counted from the same sample.
+probabilistic automaton of the format. Every run of credential characters of every text, and every part of it
+between dots, is scored by the automata: the log-likelihood for each character must be one that labelled credentials
+reach, and the likelihood must exceed by far that of ordinary text, whose pairs of neighbouring characters are
+counted over all documents.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Documents that formats are learned from at most, about, and distinct credentials of each kind.
-SAMPLE_DOCS = 40_000
+from plumbtrace.sources.scratch import materialise
+
+#: Distinct credentials of each kind that formats are learned from at most.
 CREDENTIALS_PER_KIND = 600
 ALPHA = 0.01
 #: Nats by which a format must be likelier than ordinary text.
@@ -33,8 +35,17 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: Candidates: runs of credential characters of this length at least.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Candidates: runs of credential characters, as long as the shortest base credential at least.
+SHORTEST = 6
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+_PART = re.compile(r"[^.]+")
+#: Share of all characters that one needs for pairs to count as much as single characters; else credentials
+#: that nothing labels would make their own rare characters ordinary.
+BACK_OFF = 0.01
+#: Before and after a run of ordinary text.
+_EDGE = " "
+#: Distinct runs that are remembered at once.
+_KNOWN = 200_000
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -143,14 +154,33 @@ class FormatAutomaton:
             at = row[1][c]
         return total + (self.table[at][2] if at in self.table else -math.inf)
 
+    def prefixes(self, s: str, start: int, ends: set[int]) -> Iterator[tuple[int, float]]:
+        """(end, log-likelihood of s[start:end]) for those of `ends` that the automaton gets to."""
+        at, total = 0, 0.0
+        for k in range(start, len(s)):
+            row = self.table.get(at)
+            if row is None or s[k] not in row[0]:
+                return
+            total += row[0][s[k]]
+            at = row[1][s[k]]
+            if k + 1 in ends and at in self.table:
+                yield k + 1, total + self.table[at][2]
 
-class FormatModel:
-    """Automata of all kinds, their bars, and the costs of ordinary characters."""
 
-    def __init__(self, credentials: dict[str, list[str]], words: Counter):
-        total = sum(words.values()) + 80
-        self.ordinary = {c: math.log((n + 1) / total) for c, n in words.items()}
-        self.unseen = math.log(1 / total)
+class FormatModel:
+    """Automata of all kinds, their bars, and the costs of ordinary text; `pairs` counts its pairs of neighbouring characters."""
+
+    def __init__(self, credentials: dict[str, list[str]], pairs: Counter):
+        after, before = Counter(), Counter()
+        for (x, y), n in pairs.items():
+            after[y] += n
+            before[x] += n
+        total = sum(after.values()) + 80
+        self.single = {c: (n + 1) / total for c, n in after.items()}
+        self.unseen, self.back_off = 1 / total, BACK_OFF * total
+        self.pairs, self.before = dict(pairs), dict(before)
+        self.costs: dict[str, float] = {}
+        self.known: dict[str, list[tuple[str, int, int]]] = {}
         self.formats: dict[str, tuple[FormatAutomaton, float]] = {}
         for kind, strings in credentials.items():
             if len(strings) >= 20:
@@ -161,65 +191,122 @@ class FormatModel:
                 rates = [r for r in rates if r > -math.inf]
                 if rates:
                     self.formats[kind] = automaton, rates[int(BELOW * len(rates))]
-
-    def kind_of(self, s: str) -> str | None:
-        """The likeliest kind whose format the token has, if any."""
-        # ordinary text holds words and numbers
-        plain = -len(s) * math.log(10) if s.isdigit() else sum(self.ordinary.get(c, self.unseen) for c in s)
+        # what an automaton accepts consists of characters that it knows; most texts hold no such run
+        known = ("".join(map(re.escape, sorted({c for row, _, _ in a.table.values() for c in row}))) for a, _ in self.formats.values())
+        self.gate = re.compile("|".join(f"[{x}]{{{SHORTEST},}}" for x in sorted(set(known)) if x) or "(?!)")
+
+    def _cost(self, pair: str) -> float:
+        """Log-probability of a character after another, backing off to that of the character alone."""
+        if pair not in self.costs:
+            x, y = pair
+            n, single = self.before.get(x, 0), self.single.get(y, self.unseen)
+            self.costs[pair] = math.log((self.pairs.get(pair, 0) + self.back_off * single) / (n + self.back_off))
+        return self.costs[pair]
+
+    def ordinary(self, s: str) -> float:
+        """Log-likelihood as ordinary text, which holds words and numbers."""
+        t = _EDGE + s + _EDGE
+        plain = sum(self._cost(t[k:k + 2]) for k in range(len(t) - 1))
+        return max(plain, -len(s) * math.log(10)) if s.isdigit() else plain
+
+    def _likeliest(self, s: str, start: int, ends: set[int]) -> tuple[str, int] | None:
         best, score = None, MARGIN
         for kind, (automaton, bar) in self.formats.items():
-            p = automaton.log_likelihood(s)
-            if p - plain > score and p / (len(s) + 1) >= bar:
-                best, score = kind, p - plain
+            for end, p in automaton.prefixes(s, start, ends):
+                n = end - start
+                if n >= SHORTEST and p / (n + 1) >= bar:
+                    gain = p - self.ordinary(s[start:end])
+                    if gain > score:
+                        best, score = (kind, end), gain
         return best
 
+    def found(self, run: str) -> list[tuple[str, int, int]]:
+        """(kind, start, end) of what has a learned format: the run, or parts of it that dots bound."""
+        if run not in self.known:
+            if len(self.known) >= _KNOWN:
+                self.known.clear()
+            parts = [m.span() for m in _PART.finditer(run)]
+            ends, out, at = {b for _, b in parts} | {len(run)}, [], 0
+            for a in sorted({0, *(a for a, _ in parts)}):
+                best = self._likeliest(run, a, ends) if a >= at else None
+                if best:
+                    kind, at = best
+                    out.append((kind, a, at))
+            self.known[run] = out
+        return self.known[run]
+
     def added(self, text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int]]:
-        """Candidates of a learned format that no base span touches; words without a digit are no candidates."""
+        """What has a learned format and touches no base span."""
+        hopes = self.gate.search
+        if not hopes(text) or not any([self.found(run) for run in set(_CANDIDATE.findall(text)) if hopes(run)]):
+            return []
         out, k = [], 0
         for m in _CANDIDATE.finditer(text):
-            s = m[0]
-            if s.isalpha():
-                continue
             while k < len(base) and base[k][2] <= m.start():
                 k += 1
-            if any(a < m.end() and m.start() < b for _, a, b, _ in base[k:k + 4]) or not any(map(str.isdigit, s)):
+            if not hopes(m[0]) or not self.found(m[0]):  # no part of it has a format either
                 continue
-            kind = self.kind_of(s)
-            if kind:
-                out.append((kind, m.start(), m.end()))
+            # base spans are in order of their starts; those that touch the run take the parts that they touch out of it
+            taken = [(a, b) for _, a, b, _ in base[k:] if a < m.end() and m.start() < b] if k < len(base) and base[k][1] < m.end() else []
+            for start, run in _left(m[0], m.start(), taken) if taken else [(m.start(), m[0])]:
+                out += [(kind, start + a, start + b) for kind, a, b in self.found(run)]
         return out
 
 
-def train_formats(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, per_kind: int = CREDENTIALS_PER_KIND, seed: int = 29) -> FormatModel:
-    """Learn from a sample of documents chosen by a hash of their text; without credentials no format is learned."""
+def _left(run: str, start: int, taken: list[tuple[int, int]]) -> list[tuple[int, str]]:
+    """What the parts that touch none of `taken` leave of a run: (start, longest rows of such parts)."""
+    rows: list[list[int]] = []
+    joined = False
+    for m in _PART.finditer(run):
+        a, b = m.start() + start, m.end() + start
+        if any(x < b and a < y for x, y in taken):
+            joined = False
+        elif joined:
+            rows[-1][1] = b
+        else:
+            rows.append([a, b])
+            joined = True
+    return [(a, run[a - start:b - start]) for a, b in rows]
+
+
+def train_formats(docs: DataFrame, text: str = "text", per_kind: int = CREDENTIALS_PER_KIND) -> FormatModel:
+    """Learn from all documents, and of each kind's distinct credentials from the first by hash; without credentials no format is learned."""
     texts = docs.select(F.col(text).alias("text")).where("text is not null")
-    n = texts.count()
-    bar = int(min(1.0, sample_docs / max(n, 1)) * (1 << 30))
-    sample = texts.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) < bar)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        secrets, words = {k: set() for k in KINDS}, Counter()
+        secrets, runs, pairs = {k: set() for k in KINDS}, Counter(), Counter()
         for b in batches:
             for t in b["text"]:
-                for kind, _, _, secret in base_spans(t):
+                rest, at = [], 0
+                for kind, start, end, secret in base_spans(t):
                     secrets[kind].add(secret)
-                words.update(m[0] for m in _CANDIDATE.finditer(t) if m[0].isalpha())
-        letters = Counter()
-        for w, c in words.items():
-            for x in w:
-                letters[x] += c
+                    if len(secrets[kind]) > 4 * per_kind:
+                        secrets[kind] = set(sorted(secrets[kind], key=_order)[:per_kind])
+                    rest.append(t[at:max(at, start)])
+                    at = max(at, end)
+                runs.update(_CANDIDATE.findall("\n".join([*rest, t[at:]])))
+                if len(runs) > _KNOWN:
+                    _count_pairs(runs, pairs)
+                    runs.clear()
+        _count_pairs(runs, pairs)
         rows = []
         for k, found in secrets.items():  # the first by hash of all are among the first of each task
             rows += [(k, s, 0) for s in sorted(found, key=_order)[:per_kind]]
-        rows += [("", c, v) for c, v in letters.items()]
+        rows += [("", c, v) for c, v in pairs.items()]
         yield pd.DataFrame(rows, columns=["kind", "value", "n"])
 
-    found = sample.mapInPandas(find, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
-    words = Counter({r.value: r.n for r in found.where("kind = ''").collect()})
+    found = materialise(texts.mapInPandas(find, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")), "secrets_found")
+    pairs = Counter({r.value: r.n for r in found.where("kind = ''").collect()})
     credentials = {
         k: [r.value for r in found.where(F.col("kind") == k).orderBy(F.sha2("value", 256), "value").limit(per_kind).collect()] for k in KINDS
     }
-    return FormatModel(credentials, words)
+    return FormatModel(credentials, pairs)
+
+
+def _count_pairs(runs: Counter, pairs: Counter) -> None:
+    for run, n in runs.items():
+        for x, y in zip(_EDGE + run, run + _EDGE):
+            pairs[x + y] += n
 
 
 def _order(s: str) -> tuple[str, str]:

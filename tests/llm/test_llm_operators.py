@@ -268,6 +268,29 @@ def test_learned_formats(spark):
     assert all(got[k].spans == got[k].base and got[k].n_assign == 1 for k in range(300))
 
 
+def test_formats_are_learned_from_all_documents(spark):
+    rng = random.Random(8)
+    filler = spark.range(80_000).selectExpr("id as doc_id", "concat('some ordinary words of document ', id) as text")
+    rows = [(100_000 + k, f"token={''.join(rng.choice('0123456789abcdef') for _ in range(18))} words") for k in range(30)] + [(200_000, "see a9ce335683f9772ddc here")]
+    found = credentials.find_secrets(filler.unionByName(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = {r.doc_id: r.secrets for r in found.where("doc_id >= 200000 or secrets.spans <> secrets.base").collect()}
+    assert {k: v.spans for k, v in got.items()} == {200_000: "assign:4:22"}
+
+
+def test_likelihood_alone_rejects_candidates(spark):
+    rng = random.Random(6)
+
+    def letters(n: int) -> str:
+        return "".join(rng.choice("QXZJKVWY") for _ in range(n))
+
+    rows = [(k, f"{prose(k, 20)} internationalisation password={letters(4)}.{letters(4)}") for k in range(300)]
+    rows += [(400, "see QXZJ.KVWY here"), (401, "end QXZJ.KVWQ."), (402, "internationalisation, ordinary apple17 and words.of.text"), (403, "a.QXZJ.KVWY.password=QQQQ.ZZZZ.KKKK.XXXX")]
+    got = {r.doc_id: r.secrets for r in credentials.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[400].spans, got[401].spans, got[402].spans) == ("assign:4:13", "assign:4:13", "")
+    assert got[403].spans == "assign:2:11,assign:12:40" and got[403].base == "assign:12:40"
+    assert all(got[k].spans == got[k].base and got[k].n_assign == 1 for k in range(300))
+
+
 def test_search_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(900, 24)) + 3 * rng.normal(size=(6, 24))[rng.integers(0, 6, 900)]
