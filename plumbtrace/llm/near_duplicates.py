@@ -95,6 +95,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def signature_bytes(sig: np.ndarray) -> np.ndarray:
+    """One byte of each minimum, mixed from all its bits: the top bits of a large set's minima are all 0."""
+    return ((sig * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
 def least_matches(miss: float = MISS) -> dict[int, int]:
     """Compared hashes -> matches below which a pair is dropped: there, under a flat prior, the posterior
     chance that the similarity reaches the bar is less than `miss`."""
@@ -158,7 +163,7 @@ def shingled(docs: DataFrame) -> DataFrame:
                 keys = np.full(wide.shape[:2], 0, np.uint64) + np.arange(BANDS, dtype=np.uint64)
                 for k in range(ROWS):
                     keys = _mixed(keys + wide[:, :, k] * np.uint64(0xD6E8FEB86659FD93))
-                keys, low, k = keys.view(np.int64), (sig >> np.uint32(24)).astype(np.uint8), 0
+                keys, low, k = keys.view(np.int64), signature_bytes(sig), 0
                 for s in sets:
                     if not len(s):
                         rows.append((0, None, None, None))

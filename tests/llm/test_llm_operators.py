@@ -184,6 +184,16 @@ def test_near_duplicates_keep_one_of_each_component_without_an_id(spark):
     assert got == Counter([*rows[:5], *rows[8:12], *rows[13:15], *rows[17:]])
 
 
+@pytest.mark.parametrize("n", [20, 300, 2000])
+def test_signature_bytes_of_unrelated_texts_differ(spark, n):
+    texts = [" ".join(f"w{k}_{j}" for j in range(n)) for k in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cards = near_duplicates._cards([bytes(r.card) for r in near_duplicates.shingled(frame).collect()])
+    i, j = np.triu_indices(len(cards), 1)
+    assert abs((cards[i, 4:] == cards[j, 4:]).mean() - 1 / 256) < 0.002
+    assert len(near_duplicates.plausible(cards[i], cards[j])) == 0
+
+
 @pytest.mark.parametrize("edges", [
     [], [(5, 3)], [(3, 3), (4, 3)], [(k, k + 1) for k in range(40)], [(40, k) for k in range(40)],
     [(random.Random(k).randrange(60), random.Random(k + 500).randrange(60)) for k in range(45)],
