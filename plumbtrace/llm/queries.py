@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
-    credentials, decontaminate, document_quality, language, main_text, mixing, near_duplicates, one_bit_search, token_frames, toxicity,
+    credentials, decontaminate, document_quality, language, main_text, mixing, near_duplicates, one_bit_search, periodic_runs, token_frames,
+    toxicity, vector_codes,
 )
 from .common import distinct_labels, fold, ship, table
 
@@ -124,3 +125,69 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_main_text")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+def with_period(text: Column, doc_id: Column) -> Column:
+    """The text, made periodic from a word on where the last digit of crc32(doc_id) is 0.
+
+    With h = crc32 of the decimal id, g = floor(h / 10) and n words, word i >= a = g mod n becomes word
+    a + (i - a) mod p, p = 1 + floor((n - a) / (3 + g mod 8)).
+    """
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    trimmed = F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
+    w = F.split(trimmed, r"[ \t\n\x0B\f\r]+")
+    n = F.size(w)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    # no lambdas: Spark can't hand their results to a Python function
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int"))), 1, n - a)
+    changed = F.array_join(F.concat(F.slice(w, 1, a), tail), " ")
+    return F.when((h % 10 == 0) & (trimmed != ""), changed).otherwise(text)
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", with_period(F.col("text"), F.col("doc_id")).alias("text"))
+    found = docs.select("doc_id", periodic_runs.periodic_runs(F.col("text")).alias("p"))
+    found = found.select("doc_id", "p.runs", "p.best", "p.collapsed")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def _op12_sql(parts: int = vector_codes.PARTS, rounds: int = vector_codes.ROUNDS) -> str:
+    """Distances of all parts to all entries, round by round."""
+    steps = ["""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, part, v[part * (len(v) // %(parts)d) + 1:(part + 1) * (len(v) // %(parts)d)] AS x FROM kept, (SELECT unnest(range(%(parts)d)) AS part)),
+b0 AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS BIGINT) AS entry, x AS c FROM p QUALIFY entry < 256)""" % {"parts": parts}]
+    near = """
+a%(r)d AS (
+  SELECT vec_id, part, x, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d
+  FROM (SELECT vec_id, p.part, x, entry, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM p JOIN b%(r)d b ON b.part = p.part)
+  GROUP BY vec_id, part, x)"""
+    for r in range(rounds):
+        steps.append(near % {"r": r})
+        steps.append("""
+m%(r)d AS (SELECT part, entry, list(s ORDER BY k) AS c FROM (
+  SELECT part, entry, k, floor(sum(x[k]) / count(*)) AS s FROM a%(r)d, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS k) GROUP BY part, entry, k) GROUP BY part, entry),
+b%(next)d AS (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b%(r)d b LEFT JOIN m%(r)d m ON m.part = b.part AND m.entry = b.entry)""" % {"r": r, "next": r + 1})
+    steps.append(near % {"r": rounds})
+    return ",".join(steps) + """,
+digest AS (SELECT sha256(string_agg(list_aggregate(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), 'string_agg', ','), ',' ORDER BY part, entry)) AS h FROM b%(r)d),
+coded AS (SELECT vec_id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a%(r)d GROUP BY vec_id)
+SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM coded c JOIN kept k ON k.vec_id = c.vec_id, digest""" % {"r": rounds}
+
+
+@query("op12_vector_codes", _op12_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    codes, books = vector_codes.vector_codes(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+    code = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return codes.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
