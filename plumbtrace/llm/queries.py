@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
-    credentials, decontaminate, document_quality, language, main_text, mixing, near_duplicates, one_bit_search, periodic_runs, token_frames,
-    toxicity, vector_codes,
+    credentials, decontaminate, document_quality, embedding_duplicates, language, main_text, mixing, near_duplicates, one_bit_search,
+    periodic_runs, token_frames, toxicity, vector_codes,
 )
 from .common import distinct_labels, fold, ship, table
 
@@ -191,3 +191,24 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     codes, books = vector_codes.vector_codes(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
     code = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
     return codes.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+OP13_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS l FROM e),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / (a.l * b.l) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN least ON least.a = vec_id
+"""
+
+
+@query("op13_embedding_duplicates", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_duplicates.embedding_duplicates(table(spark, folder, "embeddings").select("vec_id", "embedding", "label")).drop("label")
