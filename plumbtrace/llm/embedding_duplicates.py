@@ -50,6 +50,8 @@ CELL = 32
 #: Slack of angles against rounding.
 EPS = 1e-6
 _CHUNK = 512
+#: Kinds of rows that a meeting hands on.
+COUNT, EDGE, ASK = range(3)
 
 
 def directions(x: np.ndarray) -> np.ndarray:
@@ -236,7 +238,7 @@ def _dealt(leaders: DataFrame, d: int, index: MultiIndex) -> DataFrame:
 
 
 def _meetings(dealt: DataFrame, d: int, entries: int, bar: float) -> DataFrame:
-    """(a, b, kind, n) of every group: 'count' of sure links for leader a, 'edge' of its forest, or 'ask' for an undecided pair."""
+    """(a, b, kind, n) of every group: COUNT of sure links for leader a, EDGE of its forest, or ASK for an undecided pair."""
     group = ["label", "first", "coarse"]
     large = dealt.groupBy(*group).agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK)
     large = large.select(*group, F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
@@ -249,12 +251,15 @@ def _meetings(dealt: DataFrame, d: int, entries: int, bar: float) -> DataFrame:
     rows = rows.select(*group, "leader", "n", "code", "radius", "own", "visits", F.explode(seats).alias("s")).select("*", "s.*").drop("s")
     theta = float(np.arccos(bar))
 
+    def told(rows: list[tuple[int, int, int, int]]) -> pd.DataFrame:
+        return pd.DataFrame(np.array(rows, np.int64).reshape(-1, 4), columns=["a", "b", "kind", "n"])
+
     def meet(f: pd.DataFrame) -> pd.DataFrame:
         found = f[f["lives"]]
         looks = f[f["looks"]].sort_values("leader")
         found = found.sort_values("leader")
         if not len(found) or not len(looks):
-            return pd.DataFrame({"a": [], "b": [], "kind": [], "n": []})
+            return told([])
         x, y = (decoded(np.frombuffer(b"".join(t["code"]), np.int8).reshape(-1, d)) for t in (looks, found))
         kx, ky, wx, wy = looks["leader"].to_numpy(), found["leader"].to_numpy(), looks["n"].to_numpy(), found["n"].to_numpy()
         rx, ry, ox, oy = looks["radius"].to_numpy(), found["radius"].to_numpy(), looks["own"].to_numpy(), found["own"].to_numpy()
@@ -278,7 +283,7 @@ def _meetings(dealt: DataFrame, d: int, entries: int, bar: float) -> DataFrame:
             angle, slack = _angle(cosine[i, j]), rx[part][i] + ry[j]
             i += at
             sure, ask = angle + slack <= theta - EPS, (angle + slack > theta - EPS) & (angle - slack <= theta + EPS)
-            out += [(a, b, "ask", 0) for a, b in zip(kx[i[ask]].tolist(), ky[j[ask]].tolist())]
+            out += [(a, b, ASK, 0) for a, b in zip(kx[i[ask]].tolist(), ky[j[ask]].tolist())]
             i, j = i[sure], j[sure]
             np.add.at(count_x, i, wy[j])
             np.add.at(count_y, j, wx[i])
@@ -286,13 +291,13 @@ def _meetings(dealt: DataFrame, d: int, entries: int, bar: float) -> DataFrame:
                 s, t = top(a), top(b)
                 if s != t:
                     head[max(s, t)] = min(s, t)
-                    out.append((a, b, "edge", 0))
+                    out.append((a, b, EDGE, 0))
         for keys, counts in ((kx, count_x), (ky, count_y)):
             has = np.flatnonzero(counts)
-            out += [(int(keys[k]), None, "count", int(counts[k])) for k in has]
-        return pd.DataFrame(out, columns=["a", "b", "kind", "n"]).astype({"b": "Int64"})
+            out += [(int(keys[k]), -1, COUNT, int(counts[k])) for k in has]
+        return told(out)
 
-    return rows.groupBy(*group, "x", "y").applyInPandas(meet, "a long, b long, kind string, n long")
+    return rows.groupBy(*group, "x", "y").applyInPandas(meet, "a long, b long, kind int, n long")
 
 
 def _verified(asked: DataFrame, leaders: DataFrame, d: int, bar: float, kind) -> DataFrame:
@@ -345,10 +350,10 @@ def embedding_duplicates(vectors: DataFrame, bar: float = BAR, target_recall: fl
     for d, largest in sizes:
         index = _fit(leaders, d, largest, bar, target_recall)
         met = materialise(_meetings(materialise(_dealt(leaders, d, index), "vector_visits"), d, index.entries, bar), "vector_meetings")
-        found = materialise(_verified(met.where("kind = 'ask'").select("a", "b"), leaders, d, bar, kind), "vector_links")
+        found = materialise(_verified(met.where(F.col("kind") == ASK).select("a", "b"), leaders, d, bar, kind), "vector_links")
         new = (
-            met.where("kind = 'count'").select(F.col("a").alias("leader"), F.col("n").alias("sure")),
-            met.where("kind = 'edge'").select("a", "b").unionByName(found.select("a", "b")),
+            met.where(F.col("kind") == COUNT).select(F.col("a").alias("leader"), F.col("n").alias("sure")),
+            met.where(F.col("kind") == EDGE).select("a", "b").unionByName(found.select("a", "b")),
             found.select(F.col("a").alias("leader"), F.posexplode("counts_a")).unionByName(found.select(F.col("b").alias("leader"), F.posexplode("counts_b"))).where("col > 0"),
         )
         counts, edges, links = new if counts is None else [x.unionByName(y) for x, y in zip((counts, edges, links), new)]

@@ -190,7 +190,8 @@ def _summed(trees: DataFrame, books: np.ndarray) -> list:
                     for nodes, entries in tree.walk(books[p]):
                         np.add.at(total[p], entries, tree.sums[tree.end[nodes]] - tree.sums[tree.start[nodes]])
         part, entry = np.nonzero(total[:, :, 0])
-        yield pd.DataFrame({"part": part, "entry": entry, "n": total[part, entry, 0], "sums": list(total[part, entry, 1:])})
+        if len(part):
+            yield pd.DataFrame({"part": part, "entry": entry, "n": total[part, entry, 0], "sums": list(total[part, entry, 1:])})
 
     rows = trees.select("trees").mapInPandas(add, "part int, entry int, n long, sums array<long>")
     cells = [F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(width)]
