@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -117,6 +115,12 @@ class ShapleyExplainer:
 KERNEL_FACTOR, RIDGE = 0.75, 1.0
 
 
+def sample_weights(z: np.ndarray) -> np.ndarray:
+    """Kernel weight of each sample by the number of features outside the row's bins."""
+    d = z.shape[-1]
+    return np.sqrt(np.exp(-(d - z.sum(-1)) / (KERNEL_FACTOR ** 2 * d)))
+
+
 def solve_ridge(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weighted ridge with an unpenalised intercept, one small system per row.
 
@@ -124,8 +128,7 @@ def solve_ridge(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     features in another bin) weigh little.
     """
     d = z.shape[2]
-    width = KERNEL_FACTOR * math.sqrt(d)
-    w = np.sqrt(np.exp(-(d - z.sum(2)) / width ** 2))
+    w = sample_weights(z)
     total = w.sum(1)
     zc = z - (np.einsum("ns,nsd->nd", w, z) / total[:, None])[:, None, :]
     yc = y - ((w * y).sum(1) / total)[:, None]
@@ -135,10 +138,14 @@ def solve_ridge(z: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def uniform_grid(row_hash: np.ndarray, first: int, shape: tuple[int, int]) -> np.ndarray:
-    """Uniform numbers per (row, sample, feature) from a 64-bit row hash (splitmix64)."""
+    """Uniform numbers per (row, sample, feature) from a 64-bit row hash."""
+    return uniform_at(row_hash[:, None, None], np.arange(first, first + shape[0] * shape[1], dtype="uint64").reshape(shape)[None])
+
+
+def uniform_at(row_hash: np.ndarray, counter: np.ndarray) -> np.ndarray:
+    """Uniform number `counter` of a 64-bit row hash (splitmix64)."""
     with np.errstate(over="ignore"):
-        step = np.arange(first, first + shape[0] * shape[1], dtype="uint64").reshape(shape)
-        v = row_hash.astype("uint64")[:, None, None] + (step[None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        v = row_hash.astype("uint64") + (counter + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         v = v ^ (v >> np.uint64(31))
@@ -158,6 +165,42 @@ def draw_altered(x: np.ndarray, row_hash: np.ndarray, edges: list[list[float]],
     return values, z
 
 
+def draw_samples(x: np.ndarray, row_hash: np.ndarray, edges: list[list[float]], samples: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `draw_altered`, for one sample number per row: altered rows and their same-bin indicators."""
+    e, d = np.asarray(edges, dtype="float64"), x.shape[1]
+    feature = np.arange(d)
+    place = number.astype("uint64")[:, None] * np.uint64(d) + feature.astype("uint64")[None]
+    own = (x[:, :, None] > e[None, :, 1:4]).sum(2)
+    bins = np.floor(uniform_at(row_hash[:, None], place) * 4).astype("int64")
+    u = uniform_at(row_hash[:, None], place + np.uint64(samples * d))
+    low, high = e[feature[None], bins], e[feature[None], bins + 1]
+    values, z = low + u * (high - low), (bins == own).astype("float64")
+    first = number == 0
+    values[first], z[first] = x[first], 1.0
+    return values, z
+
+
+def sums_length(d: int) -> int:
+    return 2 + 2 * d + d * (d + 1) // 2
+
+
+def surrogate_sums(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Per sample, what the normal equations add up: weight, weighted score, z, score times z, and the packed outer product of z."""
+    d = z.shape[1]
+    w = sample_weights(z)
+    i, j = np.triu_indices(d)
+    return np.concatenate([w[:, None], (w * y)[:, None], w[:, None] * z, (w * y)[:, None] * z, w[:, None] * z[:, i] * z[:, j]], axis=1)
+
+
+def unpacked_sums(sums: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix and right side of the centred ridge system."""
+    total, score, z, zy = sums[0], sums[1], sums[2:2 + d], sums[2 + d:2 + 2 * d]
+    outer = np.zeros((d, d))
+    i, j = np.triu_indices(d)
+    outer[i, j] = outer[j, i] = sums[2 + 2 * d:]
+    return outer - np.outer(z, z) / total + RIDGE * np.eye(d), zy - z * score / total
+
+
 def pick_class(p: np.ndarray, target: int | str) -> np.ndarray:
     """rows x samples x classes -> rows x samples of the explained class."""
     if target != "predicted":
@@ -175,8 +218,10 @@ class SurrogateExplainer:
     """
 
     def __init__(self, scorer: Scorer, edges: list[list[float]], names: list[str], seed=42, samples: int = 5000,
-                 target: int | str = 1):
-        """`edges` holds five numbers per feature: minimum, quartiles, maximum."""
+                 target: int | str = 1, residual: str | None = None):
+        """`edges` holds five numbers per feature: minimum, quartiles, maximum. `residual` names a column for the
+        relative residual of the normal equations, where copies are rows."""
+        self.residual = residual
         self.scorer, self.edges, self.names = scorer, edges, names
         self.seed, self.samples, self.target = seed, samples, target
         self.batched = False
@@ -188,7 +233,7 @@ class SurrogateExplainer:
         """Draw, score and solve in Arrow batches; a model that has to score as a
         distributed transform sees the altered rows exploded instead."""
         hashed = df.withColumn("_h", F.xxhash64(F.lit(str(self.seed)), *keys))
-        rows_at_once = max(1, 4_000_000 // (self.samples * len(self.names)))
+        rows_at_once = max(1, 400_000 // (self.samples * len(self.names)))
         # what the tasks need, without the explainer itself: a fitted model stays here
         edges, samples, target, batch = self.edges, self.samples, self.target, self.scorer.batch
         if batch(np.zeros((1, len(self.names)))) is not None:
@@ -202,21 +247,54 @@ class SurrogateExplainer:
             call = F.pandas_udf(solve, T.ArrayType(T.DoubleType())).asNondeterministic()
             return hashed.withColumn(out, call(F.col(x), F.col("_h"))).drop("_h")
 
-        def altered_rows(values: pd.Series, hashes: pd.Series) -> pd.Series:
-            return pd.Series([list(draw_altered(np.asarray(v, dtype="float64")[None], np.asarray([h]), edges, samples)[0][0]) for v, h in zip(values, hashes)])
-
-        def solve_scored(values: pd.Series, hashes: pd.Series, scores: pd.Series) -> pd.Series:
-            parts = []
-            for v, h, p in zip(values, hashes, scores):
-                z = draw_altered(np.asarray(v, dtype="float64")[None], np.asarray([h]), edges, samples)[1]
-                parts.append(solve_ridge(z, pick_class(np.stack(p)[None], target))[0])
-            return pd.Series(parts)
-
-        draw = F.pandas_udf(altered_rows, T.ArrayType(T.ArrayType(T.DoubleType()))).asNondeterministic()
-        solve = F.pandas_udf(solve_scored, T.ArrayType(T.DoubleType())).asNondeterministic()
-        drawn = hashed.withColumn("_altered", draw(F.col(x), F.col("_h")))
-        scored = score_variants(drawn, keys, self.scorer, self.samples, lambda i: F.element_at("_altered", (i + 1).cast("int")), "_scores")
-        return scored.withColumn(out, solve(F.col(x), F.col("_h"), F.col("_scores"))).drop("_h", "_altered", "_scores")
+        return self._explain_by_rows(hashed, keys, x, out).drop("_h")
+
+    def _explain_by_rows(self, hashed: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
+        """Altered copies as rows, for a model that scores as a distributed transform.
+
+        A copy is drawn from the row's hash and the number of the sample. Scored copies meet the weights of the
+        surrogate in sums of packed outer products (`surrogate_sums`), a few short arrays per row and task, so that
+        no row ever holds samples x features. Rows are placed by key first, so the sums stay where they are.
+        """
+        edges, samples, target, d = self.edges, self.samples, self.target, len(self.names)
+
+        def draw_copies(values: pd.Series, hashes: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+            altered, z = draw_samples(np.stack(values.to_numpy()).astype("float64"), hashes.to_numpy(), edges, samples, numbers.to_numpy())
+            return pd.DataFrame({"x": list(altered), "z": [r.tobytes() for r in np.packbits(z.astype(bool), axis=1)]})
+
+        def add_up(batches):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                z = np.unpackbits(np.frombuffer(b"".join(batch["_z"]), np.uint8).reshape(len(batch), -1), axis=1, count=d).astype("float64")
+                p = np.stack(batch["_p"].to_numpy())
+                y = p[np.arange(len(p)), batch["_class"].to_numpy()]
+                group = batch.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+                sums = np.zeros((group.max() + 1, sums_length(d)))
+                np.add.at(sums, group, surrogate_sums(z, y))
+                head = batch[keys].iloc[np.unique(group, return_index=True)[1]].reset_index(drop=True)
+                yield head.assign(_sums=list(sums))
+
+        def solve(parts: pd.Series) -> pd.DataFrame:
+            systems = [unpacked_sums(np.sum(np.stack(p), axis=0), d) for p in parts]
+            phi = [np.linalg.solve(a, b) for a, b in systems]
+            off = [float(np.abs(a @ x - b).max() / max(np.abs(b).max(), 1e-12)) for (a, b), x in zip(systems, phi)]
+            return pd.DataFrame({"phi": phi, "off": off})
+
+        draw = F.pandas_udf(draw_copies, "x array<double>, z binary").asNondeterministic()
+        placed = hashed.repartition(*keys)
+        if target == "predicted":
+            placed = self.scorer.score(placed, x, "_own").withColumn("_class", argmax(F.col("_own"))).drop("_own")
+        else:
+            placed = placed.withColumn("_class", F.lit(int(target)))
+        copies = placed.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("_c", draw(F.col(x), F.col("_h"), F.col("_i")))
+        copies = copies.select(*keys, "_class", F.col("_c.x").alias("_x"), F.col("_c.z").alias("_z"))
+        scored = self.scorer.score(copies, "_x", "_p").select(*keys, "_class", "_z", "_p")
+        schema = T.StructType([*[hashed.schema[k] for k in keys], T.StructField("_sums", T.ArrayType(T.DoubleType()))])
+        sums = scored.mapInPandas(add_up, schema).groupBy(*keys).agg(F.collect_list("_sums").alias("_sums"))
+        solved = sums.select(*keys, F.pandas_udf(solve, "phi array<double>, off double")("_sums").alias("_s"))
+        solved = solved.select(*keys, F.col("_s.phi").alias(out), *([F.col("_s.off").alias(self.residual)] if self.residual else []))
+        return placed.drop("_class").join(solved, keys)
 
     def rules(self, x: Column) -> Column:
         """Text of each feature's bin: `a <= q1`, `q1 < a <= q2`, `a > q3`."""

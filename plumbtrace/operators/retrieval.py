@@ -138,52 +138,108 @@ def bm25_topk(queries: DataFrame, query: str, text: str, chunks: DataFrame, key:
     return top_k(scored, [query], [F.col("score").desc(), F.col(key)], k)
 
 
-MAX_BROADCAST_QUERIES = 4096
+#: Bytes of the query matrix that travel to every task; larger query tables meet the corpus in a grid of blocks.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of vectors on either side of a cell of the grid.
+QUERY_BLOCK_BYTES, CORPUS_BLOCK_BYTES = 4 << 20, 32 << 20
+
+
+class RunningBest:
+    """The k best corpus rows of every query of a block, over any number of batches.
+
+    Scores are compared as rounded to nine digits, ties by key. A batch costs one matrix product; only queries
+    that a batch improves are merged.
+    """
+
+    def __init__(self, ids: list, queries: np.ndarray, k: int, metric: str):
+        self.ids, self.queries, self.k, self.metric = ids, queries, k, metric
+        self.bar = np.full(len(ids), np.inf)
+        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=object))] * len(ids)
+
+    def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        for at in range(0, len(self.ids), 256):
+            scores = np.round(similarity(self.queries[at:at + 256], vectors, self.metric), 9)
+            loss = scores if self.metric == "l2" else -scores
+            near = loss <= self.bar[at:at + 256][:, None]
+            for i in np.flatnonzero(near.any(1)):
+                take = np.flatnonzero(near[i])
+                if len(take) > self.k:
+                    # all rows that tie with the k-th stay until keys decide
+                    limit = np.partition(loss[i, take], self.k - 1)[self.k - 1]
+                    take = take[loss[i, take] <= limit]
+                old_loss, old_keys = self.best[at + i]
+                both, names = np.concatenate([old_loss, loss[i, take]]), np.concatenate([old_keys, keys[take]])
+                order = np.lexsort((names, both))[:self.k]
+                self.best[at + i] = both[order], names[order]
+                if len(order) == self.k:
+                    self.bar[at + i] = both[order[-1]]
+
+    def rows(self, query: str, key: str) -> pd.DataFrame:
+        sizes = [len(loss) for loss, _ in self.best]
+        loss = np.concatenate([x for x, _ in self.best]) if self.ids else np.zeros(0)
+        names = np.concatenate([x for _, x in self.best]) if self.ids else np.zeros(0, dtype=object)
+        ids = [name for name, n in zip(self.ids, sizes) for _ in range(n)]
+        return pd.DataFrame({query: pd.Series(ids, dtype=object), key: pd.Series(names, dtype=object), "score": loss if self.metric == "l2" else -loss})
 
 
 def vector_topk(queries: DataFrame, query: str, query_vector: str, corpus: DataFrame, key: str, vector: str,
                 k: int = TOP_K, metric: str = "l2") -> DataFrame:
-    """Exact k nearest corpus rows per query: distance for l2, similarity for cosine and dot.
+    """Exact k nearest corpus rows per query, for any number of queries: distance for l2, similarity for cosine and dot.
 
-    Up to `MAX_BROADCAST_QUERIES` queries travel to every task as one matrix; each
-    Arrow batch is one matrix product and hands on its own k best per query. More
-    queries go through `vector_topk_by_cell`, which is exact as well.
+    A query matrix of at most `BROADCAST_BYTES` travels to every task, which runs through its rows with the k best of
+    each query. Larger query tables meet the corpus in a grid: both are dealt to blocks of bounded bytes, and each cell
+    (query block, corpus block) does the same. Either way a task hands on k rows per query, merged once; no pair
+    becomes a row. Rows without a vector take no part.
     """
-    rows = queries.select(query, query_vector).limit(MAX_BROADCAST_QUERIES + 1).collect()
-    if len(rows) > MAX_BROADCAST_QUERIES:
-        return vector_topk_by_cell(queries, query, query_vector, corpus, key, vector, k, metric)
-    ids = [r[query] for r in rows]
-    if not ids:
-        empty = T.StructType([queries.schema[query], corpus.schema[key], T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
-        return queries.sparkSession.createDataFrame([], empty)
-    matrix = np.asarray([r[query_vector] for r in rows], dtype="float64")
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
-    smaller_first = metric == "l2"
-
-    def best_of_batches(batches):
-        names, q = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            keys = batch[key].to_numpy()
-            scores = similarity(q, np.stack(batch[vector].to_numpy()).astype("float64"), metric)
-            for i, name in enumerate(names):
-                s = scores[i] if smaller_first else -scores[i]
-                if len(s) > k:
-                    # keep every row tied with the k-th, so that ties are decided by key
-                    limit = np.partition(s, k - 1)[k - 1]
-                    take = np.flatnonzero(s <= limit + 1e-9)
-                else:
-                    take = np.arange(len(s))
-                order = take[np.lexsort((keys[take], np.round(s[take], 9)))][:k]
-                yield pd.DataFrame({query: [name] * len(order), key: keys[order], "score": scores[i][order]})
-
+    queries = queries.select(query, query_vector).where(F.col(query_vector).isNotNull())
+    corpus = corpus.select(key, vector).where(F.col(vector).isNotNull())
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size(query_vector)).alias("d")).first()
     schema = T.StructType([queries.schema[query], corpus.schema[key], T.StructField("score", T.DoubleType())])
-    partial = corpus.select(key, vector).mapInPandas(best_of_batches, schema).withColumn("score", F.round("score", 9))
-    order = F.col("score").asc() if smaller_first else F.col("score").desc()
+    if not size["n"]:
+        empty = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
+        return queries.sparkSession.createDataFrame([], empty)
+    row_bytes = 8 * size["d"]
+    if size["n"] * row_bytes <= BROADCAST_BYTES:
+        rows = queries.collect()
+        shared = queries.sparkSession.sparkContext.broadcast(([r[query] for r in rows], np.asarray([r[query_vector] for r in rows], dtype="float64")))
+
+        def best_of_task(batches):
+            state = RunningBest(*shared.value, k, metric)
+            for batch in batches:
+                if len(batch):
+                    state.add(batch[key].to_numpy(dtype=object), np.stack(batch[vector].to_numpy()).astype("float64"))
+            yield state.rows(query, key)
+
+        partial = corpus.mapInPandas(best_of_task, schema)
+    else:
+        partial = _grid_best(queries, query, query_vector, corpus, key, vector, k, metric, size["n"], row_bytes, schema)
+    partial = partial.withColumn("score", F.round("score", 9))
+    order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     return top_k(partial, [query], [order, F.col(key)], k)
 
 
+def _grid_best(queries: DataFrame, query: str, query_vector: str, corpus: DataFrame, key: str, vector: str, k: int, metric: str,
+               n: int, row_bytes: int, schema: T.StructType) -> DataFrame:
+    """The k best rows of each query in each corpus block, from a grid of blocks."""
+    q_blocks = -(-n * row_bytes // QUERY_BLOCK_BYTES)
+    c_blocks = max(-(-corpus.count() * row_bytes // CORPUS_BLOCK_BYTES), queries.sparkSession.sparkContext.defaultParallelism // q_blocks, 1)
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1)))
+    # the place in the grid is a hash of the whole row, so a key that repeats is spread as well
+    left = queries.select(F.pmod(F.xxhash64(query, query_vector), F.lit(int(q_blocks))).cast("int").alias("_q"), every(c_blocks).alias("_c"), query, query_vector)
+    right = corpus.select(every(q_blocks).alias("_q"), F.pmod(F.xxhash64(key, vector), F.lit(int(c_blocks))).cast("int").alias("_c"), key, vector)
+
+    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q):
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        state = RunningBest(q[query].tolist(), np.stack(q[query_vector].to_numpy()).astype("float64"), k, metric)
+        for at in range(0, len(c), 4096):
+            part = c.iloc[at:at + 4096]
+            state.add(part[key].to_numpy(dtype=object), np.stack(part[vector].to_numpy()).astype("float64"))
+        return state.rows(query, key)
+
+    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(meet, schema)
+
+
 def similarity(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
     product = queries @ corpus.T
     if metric == "dot":
@@ -194,77 +250,6 @@ def similarity(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarr
     return np.sqrt(np.maximum(q2 + c2 - 2 * product, 0.0))
 
 
-PIVOTS = 64
-
-
-def vector_topk_by_cell(queries: DataFrame, query: str, query_vector: str, corpus: DataFrame, key: str, vector: str,
-                        k: int = TOP_K, metric: str = "l2", pivots: int = PIVOTS, cell_rows: int = 50_000) -> DataFrame:
-    """Exact nearest rows for any number of queries, as an equi-join on cells.
-
-    Corpus rows belong to the nearest of a few pivots. By the triangle inequality a
-    cell with pivot distance D and radius r holds only rows between D - r and D + r.
-    Cells taken in order of D + r until they hold k rows bound the k-th distance;
-    cells with D - r beyond the bound are skipped, all others are joined. Large cells
-    are cut into salted parts of about `cell_rows`.
-    """
-    if metric == "dot":
-        raise ValueError("the dot product is no distance; normalise and use cosine")
-    unit = metric == "cosine"
-    prepare = lambda c: _unit(c) if unit else F.transform(c, lambda x: x.cast("double"))
-    q = queries.select(query, prepare(F.col(query_vector)).alias("_qv"))
-    c = corpus.select(key, prepare(F.col(vector)).alias("_cv"))
-    seeds = corpus.select(key, prepare(F.col(vector)).alias("_pv")).orderBy(hash_u32("pivot", F.col(key)), key).limit(pivots)
-    centres = np.asarray([r["_pv"] for r in seeds.collect()], dtype="float64")
-    if not len(centres):
-        return vector_topk(q.limit(0), query, "_qv", corpus, key, vector, k, metric)
-
-    @F.pandas_udf("struct<cell:int,distance:double>")
-    def nearest(v: pd.Series) -> pd.DataFrame:
-        d = similarity(np.stack(v.to_numpy()).astype("float64"), centres, "l2")
-        cell = d.argmin(1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "distance": d[np.arange(len(cell)), cell]})
-
-    @F.pandas_udf("array<double>")
-    def to_pivots(v: pd.Series) -> pd.Series:
-        return pd.Series(list(similarity(np.stack(v.to_numpy()).astype("float64"), centres, "l2")))
-
-    placed = c.withColumn("_n", nearest("_cv")).select(key, "_cv", F.col("_n.cell").alias("_cell"), F.col("_n.distance").alias("_d"))
-    cells = placed.groupBy("_cell").agg(F.max("_d").alias("r"), F.count("*").alias("n")).collect()
-    parts = {x["_cell"]: -(-x["n"] // cell_rows) for x in cells}
-    info = F.array(*[F.struct(F.lit(x["_cell"]).alias("c"), F.lit(float(x["r"])).alias("r"), F.lit(x["n"]).alias("n"), F.lit(parts[x["_cell"]]).alias("p")) for x in cells])
-    reach = q.withColumn("_dp", to_pivots("_qv"))
-    slack = 1e-9
-    bounds = F.array_sort(F.transform(info, lambda x: F.struct(F.element_at("_dp", x["c"] + 1).alias("d"), x.alias("x"))
-                                      .withField("d", F.element_at("_dp", x["c"] + 1) + x["r"])))
-    limit = F.aggregate(
-        bounds, F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("inf")).alias("u")),
-        lambda s, e: F.struct((s["n"] + e["x"]["n"]).alias("n"),
-                              F.when((s["n"] < k) & (s["n"] + e["x"]["n"] >= k), e["d"]).otherwise(s["u"]).alias("u")),
-        lambda s: s["u"])
-    visits = reach.withColumn("_u", limit).select(query, "_qv", F.explode(F.filter(
-        info, lambda x: F.element_at("_dp", x["c"] + 1) - x["r"] <= F.col("_u") + slack)).alias("x"))
-    visits = visits.select(query, "_qv", F.col("x.c").alias("_cell"), F.explode(F.sequence(F.lit(0), F.col("x.p").cast("int") - 1)).alias("_part"))
-    part_count = F.element_at(F.map_from_arrays(F.array(*[F.lit(x) for x in parts]), F.array(*[F.lit(int(v)) for v in parts.values()])), F.col("_cell"))
-    salted = placed.withColumn("_part", F.pmod(F.xxhash64(key), part_count).cast("int"))
-    joined = visits.join(salted, ["_cell", "_part"])
-
-    @F.pandas_udf("double")
-    def pair_score(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = np.stack(a.to_numpy()).astype("float64"), np.stack(b.to_numpy()).astype("float64")
-        if unit:
-            return pd.Series((x * y).sum(1))
-        return pd.Series(np.sqrt(((x - y) ** 2).sum(1)))
-
-    scored = joined.select(query, key, F.round(pair_score("_qv", "_cv"), 9).alias("score"))
-    order = F.col("score").desc() if unit else F.col("score").asc()
-    return top_k(scored, [query], [order, F.col(key)], k)
-
-
-def _unit(c: Column) -> Column:
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(c, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-300)))
-
-
 def pooled(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Union of two result lists, each pair once."""
     return first.select(*keys).union(second.select(*keys)).dropDuplicates(keys)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plumbtrace.functions.binding import let
 from plumbtrace.functions.hashing import hash_order, hash_u32, hash_uniform
 from .bounded import attach_one, broadcast_if_small, join_on
 from .ordered import hash_row_numbers, row_numbers, top_k
@@ -150,37 +153,79 @@ def balanced_cases(df: DataFrame, correct: str, key: list[str], seed, each: int
     return sample_per_group(df, [correct], key, seed, each)
 
 
+def quotas_can_be_filled(df: DataFrame, query: str, engine: str, cell: str, quotas: dict[tuple[str, str], int]) -> bool:
+    """Whether some choice fills every (cell, engine) quota with each query used once.
+
+    A matching exists exactly if, in each cell, every set of engines together has as many queries as its quotas ask for.
+    Queries are counted by the set of engines that they have, so a few counts per cell decide.
+    """
+    engines = sorted({e for _, e in quotas})
+    sets = df.where(F.col(engine).isin(engines)).groupBy(cell, query).agg(F.array_sort(F.collect_set(engine)).alias("_e"))
+    counts = sets.groupBy(cell, "_e").agg(F.count("*").alias("n")).collect()
+    for c in {c for c, _ in quotas}:
+        wanted = {e: q for (own, e), q in quotas.items() if own == c}
+        for size in range(1, len(wanted) + 1):
+            for some in combinations(sorted(wanted), size):
+                if sum(r["n"] for r in counts if r[cell] == c and set(some) & set(r["_e"])) < sum(wanted[e] for e in some):
+                    return False
+    return True
+
+
 def quota_sample(df: DataFrame, query: str, engine: str, cell: str, level: str, quotas: dict[tuple[str, str], int],
                  levels: list[int], minimum: int, seeds: int = 1000) -> DataFrame:
     """Fill each (cell, engine) quota, use a query once, and cover every level.
 
-    For each seed a query offers itself to one engine chosen by hash, so it cannot
-    be used twice. Within a cell the quota takes queries in hash order. The
-    smallest seed whose draw fills all quotas and has `minimum` rows of each level
-    wins; without such a seed it raises ValueError.
+    For each seed the engines of a cell draw one after another, in an order that the seed hashes, each from all
+    queries not drawn so far, in hash order. The smallest seed whose draw fills all quotas and has `minimum`
+    rows of each level wins. Seeds are tried in growing batches. Raises ValueError where no draw can fill the quotas,
+    and another where none of the seeds did. A query has one cell, and one row for each engine.
     """
     needed = F.create_map(*[x for (c, e), q in quotas.items() for x in (F.lit(f"{c}|{e}"), F.lit(q))])
-    engines = sorted({e for _, e in quotas})
+    most = max(sum(q for (own, _), q in quotas.items() if own == c) for c, _ in quotas)
     rows = df.select(query, engine, cell, level).withColumn("_quota", needed[F.concat_ws("|", cell, engine)])
     rows = rows.filter("_quota IS NOT NULL")
-    offered = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    chosen = F.element_at(
-        F.array(*[F.lit(e) for e in engines]),
-        (hash_u32("engine", F.col("seed"), F.col(query)) % len(engines) + 1).cast("int"))
-    offered = offered.filter(F.col(engine) == chosen)
-    offered = offered.withColumn("_h", hash_u32("pick", F.col("seed"), F.col(query)))
-    largest = max(quotas.values())
-    picked = top_k(offered, ["seed", cell, engine], [F.col("_h"), F.col(query)], largest, "_r").filter("_r <= _quota")
-    checks = [F.count_if(F.col(level) == v) >= minimum for v in levels]
-    full = F.count("*") == sum(quotas.values())
-    ok = full
-    for c in checks:
-        ok = ok & c
-    valid = picked.groupBy("seed").agg(ok.alias("ok")).filter("ok").agg(F.min("seed").alias("seed"))
-    seed = valid.first()["seed"]
-    if seed is None:
-        raise ValueError(f"none of {seeds} seeds fills all quotas with {minimum} rows of each level")
-    return picked.where(F.col("seed") == seed).select("seed", query, engine, cell, level)
+    if not quotas_can_be_filled(rows, query, engine, cell, quotas):
+        raise ValueError("no choice of distinct queries fills all quotas")
+    engines, first, batch = max(len([1 for own, _ in quotas if own == c]) for c, _ in quotas), 0, 16
+    while first < seeds:
+        last = min(seeds, first + batch) - 1
+        picked = _quota_draws(rows, query, engine, cell, level, most, engines, first, last)
+        checks = [F.count_if(F.col(level) == v) >= minimum for v in levels]
+        ok = F.count("*") == sum(quotas.values())
+        for c in checks:
+            ok = ok & c
+        seed = picked.groupBy("seed").agg(ok.alias("ok")).filter("ok").agg(F.min("seed").alias("seed")).first()["seed"]
+        if seed is not None:
+            return _quota_draws(rows, query, engine, cell, level, most, engines, seed, seed)
+        first, batch = last + 1, batch * 4
+    raise ValueError(f"none of {seeds} seeds fills all quotas with {minimum} rows of each level, though the quotas can be filled")
+
+
+def _quota_draws(rows: DataFrame, query: str, engine: str, cell: str, level: str, most: int, engines: int, first: int, last: int) -> DataFrame:
+    """(seed, query, engine, cell, level) of the draws of seeds first..last."""
+    offered = rows.withColumn("seed", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    offered = offered.withColumn("_h", hash_u32("pick", F.col("seed"), F.col(query), F.col(engine)))
+    # others can take no more queries from an engine than the cell draws in all
+    near = top_k(offered, ["seed", cell, engine], [F.col("_h"), F.col(query)], most, "_r")
+    offers = near.groupBy("seed", cell, engine).agg(F.first("_quota").alias("_quota"), F.array_sort(F.collect_list(F.struct("_r", F.col(query).alias("q"), F.col(level).alias("l")))).alias("_o"))
+    turn = F.struct(hash_u32("turn", F.col("seed"), F.col(cell), F.col(engine)).alias("t"), F.col(engine).alias("e"), F.col("_quota").alias("n"), F.col("_o").alias("o"))
+    turns = offers.groupBy("seed", cell).agg(F.array_sort(F.collect_list(turn)).alias("_t"))
+    item = f"struct<e: {rows.schema[engine].dataType.simpleString()}, q: {rows.schema[query].dataType.simpleString()}, l: {rows.schema[level].dataType.simpleString()}>"
+    drawn = F.array().cast(f"array<{item}>")
+
+    def after_turn(k: int):
+        turn = F.col("_t")[k]
+        told = lambda o: F.struct(turn["e"].alias("e"), o["q"].alias("q"), o["l"].alias("l"))
+
+        def add(used: Column) -> Column:
+            free = F.filter(turn["o"], lambda o: ~F.exists(used, lambda u: u["q"] == o["q"]))
+            return F.when(F.size("_t") > k, F.concat(used, F.transform(F.slice(free, F.lit(1), turn["n"]), told))).otherwise(used)
+
+        return add
+
+    for k in range(engines):
+        drawn = let(drawn, after_turn(k))
+    return turns.select("seed", cell, F.inline(drawn)).select("seed", F.col("q").alias(query), F.col("e").alias(engine), cell, F.col("l").alias(level))
 
 
 def blinded(df: DataFrame, key: list[str], seed, prefix: str = "A", width: int = 2, out: str = "id") -> DataFrame:

@@ -236,14 +236,16 @@ def test_sentence_chunks_against_hand_packing(spark):
         assert [got.get(k, {}).get(i) for i in range(len(got.get(k, {})))] == pack(t, 12, 4)
 
 
-def test_vector_search_paths_agree(spark):
+def test_vector_search_paths_agree(spark, monkeypatch):
     rng = np.random.default_rng(0)
     data = [(i, [float(v) for v in rng.normal(size=6)]) for i in range(400)]
     df = spark.createDataFrame(data, "k long, v array<double>")
     q = df.filter("k % 10 = 0").select(F.col("k").alias("q"), F.col("v").alias("qv"))
     for metric in ("l2", "cosine"):
         a = {(r["q"], r["rank"]): r["k"] for r in retrieval.vector_topk(q, "q", "qv", df, "k", "v", 3, metric).collect()}
-        b = {(r["q"], r["rank"]): r["k"] for r in retrieval.vector_topk_by_cell(q, "q", "qv", df, "k", "v", 3, metric, 8, 20).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "BROADCAST_BYTES", 0)
+            b = {(r["q"], r["rank"]): r["k"] for r in retrieval.vector_topk(q, "q", "qv", df, "k", "v", 3, metric).collect()}
         assert a == b and len(a) == 120
 
 
@@ -285,3 +287,19 @@ def test_report_of_models_beats_majority(spark, rows):
     table = training.benchmark({"d": (split, 2)}, {"tree": training.decision_tree(4), "mlp": training.network(2, 2, [8], 60)}, "x", "label", "split", ["row_id"]).collect()
     assert {r["model"] for r in table} == {"tree", "mlp"}
     assert all(r["accuracy"] > 0.8 and r["auc"] > 0.8 for r in table)
+
+
+def test_surrogate_rows_sum_to_the_direct_ridge(rows):
+    edges, few = [[-3.0, -0.7, 0.0, 0.7, 3.0]] * 4, rows.limit(3)
+    e = attribution.SurrogateExplainer(Exploded(WEIGHTS, 0.1, "logistic"), edges, list("abcd"), 1, 5000, "predicted", residual="off")
+    got = {r["row_id"]: r for r in e.explain(few, ["row_id"], "x", "phi").collect()}
+    assert len(got) == 3 and max(r["off"] for r in got.values()) < 1e-9
+    hashed = few.withColumn("h", F.xxhash64(F.lit("1"), "row_id")).collect()
+    for r in hashed:
+        x, h = np.array([r["x"]], dtype="float64"), np.array([r["h"]])
+        values, z = attribution.draw_altered(x, h, edges, 5000)
+        y = attribution.pick_class(LOGISTIC.batch(values), "predicted")
+        assert got[r["row_id"]]["phi"] == pytest.approx(attribution.solve_ridge(z, y)[0], abs=1e-9)
+        # the number of a sample alone decides its draw
+        one, _ = attribution.draw_samples(np.repeat(x, 5000, 0), np.repeat(h, 5000), edges, 5000, np.arange(5000))
+        assert (one == values[0]).all()

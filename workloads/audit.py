@@ -170,21 +170,32 @@ def t10(spark, d):
 
 
 QUOTAS = {("low", "click"): 3, ("low", "view"): 2, ("low", "error"): 2, ("high", "click"): 2, ("high", "view"): 3, ("high", "error"): 2}
-SEEDS = 20
+SEEDS = 1000
+
+
+def _quota_sql() -> str:
+    """All seeds at once; the engines of a cell draw in the hashed order of their turns."""
+    drawn = "[]::STRUCT(e VARCHAR, q BIGINT, l BIGINT)[]"
+    steps = [f"d0 AS (SELECT seed, cell, turns, {drawn} AS used FROM turns)"]
+    for k in range(3):
+        steps.append(f"""d{k + 1} AS (SELECT seed, cell, turns, list_concat(used, list_transform(list_filter(turns[{k + 1}].o,
+  lambda x: NOT list_contains(list_transform(used, lambda z: z.q), x.q))[1:turns[{k + 1}].n], lambda x: {{'e': turns[{k + 1}].e, 'q': x.q, 'l': x.l}})) AS used FROM d{k})""")
+    return ", ".join(steps)
 
 
 @query("t11_quota_sample", f"""
 WITH best AS (SELECT user_id, event_type, max(event_id) AS e FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY ALL),
 r AS (SELECT user_id, event_type, CASE WHEN user_id % 2 = 0 THEN 'low' ELSE 'high' END AS cell, e % 3 AS level FROM best),
-o AS (SELECT r.*, s AS seed FROM r, range(0, {SEEDS}) t(s)),
-c AS (SELECT *, {h('pick', 'seed', 'user_id')} AS hh FROM o
-      WHERE event_type = ['click', 'error', 'view'][({h('engine', 'seed', 'user_id')} % 3 + 1)::INTEGER]),
+c AS (SELECT r.*, s AS seed, {h('pick', 's', 'user_id', 'event_type')} AS hh FROM r, range(0, {SEEDS}) t(s)),
 q AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{e}', {n})" for (c, e), n in QUOTAS.items())}) v(cell, event_type, quota)),
-k AS (SELECT *, row_number() OVER (PARTITION BY seed, cell, event_type ORDER BY hh, user_id) AS rn FROM c JOIN q USING (cell, event_type)),
-p AS (SELECT * FROM k WHERE rn <= quota),
+k AS (SELECT * FROM c JOIN q USING (cell, event_type) QUALIFY row_number() OVER (PARTITION BY seed, cell, event_type ORDER BY hh, user_id) <= {sum(QUOTAS.values())}),
+o AS (SELECT seed, cell, event_type, any_value(quota) AS quota, list({{'q': user_id, 'l': level}} ORDER BY hh, user_id) AS o FROM k GROUP BY ALL),
+turns AS (SELECT seed, cell, list({{'e': event_type, 'n': quota, 'o': o}} ORDER BY {h('turn', 'seed', 'cell', 'event_type')}, event_type) AS turns FROM o GROUP BY ALL),
+{_quota_sql()},
+p AS (SELECT seed, cell, unnest(used) AS u FROM d3),
 v AS (SELECT min(seed) AS seed FROM (SELECT seed FROM p GROUP BY seed HAVING count(*) = {sum(QUOTAS.values())}
-      AND count(*) FILTER (level = 0) >= 3 AND count(*) FILTER (level = 1) >= 3 AND count(*) FILTER (level = 2) >= 3))
-SELECT p.seed::INTEGER AS seed, user_id, event_type, cell, level FROM p JOIN v USING (seed)""")
+      AND count(*) FILTER (u.l = 0) >= 3 AND count(*) FILTER (u.l = 1) >= 3 AND count(*) FILTER (u.l = 2) >= 3))
+SELECT p.seed::INTEGER AS seed, u.q AS user_id, u.e AS event_type, cell, u.l AS level FROM p JOIN v USING (seed)""")
 def t11(spark, d):
     ev = Tables(spark, d).events.filter(F.col("event_type").isin("click", "view", "error"))
     rows = ev.groupBy("user_id", "event_type").agg(F.max("event_id").alias("e")).select(

@@ -179,7 +179,7 @@ def x01b(spark, d):
     return rnd(attribution.long_attributions(out, s.keys, "phi", NAMES), "attribution")
 
 
-SAMPLES = 64
+SAMPLES = 5000
 
 
 def _surrogate(spark, d):

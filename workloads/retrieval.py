@@ -162,12 +162,34 @@ def r05(spark, d):
     return rnd(retrieval.vector_topk(q, "query_label", "v", Tables(spark, d).embeddings, "vec_id", "embedding"), "score")
 
 
-@query("r05b_vector_topk_by_cell", """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings e)
-SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM s) WHERE rank <= 3""")
-def r05b(spark, d):
+def nearest_of_all(score: str, order: str) -> str:
+    return f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, round({score}, 9) AS score FROM v q, v c)
+SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, vec_id) AS rank FROM s) WHERE rank <= 3"""
+
+
+def all_against_all(spark, d, metric):
     e = Tables(spark, d).embeddings
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    return rnd(retrieval.vector_topk_by_cell(q, "query_id", "v", e, "vec_id", "embedding"), "score")
+    return rnd(retrieval.vector_topk(q, "query_id", "v", e, "vec_id", "embedding", metric=metric), "score")
+
+
+# every vector is a query: a table of any size, which meets the corpus in a grid once it outgrows a broadcast
+
+
+@query("r05b_vector_topk_by_cell", nearest_of_all("list_distance(q.e, c.e)", "ASC"))
+def r05b(spark, d):
+    return all_against_all(spark, d, "l2")
+
+
+@query("r05c_vector_topk_cosine", nearest_of_all("list_cosine_similarity(q.e, c.e)", "DESC"))
+def r05c(spark, d):
+    return all_against_all(spark, d, "cosine")
+
+
+@query("r05d_vector_topk_dot", nearest_of_all("list_inner_product(q.e, c.e)", "DESC"))
+def r05d(spark, d):
+    return all_against_all(spark, d, "dot")
 
 
 @query("r06_none_engine", "SELECT item_id, 'none' AS engine, 0 AS n_ids FROM benchmark")
