@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbtrace.functions.scalars import array_sum, ratio
-from plumbtrace.functions.special import normal_two_sided, student_two_sided
+from plumbtrace.functions.special import chi_square_tail, normal_two_sided, student_two_sided
 from .metrics import poisson_count
 from .ordered import prefix_sums, with_mid_ranks
 
@@ -29,10 +29,10 @@ def long_scores(wide: DataFrame, keys: list[str], metrics: list[str]) -> DataFra
 
 def paired_differences(scores: DataFrame, query: str, engine: str, comparisons=COMPARISONS,
                        undefined: str = "none", context_metrics=CONTEXT_METRICS, keep: list[str] | None = None) -> DataFrame:
-    """score(a) - score(b) per query, metric and comparison; pairs need both sides."""
+    """score(a) - score(b) per query, metric and comparison; pairs need both sides. Of repeated scores the largest counts."""
     keep = keep or []
     engines = sorted({e for pair in comparisons for e in pair})
-    wide = scores.groupBy(*keep, query, "metric").pivot(engine, engines).agg(F.first("score"))
+    wide = scores.groupBy(*keep, query, "metric").pivot(engine, engines).agg(F.max("score"))
     cells = F.array(*[
         F.struct(F.lit(f"{a} vs {b}").alias("comparison"), F.lit(b == undefined).alias("bare"),
                  (F.col(f"`{a}`") - F.col(f"`{b}`")).cast("double").alias("difference"))
@@ -76,13 +76,15 @@ def signed_rank(diffs: DataFrame, groups: list[str], difference: str, zeros: str
 
 
 def friedman(scores: DataFrame, groups: list[str], block: str, engine: str, value: str, engines: list[str]) -> DataFrame:
-    """Friedman chi-square over complete blocks, tie-corrected. Null when everything ties.
+    """Friedman chi-square over complete blocks, tie-corrected, for any number of engines. Null when everything ties.
 
-    For three engines p = exp(-chi/2) is exact for the chi-square tail; no other
-    number of engines has a p-value here.
+    The p-value is the chi-square tail at one degree less than engines. Of repeated scores of a block and engine
+    the largest counts, so the result doesn't depend on the order of rows.
     """
     k = len(engines)
-    wide = scores.groupBy(*groups, block).pivot(engine, engines).agg(F.first(value))
+    if k < 2:
+        raise ValueError("friedman compares two engines or more")
+    wide = scores.groupBy(*groups, block).pivot(engine, engines).agg(F.max(value))
     v = F.array(*[F.col(f"`{e}`").cast("double") for e in engines])
     complete = wide.filter(F.forall(v, lambda x: x.isNotNull())).withColumn("_v", v)
     below = lambda x: F.size(F.filter("_v", lambda y: y < x))
@@ -98,7 +100,7 @@ def friedman(scores: DataFrame, groups: list[str], block: str, engine: str, valu
     raw = 12.0 / (n * k * (k + 1)) * squares - 3.0 * n * (k + 1)
     correction = 1.0 - F.col("_ties") / (n * k * (k * k - 1))
     chi = F.when(correction > 1e-12, raw / correction)
-    p = F.exp(-chi / 2.0) if k == 3 else F.lit(None).cast("double")
+    p = F.when(chi.isNotNull(), chi_square_tail(F.coalesce(chi, F.lit(0.0)), k - 1))
     return sums.select(*groups, "n_blocks", chi.alias("chi_square"), p.alias("p_value"),
                        *[(F.col(f"_s{i}") / n).alias(f"mean_rank_{e}") for i, e in enumerate(engines)])
 
@@ -170,7 +172,7 @@ def bootstrap_mean(df: DataFrame, groups: list[str], value: str, seed, replicate
 
 def discordant(scores: DataFrame, query: str, engine: str, quality: str, answer: str, better: str = "vector", worse: str = "bm25") -> DataFrame:
     """Queries where `better` retrieves better but answers worse than `worse`."""
-    wide = scores.groupBy(query).pivot(engine, [worse, better]).agg(F.first(quality).alias("q"), F.first(answer).alias("a"))
+    wide = scores.groupBy(query).pivot(engine, [worse, better]).agg(F.max(quality).alias("q"), F.max(answer).alias("a"))
     q = lambda e: F.col(f"`{e}_q`")
     a = lambda e: F.col(f"`{e}_a`")
     return wide.filter((q(better) > q(worse)) & (a(better) < a(worse))).select(

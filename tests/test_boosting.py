@@ -71,7 +71,8 @@ def test_loss_falls_and_partitions_do_not_matter(spark, data, monkeypatch):
     for a, b in zip(runs[0].rounds, runs[1].rounds):
         assert (a.feature == b.feature).all() and (a.bin == b.bin).all() and a.value == pytest.approx(b.value)
     scored = runs[0].score(frame(spark, data, 2), "x", "p").collect()
-    assert np.mean([int(np.argmax(r["p"])) == r["y"] for r in scored]) > 0.9
+    most = np.bincount(data[1]).max() / len(data[1])
+    assert np.mean([int(np.argmax(r["p"])) == r["y"] for r in scored]) > most + 0.2
     assert all(sum(r["p"]) == pytest.approx(1) for r in scored)
 
 

@@ -138,11 +138,12 @@ def quality(spark, d):
 
 
 def student_sql(t, dof):
-    def simpson(upper):
-        h = f"(({upper}) / 400)"
-        w = "CASE WHEN i = 0 OR i = 400 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END::DOUBLE"
-        return f"(list_sum(list_transform(range(401), lambda i: {w} * pow(greatest(cos(i * {h}), 0.0::DOUBLE), {dof} - 1.0::DOUBLE))) * {h} / 3)"
-    return f"CASE WHEN {dof} > 1000 THEN {np_sql(t)} ELSE greatest(1 - {simpson(f'atan(abs({t}) / sqrt({dof}))')} / {simpson('pi() / 2')}, 0) END"
+    """Central probability: the integral of cos^(dof - 1) up to atan(|t| / sqrt(dof)) by Simpson's rule, over its closed form up to pi / 2."""
+    h = f"(atan(abs({t}) / sqrt({dof})) / 4000)"
+    w = "CASE WHEN i = 0 OR i = 4000 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END::DOUBLE"
+    inner = f"(list_sum(list_transform(range(4001), lambda i: {w} * pow(greatest(cos(i * {h}), 0.0::DOUBLE), {dof} - 1.0::DOUBLE))) * {h} / 3)"
+    whole = f"(sqrt(pi()) / 2 * exp(lgamma({dof} / 2) - lgamma(({dof} + 1) / 2)))"
+    return f"greatest(1 - {inner} / {whole}, 0)"
 
 
 def spearman_sql(source, groups):
