@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
-from .binding import let
-
 TWO_32 = 4294967296.0
 
 
@@ -29,28 +25,6 @@ def hash_uniform(seed, *keys) -> Column:
     return hash_u32(seed, *keys) / F.lit(TWO_32)
 
 
-def hash_normal(seed, *keys) -> Column:
-    """Standard normal draw (Box-Muller on two halves of one digest)."""
-
-    def box_muller(digest: Column) -> Column:
-        first = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
-        second = F.conv(F.substring(digest, 9, 8), 16, 10).cast("double")
-        return F.sqrt(-2.0 * F.log((first + 1.0) / TWO_32)) * F.cos(2.0 * math.pi * second / TWO_32)
-
-    return let(_key(seed, *keys), box_muller)
-
-
 def hash_order(seed, *keys) -> Column:
     """Full digest, for orderings that must break every tie between distinct keys."""
     return _key(seed, *keys)
-
-
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) count by inverting the distribution at a uniform number."""
-    out = F.lit(0)
-    cumulative, term = math.exp(-1), math.exp(-1)
-    for k in range(1, 13):
-        out = out + (u >= F.lit(cumulative)).cast("int")
-        term /= k
-        cumulative += term
-    return out

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbtrace.functions.hashing import hash_normal, hash_uniform, poisson_one
+from plumbtrace.functions.binding import bind, let
+from plumbtrace.functions.hashing import hash_uniform
 from plumbtrace.functions.scalars import ratio
+from plumbtrace.functions.special import log_gamma
 from .bounded import attach_one, join_on
 from .ordered import BUCKETS, boundaries, prefix_sums, with_bucket
 
@@ -139,23 +141,27 @@ def average_precision_multiclass(df: DataFrame, label: str, probability: str, cl
         F.when(F.col("g") == 1, F.col("macro")).otherwise(F.col("ap")).alias("average_precision"))
 
 
-SMALL_COUNT = 16
+def poisson_steps(n: Column) -> Column:
+    """(first, steps): cumulated probabilities of a Poisson(n) count from `first` on, within nine deviations of its mean.
+
+    Masses are taken in log space, so any n will do; what lies outside is below 1e-15.
+    """
+    mean = n.cast("double")
+    reach = 9.0 * F.sqrt(mean) + 8.0
+    first = F.greatest(F.floor(mean - reach), F.lit(0).cast("long"))
+    mass = lambda k: F.exp(k * F.log(mean) - mean - log_gamma(k + 1.0))
+    masses = F.transform(F.sequence(first, F.ceil(mean + reach)), lambda k: mass(k.cast("double")))
+    added = F.aggregate(masses, F.array(F.lit(0.0)), lambda s, p: F.concat(s, F.array(F.element_at(s, -1) + p)))
+    return F.when(n > 0, F.struct(first.alias("first"), F.slice(added, F.lit(2), F.size(added) - 1).alias("steps")))
 
 
-def poisson_count(n: Column, seed, *keys) -> Column:
-    """Poisson(n) replicate weight of n identical rows.
+def poisson_draw(steps: Column, seed, *keys) -> Column:
+    """Replicate weight of identical rows by inversion of their `poisson_steps`: the number of steps that a uniform number passes.
 
-    The sum of n Poisson(1) draws is Poisson(n), so rows that share a value are
-    drawn together. Up to `SMALL_COUNT` the draws are added one by one; beyond it
-    a rounded normal with the same mean and variance stands in.
+    The sum of n Poisson(1) draws is Poisson(n), so rows that share a value are drawn together. No rows weigh nothing.
     """
-    draws = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(SMALL_COUNT)).cast("int"), F.lit(1))),
-        lambda i: hash_uniform(seed, *keys, i))
-    small = F.aggregate(draws, F.lit(0), lambda s, u: s + poisson_one(u))
-    noise = hash_normal(seed, *keys, F.lit("n"))
-    large = F.greatest(F.round(n + F.sqrt(n.cast("double")) * noise), F.lit(0.0)).cast("int")
-    return F.when(n <= 0, F.lit(0)).when(n <= SMALL_COUNT, small).otherwise(large)
+    passed = let(hash_uniform(seed, *keys), lambda u: F.size(F.filter(steps["steps"], lambda c: c <= u)))
+    return F.when(steps.isNull(), F.lit(0)).otherwise(steps["first"].cast("int") + passed)
 
 
 def bootstrap_average_precision(df: DataFrame, positive: Column, score: str, seed, replicates: int = 200,
@@ -169,10 +175,12 @@ def bootstrap_average_precision(df: DataFrame, positive: Column, score: str, see
     groups = groups or []
     counts = score_counts(df, groups, positive, score)
     bucketed = with_bucket(counts, "score", boundaries(counts, "score", buckets)).repartition("_bucket")
+    # the steps of a count serve all its replicates
+    bucketed = bind(bucketed, pos_steps=poisson_steps(F.col("pos")), neg_steps=poisson_steps(F.col("neg")))
     # replicate -1 carries the unweighted counts
     drawn = bucketed.withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
     weight = lambda c: F.when(F.col("replicate") < 0, F.col(c)).otherwise(
-        poisson_count(F.col(c), seed, *groups, F.round(F.col("score") * 1000000000).cast("long"), F.col("replicate"), F.lit(c))).cast("long")
+        poisson_draw(F.col(f"{c}_steps"), seed, *groups, F.round(F.col("score") * 1000000000).cast("long"), F.col("replicate"), F.lit(c))).cast("long")
     drawn = drawn.select(*groups, "_bucket", "replicate", "score", weight("pos").alias("pos"), weight("neg").alias("neg"))
     keys = [*groups, "replicate"]
     totals = drawn.groupBy(*keys, "_bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))

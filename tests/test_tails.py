@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbtrace.functions.special import chi_square_tail, incomplete_beta, log_gamma, student_two_sided
-from plumbtrace.operators import paired
+from plumbtrace.operators import metrics, paired
 
 
 def integral_of_student(t: float, dof: float) -> float:
@@ -63,3 +63,19 @@ def test_friedman_takes_any_number_of_engines(spark):
     assert out["p_value"] == pytest.approx(math.exp(-x) * (1 + x), abs=1e-12)
     with pytest.raises(ValueError):
         paired.friedman(spark.createDataFrame(rows, "g string, b long, e string, v double"), ["g"], "b", "e", "v", ["e0"])
+
+
+def test_poisson_weights_are_exact_beyond_every_old_limit(spark):
+    draws = 4000
+    for n in (1, 16, 17, 400, 10_000):
+        df = spark.range(draws).select(metrics.poisson_draw(metrics.poisson_steps(F.lit(n).cast("long")), 5, F.col("id")).alias("w"))
+        w = np.array([r["w"] for r in df.collect()], dtype="float64")
+        assert abs(w.mean() - n) < 5 * math.sqrt(n / draws)
+        assert w.var() == pytest.approx(n, rel=0.15)
+        skew = ((w - w.mean()) ** 3).mean() / w.std() ** 3
+        assert skew == pytest.approx(1 / math.sqrt(n), abs=0.2)
+    # a step function that ends at 1, and the share of zeros
+    steps = spark.range(1).select(metrics.poisson_steps(F.lit(17)).alias("s")).first()["s"]
+    assert steps["first"] == 0 and steps["steps"][0] == pytest.approx(math.exp(-17)) and steps["steps"][-1] == pytest.approx(1, abs=1e-13)
+    none = spark.range(1).select(metrics.poisson_draw(metrics.poisson_steps(F.lit(0)), 5, F.lit(1)).alias("w")).first()
+    assert none["w"] == 0

@@ -132,13 +132,14 @@ def a14(spark, d):
 
 
 def boot_sql(groups, seed=42, replicates=200):
-    from .randomness import poisson_sql
+    from .randomness import poisson_cdf_sql, poisson_sql
 
     g = "".join(f"{x}, " for x in groups)
     p = "".join(f"{x}, " for x in groups)
     key = [*groups, "round(score * 1000000000)::BIGINT", "rep"]
-    return f"""c AS (SELECT {g} score, count(*) FILTER (y) AS pos, count(*) FILTER (NOT y) AS neg FROM s GROUP BY ALL),
-d AS (SELECT {g} rep, score, CASE WHEN rep < 0 THEN pos ELSE {poisson_sql('pos', seed, [*key, "'pos'"])} END AS pos, CASE WHEN rep < 0 THEN neg ELSE {poisson_sql('neg', seed, [*key, "'neg'"])} END AS neg FROM c, range(-1, {replicates}) r(rep)),
+    return f"""c0 AS (SELECT {g} score, count(*) FILTER (y) AS pos, count(*) FILTER (NOT y) AS neg FROM s GROUP BY ALL),
+c AS (SELECT *, {poisson_cdf_sql('pos')} AS pos_cdf, {poisson_cdf_sql('neg')} AS neg_cdf FROM c0),
+d AS (SELECT {g} rep, score, CASE WHEN rep < 0 THEN pos ELSE {poisson_sql('pos', 'pos_cdf', seed, [*key, "'pos'"])} END AS pos, CASE WHEN rep < 0 THEN neg ELSE {poisson_sql('neg', 'neg_cdf', seed, [*key, "'neg'"])} END AS neg FROM c, range(-1, {replicates}) r(rep)),
 o AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM d WINDOW w AS (PARTITION BY {p} rep ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 a AS (SELECT {g} rep, sum(CASE WHEN tp + fp = 0 THEN 0 ELSE pos::DOUBLE * tp::DOUBLE / (tp + fp)::DOUBLE END) / sum(pos)::DOUBLE AS ap FROM o GROUP BY ALL)
 SELECT {g} round(max(ap) FILTER (rep < 0), 6) AS average_precision, round(quantile_cont(ap, 0.025) FILTER (rep >= 0), 6) AS low, round(quantile_cont(ap, 0.975) FILTER (rep >= 0), 6) AS high FROM a GROUP BY ALL"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 
 def h(seed, *cols: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(cols)})), 1, 8))::UBIGINT"
@@ -13,18 +11,16 @@ def u(seed, *cols: str) -> str:
     return f"({h(seed, *cols)}::DOUBLE / 4294967296.0::DOUBLE)"
 
 
-def poisson_sql(n, seed, keys):
-    draw = " + ".join(f"(uu >= {c!r}::DOUBLE)::INTEGER" for c in _poisson_steps())
-    k = ", ".join(keys)
-    md = f"md5(concat_ws('|', '{seed}', {k}, 'n'))"
-    normal = f"sqrt(-2.0::DOUBLE * ln((('0x' || substr({md}, 1, 8))::UBIGINT::DOUBLE + 1.0::DOUBLE) / 4294967296.0::DOUBLE)) * cos(2.0::DOUBLE * pi() * ('0x' || substr({md}, 9, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE)"
-    small = f"list_sum(list_transform(list_transform(range(1, {n} + 1), lambda j: {u(seed, *keys, 'j')}), lambda uu: {draw}))"
-    return f"CASE WHEN {n} <= 0 THEN 0 WHEN {n} <= 16 THEN {small} ELSE greatest(round({n} + sqrt({n}::DOUBLE) * {normal}), 0)::INTEGER END"
+def poisson_cdf_sql(n) -> str:
+    """Cumulated masses of a Poisson(n) count from `poisson_first_sql` on, nine deviations and more to both sides."""
+    mass = f"exp(k * ln({n}::DOUBLE) - {n}::DOUBLE - lgamma(k + 1.0::DOUBLE))"
+    masses = f"list_transform(range({poisson_first_sql(n)}, ceil({n} + 9 * sqrt({n}::DOUBLE) + 8)::BIGINT + 1), lambda k: {mass})"
+    return f"CASE WHEN {n} > 0 THEN list_transform([{masses}], lambda m: list_transform(range(1, len(m) + 1), lambda i: list_sum(m[1:i])))[1] END"
+
+
+def poisson_first_sql(n) -> str:
+    return f"greatest(floor({n} - 9 * sqrt({n}::DOUBLE) - 8)::BIGINT, 0)"
 
 
-def _poisson_steps():
-    total, term = math.exp(-1), math.exp(-1)
-    for k in range(1, 13):
-        yield total
-        term /= k
-        total += term
+def poisson_sql(n, cdf, seed, keys) -> str:
+    return f"CASE WHEN {n} > 0 THEN {poisson_first_sql(n)} + list_sum(list_transform([{u(seed, *keys)}], lambda uu: len(list_filter({cdf}, lambda c: c <= uu))))::BIGINT ELSE 0 END"

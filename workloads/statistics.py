@@ -9,7 +9,7 @@ from plumbtrace.operators import enrich, paired, summaries
 from plumbtrace.plans import evaluation
 
 from .metrics import rnd
-from .randomness import poisson_sql
+from .randomness import poisson_cdf_sql, poisson_sql
 from .ranking import DESCRIBE, STATS
 from .registry import Tables, query
 
@@ -162,14 +162,15 @@ def e18(spark, d):
     return rnd(rnd(out, "rho"), "p_value", digits=4)
 
 
-BOOT = 2000
+BOOT = 10_000
 
 
 def bootstrap_sql(source, groups, seed):
     g = ", ".join(groups)
     keys = [*groups, "round(v * 1000000)::BIGINT", "rep"]
-    return f"""vc AS (SELECT {g}, v, count(*) AS n FROM {source} GROUP BY ALL),
-dr AS (SELECT {g}, rep, v, {poisson_sql('n', seed, keys)} AS w FROM vc, range({BOOT}) r(rep)),
+    return f"""v0 AS (SELECT {g}, v, count(*) AS n FROM {source} GROUP BY ALL),
+vc AS (SELECT *, {poisson_cdf_sql('n')} AS cdf FROM v0),
+dr AS (SELECT {g}, rep, v, {poisson_sql('n', 'cdf', seed, keys)} AS w FROM vc, range({BOOT}) r(rep)),
 mm AS (SELECT {g}, rep, sum(w * v)::DOUBLE / nullif(sum(w), 0)::DOUBLE AS m FROM dr GROUP BY ALL),
 ci AS (SELECT {g}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM mm GROUP BY ALL),
 pt AS (SELECT {g}, sum(n)::BIGINT AS n, sum(v * n)::DOUBLE / sum(n)::DOUBLE AS mean FROM vc GROUP BY ALL),
