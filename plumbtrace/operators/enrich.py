@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Texts used when a query has no evidence file, or none can be found.
 NO_EVIDENCE = "No XAI data provided."
 MISSING_EVIDENCE = "Error loading XAI: not found"
+UNREADABLE_EVIDENCE = "Error loading XAI: "
 EVIDENCE_CHARS = 1500
 
 
+def _one_line_json(text: str | None, limit: int) -> str | None:
+    """The start of a JSON document on one line, or why it can't be read."""
+    if text is None:
+        return None
+    try:
+        return json.dumps(json.loads(text))[:limit]
+    except (ValueError, RecursionError) as error:
+        return f"{UNREADABLE_EVIDENCE}{error}"
+
+
 def evidence_lookup(queries: DataFrame, documents: DataFrame, key: str, text: str,
                     limit: int = EVIDENCE_CHARS) -> DataFrame:
-    """Attach the first `limit` characters of the document a query names."""
+    """Attach the first `limit` characters of the document a query names.
+
+    Documents named `.json` are first written on one line without indentation,
+    so that white space takes none of the limit; one that is no JSON gives an
+    error text. Every document is cut before the join, whole texts aren't shuffled.
+    """
+    @F.pandas_udf("string")
+    def one_line(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _one_line_json(t, limit))
+
     wanted = F.lower(F.coalesce(F.col(key), F.lit("none")))
-    docs = documents.select(F.col(key), F.substring(F.col(text), 1, limit).alias("_evidence"))
+    is_json = F.col(key).endswith(".json")
+    docs = documents.select(F.col(key), F.coalesce(
+        one_line(F.when(is_json, F.col(text))),
+        F.when(~is_json, F.substring(F.col(text), 1, limit))).alias("_evidence"))
     joined = queries.join(docs, key, "left")
     return joined.withColumn(
         "evidence",

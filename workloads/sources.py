@@ -305,3 +305,21 @@ def s16(spark, d):
             F.concat(F.lit("doc_"), (F.col("doc_id") * 2).cast("string"), F.lit(".txt"))).alias("xai_file"))
     named = t.documents.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("xai_file"), "text")
     return evidence_lookup(asked, named, "xai_file", "text").select("item_id", "xai_file", "evidence")
+
+
+@query("s16b_json_evidence", """
+SELECT b.item_id, b.xai_file, CASE WHEN e.vec_id IS NULL THEN 'Error loading XAI: not found'
+       ELSE substr('{"id": ' || e.vec_id || ', "values": [' || array_to_string(list_transform(e.embedding, lambda x: CASE WHEN isfinite(x) THEN CAST(CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS VARCHAR) ELSE 'null' END), ', ') || ']}', 1, 1500) END AS evidence
+FROM (SELECT vec_id AS item_id, 'vec_' || (vec_id * 2) || '.json' AS xai_file FROM embeddings) b
+LEFT JOIN (SELECT * FROM embeddings WHERE embedding IS NOT NULL) e ON b.xai_file = 'vec_' || e.vec_id || '.json'""")
+def s16b(spark, d):
+    from plumbtrace.operators.enrich import evidence_lookup
+
+    rows = Tables(spark, d).embeddings
+    asked = rows.select(
+        F.col("vec_id").alias("item_id"), F.concat(F.lit("vec_"), (F.col("vec_id") * 2).cast("string"), F.lit(".json")).alias("xai_file"))
+    values = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) < float("inf"), F.floor(1024 * x.cast("double"))))
+    body = F.to_json(F.struct(F.col("vec_id").alias("id"), values.alias("values")), {"pretty": "true"})
+    named = rows.filter(F.col("embedding").isNotNull()).select(
+        F.concat(F.lit("vec_"), F.col("vec_id").cast("string"), F.lit(".json")).alias("xai_file"), body.alias("text"))
+    return evidence_lookup(asked, named, "xai_file", "text").select("item_id", "xai_file", "evidence")
