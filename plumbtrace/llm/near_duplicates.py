@@ -8,9 +8,10 @@
    batches; it is dropped as soon as the posterior chance of a similarity at the bar falls under `miss`.
    What survives is verified on the full sets, and verified links merge components.
 4. Rest: in buckets that still hold several components, all pairs of different components are compared in
-   the same sequential way and verified: of small buckets as rows, of larger ones where blocks of members
-   meet, so that pairs never become rows. Pairs in one component need no check, since they can't
-   change the result. So no link is lost but by the chances of the bands and of `miss`; nothing is capped.
+   the same sequential way: of small buckets as rows, of larger ones where blocks of cards meet. Of each two
+   components that meet, the pair that agrees most is verified first; once those links have merged components, all
+   plausible pairs of components that are still different are verified. Pairs in one component need no check, since
+   they can't change the result. So no link is lost but by the chances of the bands and of `miss`; nothing is capped.
 
 Links, components and labels stay distributed; each step is a written table.
 """
@@ -220,6 +221,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.where(same("text_b", "text_a")).select("a", "b")
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels after links; the components so far are stars already."""
+    if links.isEmpty():
+        return labels
+    return connected(links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
 def _members(candidates: DataFrame, *more: str) -> DataFrame:
     return candidates.select("node", "card", *more, F.explode("keys").alias("key"))
 
@@ -270,55 +278,85 @@ def _small_pairs(told: DataFrame) -> DataFrame:
     return packed.select(F.explode(compare("items")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _block_links(told: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links between components inside larger buckets.
+def _blocks(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of larger buckets as (node, card, block), and which blocks meet (x, y); both stored.
 
     Each member has one block, by the first of its buckets, whatever other buckets it is in; two blocks meet once,
-    however many buckets they share. Pairs are compared and verified where blocks meet, and only links
-    come out: one for each two components that a meeting finds linked.
+    however many buckets they share. A block has about BLOCK members.
     """
-    homes = told.groupBy("node", "root", "card").agg(F.min("key").alias("home"))
+    homes = told.groupBy("node", "card").agg(F.min("key").alias("home"))
     sizes = homes.groupBy("home").agg(F.count("*").alias("n"))
     homes = materialise(
         homes.join(sizes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))))
-        .select("node", "root", "card", "block"), "near_blocks",
+        .select("node", "card", "block"), "near_blocks",
     )
     roots = told.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"))
     placed = told.select("key", "node", "root").join(homes.select("node", "block"), "node").join(roots, "key")
     placed = placed.groupBy("key", "block").agg(F.max(F.col("root") != F.col("most.root")).alias("minor"))
     meets = placed.where("minor").select("key", F.col("block").alias("x")).join(placed.select("key", F.col("block").alias("y")), "key")
-    meets = meets.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    sides = meets.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    return homes, materialise(meets.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "near_meetings")
 
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shingler = Shingler()
-        for b in batches:
-            yield pd.Series([shingler(t).tobytes() for t in b], dtype=object)
-
-    members = materialise(homes.join(texts, "node").withColumn("set", packed("text")).drop("text"), "near_block_sets")
-    rows = sides.join(members, "block")
-
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(b, np.uint64) for b in group["set"]]
-        cards, nodes = _cards(group["card"]), group["node"].tolist()
-        component = pd.factorize(group["root"])[0]
-        first = (group["block"] == group["x"].iloc[0]).to_numpy()
-        left, right = np.flatnonzero(first), np.flatnonzero(~first)
-        if len(right) and len(right) < len(left):  # one batch of comparisons for each of the fewer
-            left, right = right, left
-        out = []
-        for i in left:
-            js = right if len(right) else np.arange(i + 1, len(group))
-            js = js[component[js] != component[i]]
-            js = js[plausible(np.repeat(cards[i:i + 1], len(js), 0), cards[js])] if len(js) else js
-            for j in js:
-                if component[i] != component[j] and linked(sets[i], sets[j]):
-                    component[component == component[j]] = component[i]
-                    out.append(tuple(sorted((nodes[i], nodes[j]))))
-        return pd.DataFrame(out, columns=["a", "b"])
 
-    return rows.groupBy("x", "y").applyInPandas(verify, "a binary, b binary")
+def _meeting_pairs(left: np.ndarray, right: np.ndarray | None, best: bool) -> list[tuple[bytes, bytes]]:
+    """Plausible pairs of different components between two blocks, or inside one (right is None).
+
+    Members are rows of node, root and card. With `best`, only the pair of each two components whose signatures agree most.
+    """
+    u = left if right is None else np.concatenate([left, right])
+    component = np.unique(np.ascontiguousarray(u[:, 16:32]).view("V16")[:, 0], return_inverse=True)[1]
+    cards, out, top = u[:, 32:], [], {}
+    here, there = np.arange(len(left)), np.arange(len(left), len(u))
+    if right is not None and len(there) < len(here):  # one batch of comparisons for each of the fewer
+        here, there = there, here
+    for i in here:
+        js = np.arange(i + 1, len(u)) if right is None else there
+        js = js[component[js] != component[i]]
+        if not len(js):
+            continue
+        js = js[plausible(np.broadcast_to(cards[i], (len(js), cards.shape[1])), cards[js])]
+        if best and len(js):
+            agree = (cards[js, 4:] == cards[i, 4:]).sum(1)
+            order = np.lexsort((js, -agree))
+            for k in order[np.unique(component[js[order]], return_index=True)[1]]:
+                two = (min(component[i], component[js[k]]), max(component[i], component[js[k]]))
+                if two not in top or agree[k] > top[two][0]:
+                    top[two] = (agree[k], i, js[k])
+        else:
+            out.extend((i, j) for j in js)
+    if best:
+        out = [t[1:] for t in top.values()]
+    return [tuple(sorted((u[i, :16].tobytes(), u[j, :16].tobytes()))) for i, j in out]
+
+
+def _block_pairs(homes: DataFrame, meets: DataFrame, labels: DataFrame | None, best: bool) -> DataFrame:
+    """Plausible pairs of different components, found where blocks meet.
+
+    A block travels as one row of cards, so a meeting reads 2 x BLOCK x 132 bytes whatever the length of the texts;
+    full sets are fetched for the pairs that come out alone.
+    """
+    told = homes if labels is None else homes.join(labels, "node", "left")
+    root = F.col("node") if labels is None else F.coalesce("root", "node")
+    told = told.select("block", "node", root.alias("root"), "card")
+    packed = materialise(
+        told.groupBy("block").agg(
+            F.collect_list(F.concat("node", "root", "card")).alias("items"), F.min("root").alias("low"), F.max("root").alias("high")
+        ), "near_packed_blocks",
+    )
+    ends = packed.select("block", "low", "high")
+    for side in "xy":
+        meets = meets.join(ends.select(F.col("block").alias(side), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}")), side)
+    meets = meets.where("least(low_x, low_y) <> greatest(high_x, high_y)").select("x", "y")
+    for side in "xy":
+        meets = meets.join(packed.select(F.col("block").alias(side), F.col("items").alias(f"items_{side}")), side)
+    width = 32 + 4 + HASHES
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        row = group.iloc[0]
+        left, right = (np.frombuffer(b"".join(row[name]), np.uint8).reshape(-1, width) for name in ("items_x", "items_y"))
+        pairs = _meeting_pairs(left, None if row["x"] == row["y"] else right, best)
+        return pd.DataFrame(pairs, columns=["a", "b"])
+
+    return meets.groupBy("x", "y").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -354,13 +392,14 @@ def _with_roots(docs: DataFrame) -> DataFrame:
     found = materialise(_verified(stars, texts), "near_links")
     labels = None if found.isEmpty() else connected(found)
     rest = materialise(_mixed_buckets(candidates, labels), "near_rest_members")
-    small = _small_pairs(rest.where("not large")).join(stars.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
-    found = _verified(materialise(small, "near_rest"), texts)
-    found = materialise(found.unionByName(_block_links(rest.where("large"), texts)), "near_links")
-    if not found.isEmpty():
-        # the components so far are stars already
-        links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        labels = connected(links)
+    tried = stars.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
+    homes, meets = _blocks(rest.where("large"))
+    pairs = _small_pairs(rest.where("not large")).unionByName(_block_pairs(homes, meets, labels, True)).distinct()
+    pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "near_rest")
+    labels = _merged(labels, materialise(_verified(pairs, texts), "near_links"))
+    tried = tried.select("a", "b").unionByName(pairs)
+    last = materialise(_block_pairs(homes, meets, labels, False).join(tried, ["a", "b"], "left_anti"), "near_last")
+    labels = _merged(labels, materialise(_verified(last, texts), "near_links"))
 
     named = nodes.select("node", "least")
     if labels is not None:
