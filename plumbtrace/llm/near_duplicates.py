@@ -34,6 +34,8 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-4
+#: Members of larger buckets are compared on so many hashes, checked after each further STEP.
+LONG, STEP = 480, 96
 #: Buckets of more members are compared by blocks of BLOCK.
 SMALL, BLOCK = 16, 1024
 #: Candidate nodes (24 bytes each) whose keys are broadcast to fetch texts; more are joined by a shuffle.
@@ -44,6 +46,8 @@ _RNG = np.random.default_rng(1009)
 _PLACES = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _TIMES = (_RNG.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _FLIPS = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
+_TIMES = np.append(_TIMES, (_RNG.integers(1, 1 << 32, LONG - HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32))
+_FLIPS = np.append(_FLIPS, _RNG.integers(0, 1 << 32, LONG - HASHES, dtype=np.uint64).astype(np.uint32))
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -76,9 +80,9 @@ class Shingler:
         return np.unique(_mixed(z))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Minima of HASHES functions over each non-empty set (32-bit)."""
-    out = np.empty((len(sets), HASHES), np.uint32)
+def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
+    """Minima of the first `hashes` functions over each non-empty set (32-bit)."""
+    out = np.empty((len(sets), hashes), np.uint32)
     at = 0
     while at < len(sets):
         to, size = at, 0
@@ -88,7 +92,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         flat = np.concatenate(sets[at:to]).astype(np.uint32)
         starts = np.concatenate([[0], np.cumsum([len(s) for s in sets[at:to - 1]])]).astype(np.int64)
         buffer = np.empty_like(flat)
-        for k in range(HASHES):
+        for k in range(hashes):
             np.bitwise_xor(flat, _FLIPS[k], out=buffer)
             np.multiply(buffer, _TIMES[k], out=buffer)
             out[at:to, k] = np.minimum.reduceat(buffer, starts)
@@ -108,7 +112,7 @@ def least_matches(miss: float = MISS) -> dict[int, int]:
     # one-byte values agree by chance once in 256
     agree = x + (1 - x) / 256
     out = {}
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in [*range(BATCH, HASHES + 1, BATCH), *range(HASHES + STEP, LONG + 1, STEP)]:
         for m in range(n + 1):
             logs = m * np.log(agree) + (n - m) * np.log(1 - agree)
             p = np.exp(logs - logs.max())
@@ -122,13 +126,15 @@ _LEAST = least_matches()
 
 
 def plausible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs of cards (size in 4 bytes, signature bytes) may still link, by size and by posterior."""
+    """Which pairs of cards (size in 4 bytes, HASHES or LONG signature bytes) may still link, by size and by posterior."""
     n, m = (np.ascontiguousarray(x[:, :4]).view("<u4")[:, 0].astype(np.int64) for x in (a, b))
     left = np.flatnonzero(100 * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m))
-    matches = np.zeros(len(left), np.int64)
+    matches, start = np.zeros(len(left), np.int64), 4
     for end, least in _LEAST.items():
-        part = slice(4 + end - BATCH, 4 + end)
-        matches += (a[left, part] == b[left, part]).sum(1)
+        if 4 + end > a.shape[1]:
+            break
+        matches += (a[left, start:4 + end] == b[left, start:4 + end]).sum(1)
+        start = 4 + end
         keep = matches >= least
         left, matches = left[keep], matches[keep]
     return left
@@ -278,18 +284,32 @@ def _small_pairs(told: DataFrame) -> DataFrame:
     return packed.select(F.explode(compare("items")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _blocks(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _blocks(told: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of larger buckets as (node, card, block), and which blocks meet (x, y); both stored.
 
+    Their cards hold LONG hashes: the posterior of a pair just under the bar falls with the number compared, and here
+    a member meets many.
+
     Each member has one block, by the first of its buckets, whatever other buckets it is in; two blocks meet once,
     however many buckets they share. A block has about BLOCK members.
     """
-    homes = told.groupBy("node", "card").agg(F.min("key").alias("home"))
+
+    @F.pandas_udf("binary")
+    def long_card(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingler = Shingler()
+        for b in batches:
+            out = []
+            for start in range(0, len(b), 512):
+                sets = [shingler(t) for t in b.iloc[start:start + 512]]
+                out += [np.uint32(len(s)).tobytes() + low.tobytes() for s, low in zip(sets, signature_bytes(signatures(sets, LONG)))]
+            yield pd.Series(out, dtype=object)
+
+    homes = told.groupBy("node").agg(F.min("key").alias("home"))
     sizes = homes.groupBy("home").agg(F.count("*").alias("n"))
-    homes = materialise(
-        homes.join(sizes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))))
-        .select("node", "card", "block"), "near_blocks",
-    )
+    homes = homes.join(sizes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))))
+    homes = homes.select("node", "block").join(texts, "node")
+    # texts are spread over all tasks again before they are hashed
+    homes = materialise(homes.repartition("node").select("node", long_card("text").alias("card"), "block"), "near_blocks")
     roots = told.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"))
     placed = told.select("key", "node", "root").join(homes.select("node", "block"), "node").join(roots, "key")
     placed = placed.groupBy("key", "block").agg(F.max(F.col("root") != F.col("most.root")).alias("minor"))
@@ -331,7 +351,7 @@ def _meeting_pairs(left: np.ndarray, right: np.ndarray | None, best: bool) -> li
 def _block_pairs(homes: DataFrame, meets: DataFrame, labels: DataFrame | None, best: bool) -> DataFrame:
     """Plausible pairs of different components, found where blocks meet.
 
-    A block travels as one row of cards, so a meeting reads 2 x BLOCK x 132 bytes whatever the length of the texts;
+    A block travels as one row of cards, so a meeting reads 2 x BLOCK x 516 bytes whatever the length of the texts;
     full sets are fetched for the pairs that come out alone.
     """
     told = homes if labels is None else homes.join(labels, "node", "left")
@@ -348,7 +368,7 @@ def _block_pairs(homes: DataFrame, meets: DataFrame, labels: DataFrame | None, b
     meets = meets.where("least(low_x, low_y) <> greatest(high_x, high_y)").select("x", "y")
     for side in "xy":
         meets = meets.join(packed.select(F.col("block").alias(side), F.col("items").alias(f"items_{side}")), side)
-    width = 32 + 4 + HASHES
+    width = 32 + 4 + LONG
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         row = group.iloc[0]
@@ -393,7 +413,7 @@ def _with_roots(docs: DataFrame) -> DataFrame:
     labels = None if found.isEmpty() else connected(found)
     rest = materialise(_mixed_buckets(candidates, labels), "near_rest_members")
     tried = stars.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
-    homes, meets = _blocks(rest.where("large"))
+    homes, meets = _blocks(rest.where("large"), texts)
     pairs = _small_pairs(rest.where("not large")).unionByName(_block_pairs(homes, meets, labels, True)).distinct()
     pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "near_rest")
     labels = _merged(labels, materialise(_verified(pairs, texts), "near_links"))
