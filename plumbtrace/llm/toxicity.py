@@ -19,8 +19,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbtrace.sources.scratch import materialise
+
 #: Labelled documents of each class that the classifier is fitted on at most, about.
 DOCS_PER_CLASS = 20_000
+SAMPLE_TASKS = 8
 FEATURES = 3_000
 LEAST_DOCS = 4
 GRAM = 4
@@ -243,32 +246,61 @@ class ToxicityModel:
         return score
 
 
-def train_toxicity(docs: DataFrame, labelled: DataFrame, docs_per_class: int = DOCS_PER_CLASS, seed: int = 23) -> ToxicityModel:
-    """Characters from all of `docs` (text); the classifier from `labelled` (doc_id, text, y).
+def _sample_words(docs: DataFrame, labels: DataFrame, characters, docs_per_class: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """(y, words) of the training sample, stored, and its rows of each label; words: the distinct restored ones.
+
+    Ids are drawn from labels by their hash, about docs_per_class of each label, so the ids that meet the texts are few
+    at any size and no text is shuffled. Where ids repeat in docs, rows are thinned again by the hash of their texts.
+    """
+    labels = labels.where("doc_id is not null and y is not null").select("doc_id", "y")
+
+    def thinned(rows: DataFrame, luck: Column, sizes: dict[int, int]) -> DataFrame:
+        bars = {y: int(min(1.0, docs_per_class / sizes[y]) * (1 << 30)) if sizes.get(y) else 0 for y in (0, 1)}
+        return rows.where(F.pmod(luck, F.lit(1 << 30)) < F.when(F.col("y") == 1, bars[1]).otherwise(bars[0]))
+
+    def counted(rows: DataFrame) -> dict[int, int]:
+        return {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+
+    drawn = thinned(labels, F.xxhash64("doc_id", F.lit(seed)), counted(labels))
+    met = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    sizes = counted(met)
+    if any(n > 2 * docs_per_class for n in sizes.values()):
+        met = thinned(met, F.xxhash64("doc_id", "text", F.lit(seed)), sizes)
+
+    @F.pandas_udf("array<string>")
+    def words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        restorer = Restorer(characters.value)
+        for texts in batches:
+            yield pd.Series([sorted(set(restorer.words(t or ""))) for t in texts], dtype=object)
+
+    sample = materialise(met.select("y", words("text").alias("words")), "toxicity_sample")
+    return sample, counted(sample)
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS, seed: int = 23) -> ToxicityModel:
+    """Characters from all of `docs` (doc_id, text); the classifier from those that `labels` (doc_id, y; one row an id) names.
 
-    The sample is chosen by a hash of id and text. Without one of the labels every score is the share of label 1, or a half.
+    Without one of the labels every score is the share of label 1, or a half.
     """
     spark = docs.sparkSession
     characters = character_model(docs)
-    usable = labelled.where("y is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
-    sizes = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    shared = spark.sparkContext.broadcast(characters)
+    sample, sizes = _sample_words(docs, labels, shared, docs_per_class, seed)
     if len(sizes) < 2:
         share = 0.5 if not sizes else 1 - 1e-6 if 1 in sizes else 1e-6
         return ToxicityModel(characters, {}, np.zeros(0), math.log(share / (1 - share)))
-    luck = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30))
-    bars = {y: int(min(1.0, docs_per_class / n) * (1 << 30)) for y, n in sizes.items()}
-    sample = usable.where(luck < F.when(F.col("y") == 1, bars[1]).otherwise(bars[0]))
-    shared = spark.sparkContext.broadcast(characters)
+    # the sample is bounded, so are the tasks that each hand on counts of their own
+    sample = sample.coalesce(SAMPLE_TASKS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, by = Restorer(shared.value), (Counter(), Counter())
+        by = (Counter(), Counter())
         for b in batches:
-            for text, y in zip(b["text"], b["y"]):
-                by[y].update(features_of(restorer.words(text)))
+            for words, y in zip(b["words"], b["y"]):
+                by[y].update(features_of(words))
         names = list(by[0].keys() | by[1].keys())
         yield pd.DataFrame({"feature": pd.Series(names, dtype=object), "n0": [by[0][x] for x in names], "n1": [by[1][x] for x in names]})
 
-    n1, n0 = min(sizes[1], docs_per_class), min(sizes[0], docs_per_class)
+    n1, n0 = sizes[1], sizes[0]
     odds = F.log((F.col("n1") + 0.5) / n1) - F.log((F.col("n0") + 0.5) / n0)
     # a cautious figure: odds less one standard error
     cautious = odds - F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
@@ -282,13 +314,12 @@ def train_toxicity(docs: DataFrame, labelled: DataFrame, docs_per_class: int = D
 
     @F.pandas_udf("array<int>")
     def present(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        score_words = Restorer(shared.value)
         get = chosen_b.value.get
-        for texts in batches:
-            yield pd.Series([sorted({k for f in features_of(score_words.words(t)) if (k := get(f)) is not None}) for t in texts])
+        for words in batches:
+            yield pd.Series([sorted({k for f in features_of(w) if (k := get(f)) is not None}) for w in words])
 
     # equal inputs are one row with a count
-    rows = sample.select("y", present("text").alias("f")).groupBy("y", "f").agg(F.count("*").alias("n")).collect()
+    rows = sample.select("y", present("words").alias("f")).groupBy("y", "f").agg(F.count("*").alias("n")).collect()
     rows.sort(key=lambda r: (r.y, r.f))
     weights, bias = _logistic([list(r.f) for r in rows], np.array([r.y for r in rows], float), np.array([r.n for r in rows], float), len(index))
     return ToxicityModel(characters, index, weights, bias)
@@ -343,5 +374,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    model = train_toxicity(docs, docs.join(labels, "doc_id"))
+    model = train_toxicity(docs, labels)
     return docs.select("doc_id", toxicity_score(F.col("text"), model, docs.sparkSession).alias("score"))

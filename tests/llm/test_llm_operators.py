@@ -165,6 +165,39 @@ def test_near_duplicates_match_brute_force(spark, docs):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_of_meeting_blocks_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SMALL", 2)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    rng, rows = random.Random(4), []
+    for family in range(4):  # chains of edits: neighbours link, ends don't
+        w = prose(300 + family, 120).split()
+        for k in range(30):
+            w = list(w)
+            for at in rng.sample(range(120), rng.randint(1, 4)):
+                w[at] = f"x{family}_{k}_{at}"
+            rows.append((1000 * family + rng.randint(0, 10 ** 9), " ".join(w)))
+    want = brute_components(rows)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_meeting_pairs_keep_the_best_of_two_components_or_all():
+    rng = np.random.default_rng(3)
+    card = np.concatenate([np.frombuffer(np.uint32(100).tobytes(), np.uint8), rng.integers(0, 256, near_duplicates.LONG, dtype=np.uint8)])
+
+    def member(node, root, changed):
+        c = card.copy()
+        c[4:4 + changed] ^= 1
+        return np.concatenate([np.full(16, node, np.uint8), np.full(16, root, np.uint8), c])
+
+    u = np.array([member(1, 1, 0), member(2, 1, 0), member(3, 3, 9), member(4, 3, 3), member(5, 5, 470)])
+    both = lambda *p: sorted((bytes([a] * 16), bytes([b] * 16)) for a, b in p)
+    for left, right in ((u, None), (u[:2], u[2:]), (u[2:], u[:2])):
+        assert sorted(near_duplicates._meeting_pairs(left, right, False)) == both((1, 3), (1, 4), (2, 3), (2, 4))
+        assert len(near_duplicates._meeting_pairs(left, right, True)) == 1
+        assert near_duplicates._meeting_pairs(left, right, True)[0] in both((1, 4), (2, 4))
+
+
 def test_near_duplicates_keep_one_and_edges(spark, docs):
     kept = near_duplicates.keep_one(docs)
     ids = [r.doc_id for r in kept.collect()]
@@ -209,6 +242,14 @@ def test_components_match_union_find(spark, edges):
     assert {r.node[0]: r.root[0] for r in near_duplicates.connected(df).collect()} == {n: r for n, r in top.items() if n != r}
 
 
+def test_toxicity_sample_is_bounded_where_one_id_repeats(spark):
+    docs = spark.createDataFrame([(7, f"you idiot {k}") for k in range(400)] + [(k, "a fine day") for k in range(100, 130)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)] + [(k, 0) for k in range(100, 130)] + [(9999, 1), (None, 1), (101, None)], "doc_id long, y int")
+    shared = spark.sparkContext.broadcast(toxicity.character_model(docs))
+    sample, sizes = toxicity._sample_words(docs, labels, shared, 40, 23)
+    assert 0 < sizes[1] <= 80 and sizes[0] == 30 and sample.count() == sum(sizes.values())
+
+
 def test_restoring_and_toxicity(spark):
     characters = toxicity.CharacterModel(toxicity.trigram_counts(["you are a stupid idiot", "what a loser", "the moron and the clown"] * 50))
     restorer = toxicity.Restorer(characters)
