@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbtrace.functions.binding import bind, let
@@ -85,11 +87,43 @@ def unique_chunks(chunks: DataFrame, order: list[str]) -> DataFrame:
     return chunks.groupBy("chunk_id").agg(first.alias("_c"), F.count("*").alias("copies")).select("chunk_id", "_c.*", "copies")
 
 
+def bm25_counts(chunks: DataFrame, key: str, text: str, unique: bool = False) -> DataFrame:
+    """(chunk, length, terms, tfs): one row per chunk, its different terms and how often each occurs.
+
+    With `unique`, each key comes once and chunks are counted where they are, without a shuffle.
+    Otherwise rows of the same key and length are put together first.
+    """
+    t = bind(spread(chunks.select(key, text), [key]), _t=tokens(F.col(text))).withColumn("length", F.size("_t")).filter(F.col("length") > 0)
+    if not unique:
+        t = t.groupBy(key, "length").agg(F.flatten(F.collect_list("_t")).alias("_t"))
+    out = T.StructType([chunks.schema[key], T.StructField("length", T.IntegerType()), T.StructField("terms", T.ArrayType(T.StringType())),
+                        T.StructField("tfs", T.ArrayType(T.LongType()))])
+
+    def count(batches):
+        for batch in batches:
+            found = batch.column("_t")
+            n = len(found)
+            named = found.flatten().dictionary_encode()
+            row = np.repeat(np.arange(n), found.value_lengths().to_numpy())
+            pairs, tfs = np.unique(row * max(1, len(named.dictionary)) + named.indices.to_numpy(), return_counts=True)
+            row, code = np.divmod(pairs, max(1, len(named.dictionary)))
+            cuts = pa.array(np.searchsorted(row, np.arange(n + 1)).astype("int32"))
+            terms = pa.ListArray.from_arrays(cuts, named.dictionary.take(pa.array(code)))
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("length"), terms, pa.ListArray.from_arrays(cuts, pa.array(tfs.astype("int64")))],
+                                             [key, "length", "terms", "tfs"])
+
+    return t.select(key, "length", "_t").mapInArrow(count, out)
+
+
+def postings_of(counts: DataFrame, key: str) -> DataFrame:
+    """(chunk, length, term, tf) from rows of `bm25_counts`."""
+    return counts.select(key, "length", F.explode(F.arrays_zip("terms", "tfs")).alias("_p")).select(
+        key, "length", F.col("_p.terms").alias("term"), F.col("_p.tfs").alias("tf"))
+
+
 def bm25_postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """(chunk, term, tf, length). Counting happens inside each chunk row, without a shuffle."""
-    t = bind(spread(chunks.select(key, text), [key]), _t=tokens(F.col(text))).withColumn("length", F.size("_t"))
-    terms = t.select(key, "length", F.explode("_t").alias("term"))
-    return terms.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    """(chunk, length, term, tf). Terms are counted inside each chunk row."""
+    return postings_of(bm25_counts(chunks, key, text), key)
 
 
 def corpus_size(chunks: DataFrame, postings: DataFrame) -> tuple[int, float]:
@@ -110,32 +144,101 @@ SALTS = 16
 
 def bm25_topk(queries: DataFrame, query: str, text: str, chunks: DataFrame, key: str, chunk_text: str,
               k: int = TOP_K, k1: float = BM25_K1, b: float = BM25_B, postings: DataFrame | None = None,
-              broadcast_limit: int = 20_000) -> DataFrame:
+              broadcast_limit: int = 20_000, counts: DataFrame | None = None) -> DataFrame:
     """k best chunks per query: every query term counts, however common it is.
 
-    Query terms are broadcast while they are few. Otherwise the join on the term is
-    salted by chunk, so that a term found in most chunks spreads over many tasks.
+    Query terms are broadcast while they are few: each task then runs through its chunks with the k best of
+    each query, and no pair of query and chunk becomes a row. Otherwise the join on the term is salted by chunk,
+    so that a term found in most chunks spreads over many tasks. `counts` are rows of `bm25_counts`, each key
+    once; from `postings`, those of a chunk are gathered first.
     """
-    postings = bm25_postings(chunks, key, chunk_text) if postings is None else postings
+    if postings is None:
+        postings = bm25_postings(chunks, key, chunk_text) if counts is None else postings_of(counts, key)
     n_chunks, avg_length = corpus_size(chunks, postings)
     asked = queries.select(query, F.explode(tokens(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    vocabulary = asked.select("term").distinct()
-    idf = bm25_terms(postings.join(broadcast_if_small(vocabulary, broadcast_limit), "term", "left_semi"), n_chunks)
-    weighted = asked.join(idf, "term").select(query, "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    vocabulary = broadcast_if_small(asked.select("term").distinct(), broadcast_limit)
+    found = postings.join(vocabulary, "term", "left_semi")
+    weighted = asked.join(bm25_terms(found, n_chunks), "term").select(query, "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     few = weighted.limit(broadcast_limit + 1).collect()
-    if len(few) <= broadcast_limit:
-        # placed by chunk before the query terms multiply the rows: the sums per (query,
-        # chunk) and the first k per query then need no shuffle of the scored pairs
-        small = F.broadcast(queries.sparkSession.createDataFrame(few, weighted.schema))
-        matched = postings.join(F.broadcast(small.select("term").distinct()), "term", "left_semi").repartition(key).join(small, "term")
-    else:
-        salted = postings.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-        spread = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        matched = salted.join(spread, ["term", "_salt"])
     norm = k1 * (1 - b + b * F.col("length") / F.lit(avg_length or 1.0))
+    order = [F.col("score").desc(), F.col(key)]
+    if len(few) <= broadcast_limit:
+        gain = F.col("tf") / (F.col("tf") + norm)
+        if counts is None:
+            hits = found.groupBy(key).agg(F.collect_list(F.struct("term", gain.alias("gain"))).alias("_h"))
+            hits = hits.select(key, F.col("_h.term").alias("terms"), F.col("_h.gain").alias("gains"))
+        else:
+            hits = counts.select(key, "terms", F.transform("tfs", lambda tf: tf / (tf + norm)).alias("gains"))
+        return top_k(_best_chunks(hits, key, few, weighted.schema[query], k), [query], order, k)
+    salted = postings.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    spread = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     gain = F.col("weight") * F.col("tf") / (F.col("tf") + norm)
-    scored = matched.groupBy(query, key).agg(F.round(F.sum(gain), 9).alias("score"))
-    return top_k(scored, [query], [F.col("score").desc(), F.col(key)], k)
+    scored = salted.join(spread, ["term", "_salt"]).groupBy(query, key).agg(F.round(F.sum(gain), 9).alias("score"))
+    return top_k(scored, [query], order, k)
+
+
+#: Queries and (query, term) weights that one matrix product covers, and cells of its other side.
+PRODUCT_QUERIES, PRODUCT_WEIGHTS, PRODUCT_CELLS = 256, 4096, 1 << 21
+
+
+def _best_chunks(hits: DataFrame, key: str, weighted: list, query: T.StructField, k: int) -> DataFrame:
+    """The k best chunks of each query within each task, from (chunk, terms, gains) and few (query, term, weight)."""
+    places: dict = {}
+    weights: list[list[tuple[str, float]]] = []
+    for name, term, weight in weighted:
+        at = places.setdefault(name, len(places))
+        if at == len(weights):
+            weights.append([])
+        weights[at].append((term, weight))
+    blocks, first = [], 0
+    while first < len(weights):
+        last, size = first + 1, len(weights[first])
+        while last < len(weights) and last - first < PRODUCT_QUERIES and size + len(weights[last]) <= PRODUCT_WEIGHTS:
+            size += len(weights[last])
+            last += 1
+        blocks.append(weights[first:last])
+        first = last
+    session = hits.sparkSession
+    shared = session.sparkContext.broadcast(blocks)
+    schema = T.StructType([T.StructField("_q", T.IntegerType()), hits.schema[key], T.StructField("score", T.DoubleType())])
+
+    def best_of_task(batches):
+        products = []
+        for block in shared.value:
+            names = {term: i for i, term in enumerate(dict.fromkeys(term for one in block for term, _ in one))}
+            matrix = np.zeros((len(names), len(block)))
+            for i, one in enumerate(block):
+                for term, weight in one:
+                    matrix[names[term], i] += weight
+            products.append((pa.array(list(names), pa.string()), matrix, RunningBest(list(range(len(block))), np.zeros((0, 0)), k, "bm25")))
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(key).type
+            keys = np.empty(batch.num_rows, dtype=object)
+            keys[:] = batch.column(key).to_pylist()
+            row = np.repeat(np.arange(batch.num_rows), batch.column("terms").value_lengths().to_numpy())
+            terms, gains = batch.column("terms").flatten(), batch.column("gains").flatten().to_numpy()
+            for names, matrix, state in products:
+                place = pc.fill_null(pc.index_in(terms, value_set=names), -1).to_numpy()
+                used = np.flatnonzero(place >= 0)
+                step = max(64, PRODUCT_CELLS // len(names))
+                for at in range(0, batch.num_rows, step):
+                    some = used[np.searchsorted(row[used], at):np.searchsorted(row[used], at + step)]
+                    n = min(step, batch.num_rows - at)
+                    grid = np.bincount((row[some] - at) * len(names) + place[some], gains[some], n * len(names)).reshape(n, -1)
+                    scores = (grid @ matrix).T
+                    state.offer(0, np.where(scores > 0, -np.round(scores, 9), np.nan), keys[at:at + n])
+        offset = 0
+        for _, _, state in products if kind is not None else []:
+            sizes = [len(loss) for loss, _ in state.best]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(np.arange(offset, offset + len(sizes)), sizes).astype("int32")),
+                pa.array([name for _, names in state.best for name in names], kind),
+                pa.array(-np.concatenate([loss for loss, _ in state.best]))], ["_q", key, "score"])
+            offset += len(sizes)
+
+    named = session.createDataFrame(list(enumerate(places)), T.StructType([schema["_q"], query]))
+    return hits.mapInArrow(best_of_task, schema).join(F.broadcast(named), "_q").select(query.name, key, F.round("score", 9).alias("score"))
 
 
 #: Bytes of the query matrix that travel to every task; larger query tables meet the corpus in a grid of blocks.
@@ -159,20 +262,29 @@ class RunningBest:
     def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
         for at in range(0, len(self.ids), 256):
             scores = np.round(similarity(self.queries[at:at + 256], vectors, self.metric), 9)
-            loss = scores if self.metric == "l2" else -scores
-            near = loss <= self.bar[at:at + 256][:, None]
-            for i in np.flatnonzero(near.any(1)):
-                take = np.flatnonzero(near[i])
-                if len(take) > self.k:
-                    # all rows that tie with the k-th stay until keys decide
-                    limit = np.partition(loss[i, take], self.k - 1)[self.k - 1]
-                    take = take[loss[i, take] <= limit]
-                old_loss, old_keys = self.best[at + i]
-                both, names = np.concatenate([old_loss, loss[i, take]]), np.concatenate([old_keys, keys[take]])
+            self.offer(at, scores if self.metric == "l2" else -scores, keys)
+
+    def offer(self, at: int, loss: np.ndarray, keys: np.ndarray) -> None:
+        """Losses of the queries from number `at` on, a row each, against the corpus rows `keys`; NaN takes no part."""
+        near = loss <= self.bar[at:at + len(loss)][:, None]
+        for i in np.flatnonzero(near.any(1)):
+            take = np.flatnonzero(near[i])
+            if len(take) > self.k:
+                # all rows that tie with the k-th stay until keys decide
+                limit = np.partition(loss[i, take], self.k - 1)[self.k - 1]
+                take = take[loss[i, take] <= limit]
+            old_loss, old_keys = self.best[at + i]
+            both, names = np.concatenate([old_loss, loss[i, take]]), np.concatenate([old_keys, keys[take]])
+            missing = np.array([name is None for name in names])
+            if missing.any():
+                # a missing key comes first among ties
+                order = np.concatenate([np.flatnonzero(missing), (known := np.flatnonzero(~missing))[np.argsort(names[known], kind="stable")]])
+                order = order[np.argsort(both[order], kind="stable")][:self.k]
+            else:
                 order = np.lexsort((names, both))[:self.k]
-                self.best[at + i] = both[order], names[order]
-                if len(order) == self.k:
-                    self.bar[at + i] = both[order[-1]]
+            self.best[at + i] = both[order], names[order]
+            if len(order) == self.k:
+                self.bar[at + i] = both[order[-1]]
 
     def rows(self, query: str, key: str) -> pd.DataFrame:
         sizes = [len(loss) for loss, _ in self.best]

@@ -256,6 +256,27 @@ def test_bm25_salted_join_equals_broadcast(spark):
     assert run(20_000) == run(0)
 
 
+def test_bm25_holds_no_pairs(spark):
+    """Without a row per (query, chunk): the plan that ranks has no aggregate or join keyed by both."""
+    docs = spark.createDataFrame([(f"c{i % 50}" if i else None, f"alpha beta {'gamma ' * (i % 4)} word{i % 7}") for i in range(120)] + [("empty", ""), ("none", None)], "id string, t string")
+    q = spark.createDataFrame([(1, "alpha gamma word3"), (2, "beta beta word5 unseen"), (2, "word6"), (None, "gamma")], "q int, text string")
+    run = lambda n: retrieval.bm25_topk(q, "q", "text", docs, "id", "t", 5, broadcast_limit=n)
+    few, many = run(20_000), run(0)
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect())) and few.count() == 15
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [q" not in plan and "MapInArrow" in plan
+
+
+def test_bm25_counts_of_unique_chunks(spark):
+    docs = spark.createDataFrame([(f"c{i}", f"alpha beta {'gamma ' * (i % 4)} word{i % 7}") for i in range(60)] + [("empty", ""), ("none", None)], "id string, t string")
+    q = spark.createDataFrame([(1, "alpha gamma word3"), (2, "beta beta word5 unseen")], "q int, text string")
+    counts = retrieval.bm25_counts(docs, "id", "t", unique=True)
+    assert sorted(map(tuple, retrieval.postings_of(counts, "id").collect())) == sorted(map(tuple, retrieval.bm25_postings(docs, "id", "t").collect()))
+    a = retrieval.bm25_topk(q, "q", "text", docs, "id", "t", counts=counts)
+    b = retrieval.bm25_topk(q, "q", "text", docs, "id", "t")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
 def test_retrieval_metric_edges(spark):
     runs = spark.createDataFrame([(1, "bm25", ["a", "b", "c"]), (1, "none", []), (2, "bm25", ["x"])], "q int, engine string, ids array<string>")
     qrels = spark.createDataFrame([(1, "b"), (1, "z"), (2, None)], "q int, chunk string")

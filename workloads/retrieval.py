@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plumbtrace.functions.hashing import hash_u32
@@ -62,8 +66,12 @@ def chunk_table(spark, d):
     return stored(spark, d, "chunks", build)
 
 
+def counts(spark, d):
+    return stored(spark, d, "counts", lambda: retrieval.bm25_counts(chunk_table(spark, d), "chunk_id", "text", unique=True))
+
+
 def postings(spark, d):
-    return stored(spark, d, "postings", lambda: retrieval.bm25_postings(chunk_table(spark, d), "chunk_id", "text"))
+    return retrieval.postings_of(counts(spark, d), "chunk_id")
 
 
 def asked(spark, d):
@@ -71,7 +79,7 @@ def asked(spark, d):
 
 
 def bm25(spark, d):
-    return retrieval.bm25_topk(asked(spark, d), "item_id", "query", chunk_table(spark, d), "chunk_id", "text", postings=postings(spark, d))
+    return retrieval.bm25_topk(asked(spark, d), "item_id", "query", chunk_table(spark, d), "chunk_id", "text", counts=counts(spark, d))
 
 
 def hashed_vectors(terms, key):
@@ -81,8 +89,23 @@ def hashed_vectors(terms, key):
     return t.groupBy(key).agg(F.array(*[F.sum(F.when(F.col("dim") == i, F.col("tf")).otherwise(0)).cast("double") for i in range(DIMS)]).alias("v"))
 
 
+def chunk_vectors(counts, key):
+    """`hashed_vectors` of rows that hold a whole chunk each: folded where they are, each term hashed once a batch."""
+    def fold(batches):
+        for batch in batches:
+            n = batch.num_rows
+            named = batch.column("terms").flatten().dictionary_encode()
+            dims = np.array([int(hashlib.md5(f"v|{t}".encode()).hexdigest()[:8], 16) % DIMS for t in named.dictionary.to_pylist()], dtype="int64")
+            row = np.repeat(np.arange(n), batch.column("terms").value_lengths().to_numpy())
+            v = np.bincount(row * DIMS + dims[named.indices.to_numpy()], batch.column("tfs").flatten().to_numpy(), n * DIMS)
+            cuts = pa.array(np.arange(n + 1, dtype="int32") * DIMS)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(cuts, pa.array(v))], [key, "v"])
+
+    return counts.select(key, "terms", "tfs").mapInArrow(fold, f"{key} string, v array<double>")
+
+
 def vector_results(spark, d):
-    corpus = stored(spark, d, "chunk_vectors", lambda: hashed_vectors(postings(spark, d), "chunk_id"))
+    corpus = stored(spark, d, "chunk_vectors", lambda: chunk_vectors(counts(spark, d), "chunk_id"))
     q = asked(spark, d).select("item_id", F.explode(retrieval.tokens(F.col("query"))).alias("term")).withColumn("tf", F.lit(1))
     return retrieval.vector_topk(hashed_vectors(q, "item_id"), "item_id", "v", corpus, "chunk_id", "v", 3, "cosine")
 
