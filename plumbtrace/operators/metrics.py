@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbtrace.functions.binding import bind, let
@@ -164,6 +169,33 @@ def poisson_draw(steps: Column, seed, *keys) -> Column:
     return F.when(steps.isNull(), F.lit(0)).otherwise(steps["first"].cast("int") + passed)
 
 
+@functools.lru_cache(maxsize=256)
+def _cumulated(n: int) -> tuple[int, np.ndarray]:
+    """What `poisson_steps` holds, in a task."""
+    reach = 9.0 * math.sqrt(n) + 8.0
+    first = max(math.floor(n - reach), 0)
+    k = np.arange(first, math.ceil(n + reach) + 1, dtype="float64")
+    return first, np.cumsum(np.exp(k * math.log(n) - n - np.array([math.lgamma(v + 1.0) for v in k])))
+
+
+def poisson_weight(n: Column, seed, *keys) -> Column:
+    """`poisson_draw` of `poisson_steps`, for very frequent values: the steps of a count are added up once a batch and searched by halves.
+
+    Their number grows with the root of the count; a draw costs its logarithm.
+    """
+    def weigh(counts: pd.Series, uniform: pd.Series) -> pd.Series:
+        out, u = np.zeros(len(counts), dtype="int64"), uniform.to_numpy()
+        values, place = np.unique(counts.to_numpy(), return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        for n, rows in zip(values.tolist(), np.split(order, np.cumsum(np.bincount(place, minlength=len(values)))[:-1])):
+            if n > 0:
+                first, steps = _cumulated(n)
+                out[rows] = first + np.searchsorted(steps, u[rows], side="right")
+        return pd.Series(out)
+
+    return F.pandas_udf(weigh, "long")(n, hash_uniform(seed, *keys))
+
+
 def bootstrap_average_precision(df: DataFrame, positive: Column, score: str, seed, replicates: int = 200,
                                 groups: list[str] | None = None, level: float = 0.95, buckets: int = BUCKETS) -> DataFrame:
     """Point value and percentile interval of average precision.
@@ -175,12 +207,10 @@ def bootstrap_average_precision(df: DataFrame, positive: Column, score: str, see
     groups = groups or []
     counts = score_counts(df, groups, positive, score)
     bucketed = with_bucket(counts, "score", boundaries(counts, "score", buckets)).repartition("_bucket")
-    # the steps of a count serve all its replicates
-    bucketed = bind(bucketed, pos_steps=poisson_steps(F.col("pos")), neg_steps=poisson_steps(F.col("neg")))
     # replicate -1 carries the unweighted counts
     drawn = bucketed.withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
     weight = lambda c: F.when(F.col("replicate") < 0, F.col(c)).otherwise(
-        poisson_draw(F.col(f"{c}_steps"), seed, *groups, F.round(F.col("score") * 1000000000).cast("long"), F.col("replicate"), F.lit(c))).cast("long")
+        poisson_weight(F.col(c), seed, *groups, F.round(F.col("score") * 1000000000).cast("long"), F.col("replicate"), F.lit(c)))
     drawn = drawn.select(*groups, "_bucket", "replicate", "score", weight("pos").alias("pos"), weight("neg").alias("neg"))
     keys = [*groups, "replicate"]
     totals = drawn.groupBy(*keys, "_bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbtrace.functions.binding import bind
 from plumbtrace.functions.scalars import array_sum, ratio
 from plumbtrace.functions.special import chi_square_tail, normal_two_sided, student_two_sided
-from .metrics import poisson_draw, poisson_steps
+from .metrics import poisson_weight
 from .ordered import prefix_sums, with_mid_ranks
 
 # Metrics that have no meaning without retrieval, and the comparisons made.
@@ -161,9 +161,8 @@ def bootstrap_mean(df: DataFrame, groups: list[str], value: str, seed, replicate
     combined before the shuffle.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    # the steps of a count serve all its replicates
-    drawn = bind(counts, _steps=poisson_steps(F.col("_n"))).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    weight = poisson_draw(F.col("_steps"), seed, *groups, F.round(F.col("_v") * 1000000).cast("long"), F.col("_rep"))
+    drawn = counts.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    weight = poisson_weight(F.col("_n"), seed, *groups, F.round(F.col("_v") * 1000000).cast("long"), F.col("_rep"))
     drawn = drawn.select(*groups, "_rep", "_v", weight.alias("_w"))
     means = drawn.groupBy(*groups, "_rep").agg(ratio(F.sum(F.col("_w") * F.col("_v")), F.sum("_w"), None).alias("_mean"))
     tail = (1 - level) / 2

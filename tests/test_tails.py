@@ -79,3 +79,16 @@ def test_poisson_weights_are_exact_beyond_every_old_limit(spark):
     assert steps["first"] == 0 and steps["steps"][0] == pytest.approx(math.exp(-17)) and steps["steps"][-1] == pytest.approx(1, abs=1e-13)
     none = spark.range(1).select(metrics.poisson_draw(metrics.poisson_steps(F.lit(0)), 5, F.lit(1)).alias("w")).first()
     assert none["w"] == 0
+
+
+def test_searched_weights_equal_the_steps_one_by_one(spark):
+    """Also of values so frequent that adding up an array for each step would not end."""
+    df = spark.range(300).withColumn("n", F.element_at(F.array(*[F.lit(v).cast("long") for v in (0, 1, 5, 300, 4000)]), (F.col("id") % 5 + 1).cast("int")))
+    both = df.select(metrics.poisson_weight(F.col("n"), 5, F.col("id")).alias("a"),
+                     metrics.poisson_draw(metrics.poisson_steps(F.col("n")), 5, F.col("id")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both)
+    n = 40_000_000
+    few = spark.createDataFrame([(0.1, n, 2 * n), (0.5, n, n), (0.9, 2 * n, n)], "s double, p long, q long")
+    weights = few.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(199)))).select(metrics.poisson_weight(F.col("p"), 1, F.col("s"), F.col("i")).alias("w"), "p")
+    r = weights.agg(F.avg((F.col("w") - F.col("p")) / F.sqrt("p")).alias("m"), F.stddev((F.col("w") - F.col("p")) / F.sqrt("p")).alias("s")).first()
+    assert abs(r["m"]) < 0.2 and abs(r["s"] - 1) < 0.15
