@@ -65,11 +65,17 @@ def surrogate_document(sample: Column, prediction: Column, truth: Column, names:
     )
 
 
-def sink_documents(df: DataFrame, document: str, path: str, partition_by: tuple[str, ...]) -> None:
-    """One document per line of JSON lines, below one folder per partition value."""
-    df.select(*partition_by, F.col(document).alias("value")).write.mode("errorifexists").partitionBy(
-        *partition_by
-    ).text(path)
+def sink_documents(df: DataFrame, document: str | Column, path: str, partition_by: tuple[str, ...], compression: str | None = None) -> None:
+    """One document per line of JSON lines, below one folder per partition value.
+
+    The writer takes rows in the order of the folders. Given as an expression, a document is built after that sort,
+    so that the sort holds the columns it is made of; given as a column, the sort holds the documents.
+    """
+    ordered = df.sortWithinPartitions(*partition_by)
+    writer = ordered.select(*partition_by, (F.col(document) if isinstance(document, str) else document).alias("value")).write.mode("errorifexists")
+    if compression:
+        writer = writer.option("compression", compression)
+    writer.partitionBy(*partition_by).text(path)
 
 
 def document_index(df: DataFrame, keys: tuple[str, ...], document: str, preview: int = 200) -> DataFrame:

@@ -13,7 +13,7 @@ from plumbtrace.operators import (
     attribution, audit, cleaning, ireval, kernels, metrics, ordered, paired, quality, retrieval, scoring, splits, summaries, textoverlap,
 )
 from plumbtrace.plans import training
-from plumbtrace.sources import files
+from plumbtrace.sources import files, sinks
 
 
 @pytest.fixture(scope="module")
@@ -324,3 +324,20 @@ def test_surrogate_rows_sum_to_the_direct_ridge(rows):
         # the number of a sample alone decides its draw
         one, _ = attribution.draw_samples(np.repeat(x, 5000, 0), np.repeat(h, 5000), edges, 5000, np.arange(5000))
         assert (one == values[0]).all()
+
+
+def test_documents_are_sorted_before_they_are_built(spark, tmp_path):
+    """Documents given as an expression reach their folders compressed, and the sort for the writer holds no document."""
+    df = spark.range(200).select(F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("model"), "id")
+    path = str(tmp_path / "documents")
+    sinks.sink_documents(df, F.to_json(F.struct("id", F.repeat(F.lit("x"), 500).alias("long"))), path, ("model",), "snappy")
+    files_ = list((tmp_path / "documents").rglob("part-*"))
+    assert files_ and sum(f.stat().st_size for f in files_) < 200 * 500 / 4
+    got = spark.read.schema("id long, long string, model string").json(path)
+    assert got.where("model = concat('m', id % 3) and length(long) = 500").select("id").distinct().count() == 200
+
+
+def test_relevance_file_of_many_queries(spark, tmp_path):
+    (tmp_path / "a.txt").write_text('{"Q1": ["a", "b"], "Q2": [], "Q3": ["c"]}')
+    got = sorted(map(tuple, files.scan_relevance(spark, str(tmp_path)).collect()), key=str)
+    assert got == [("Q1", "a"), ("Q1", "b"), ("Q2", None), ("Q3", "c")]

@@ -68,20 +68,17 @@ def s04(spark, d):
 NAMES = ("quantity", "price", "discount", "tax")
 
 
-def _attribution_documents(t: Tables) -> DataFrame:
-    """One attribution document per line item of a linear score."""
-    li = t.lineitem
+def _attribution_parts(t: Tables):
+    """Line items with the folder of their document, and the document as an expression."""
+    li = t.lineitem.select(F.substring("l_returnflag", 1, 1).alias("model"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                           "l_discount", "l_tax", "l_linestatus")
     values = [F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount") + F.lit(0.0), F.col("l_tax") + F.lit(0.0)]
     phi = [values[0] * 0.01, values[1] * 0.00001, values[2] * -2.0, values[3] * 3.0]
-    return li.select(
-        F.substring("l_returnflag", 1, 1).alias("model"),
-        sinks.attribution_document(
-            F.col("l_orderkey") * 1000 + F.col("l_linenumber"), F.lit(0.5),
-            F.array(*[F.lit(n) for n in NAMES]), F.array(*values),
-            F.array(*[F.round(p, 8) + F.lit(0.0) for p in phi]),
-            (F.col("l_linestatus") == "F").cast("double"), (F.col("l_quantity") > 25).cast("double"),
-        ).alias("document"),
-    )
+    return li, sinks.attribution_document(
+        F.col("l_orderkey") * 1000 + F.col("l_linenumber"), F.lit(0.5),
+        F.array(*[F.lit(n) for n in NAMES]), F.array(*values),
+        F.array(*[F.round(p, 8) + F.lit(0.0) for p in phi]),
+        (F.col("l_linestatus") == "F").cast("double"), (F.col("l_quantity") > 25).cast("double"))
 
 
 LONG_SQL = """
@@ -110,7 +107,8 @@ SELECT sample_index, prediction, true_label, rank::INTEGER AS rank, feature,
        attribution, feature_value + 0.0 AS feature_value FROM ranked""")
 def s05(spark, d):
     path = scratch.fresh_path(spark, "attributions")
-    sinks.sink_documents(_attribution_documents(Tables(spark, d)), "document", path, ("model",))
+    items, document = _attribution_parts(Tables(spark, d))
+    sinks.sink_documents(items, document, path, ("model",), "snappy")
     rows = files.scan_attribution_documents(spark, path, multiline=False)
     return rows.select("sample_index", "prediction", "true_label", "rank", "feature", "attribution",
                        (F.col("feature_value") + F.lit(0.0)).alias("feature_value"))
@@ -163,10 +161,12 @@ def s08(spark, d):
     hit = (F.col("event_type") == "click") & (F.col("value") > 120)
     q = F.floor(F.col("event_id") / 50)
     lists = ev.groupBy(q.alias("q")).agg(F.collect_list(F.when(hit, F.col("event_id").cast("string"))).alias("chunks"))
-    one = F.to_json(F.create_map(F.concat(F.lit("Q"), F.col("q").cast("string")), F.col("chunks")))
+    # a file holds the lists of 1,000 queries
+    entry = F.struct(F.concat(F.lit("Q"), F.col("q").cast("string")), F.col("chunks"))
+    whole = lists.groupBy(F.floor(F.col("q") / 1000).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
     path = scratch.fresh_path(spark, "qrels")
-    lists.select(F.floor(F.col("q") / 20).alias("part"), F.col("q"), one.alias("value")).write.partitionBy("part", "q").text(path)
-    return files.scan_relevance(spark, path + "/*/*/*.txt")
+    whole.write.partitionBy("part").text(path)
+    return files.scan_relevance(spark, path + "/*/*.txt")
 
 
 @query("s08b_scan_query_set", """
