@@ -341,3 +341,13 @@ def test_relevance_file_of_many_queries(spark, tmp_path):
     (tmp_path / "a.txt").write_text('{"Q1": ["a", "b"], "Q2": [], "Q3": ["c"]}')
     got = sorted(map(tuple, files.scan_relevance(spark, str(tmp_path)).collect()), key=str)
     assert got == [("Q1", "a"), ("Q1", "b"), ("Q2", None), ("Q3", "c")]
+
+
+def test_perturbed_copies_equal_the_expression(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 4.0]), (2, [5.0, None, 1.0]), (2, [0.5, 7.0]), (None, [3.0, 3.0, 9.0]), (4, None)], "k int, x array<double>")
+    got = sorted(map(repr, quality.perturbed_copies(df, ["k"], "x", 42, 4, "draw", "xp").select("k", "draw", F.transform("xp", lambda v: F.round(v, 9)).alias("xp")).collect()))
+    word = counters.row_word(42, "k")
+    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    want = rows.select("k", "draw", F.transform(quality.perturbed(word, F.col("x"), F.col("draw")), lambda v: F.round(v, 9)).alias("xp"))
+    assert got == sorted(map(repr, want.collect())) and len(got) == 20
+    assert "ArrowEvalPython" in quality.perturbed_copies(df, ["k"], "x", 42, 4, "draw", "xp")._jdf.queryExecution().optimizedPlan().toString()
