@@ -84,3 +84,19 @@ def spark_rows(df, operator):
         children = node.children()
         waiting += [children.apply(i) for i in range(children.size())]
     return total
+
+
+@pytest.mark.parametrize("target", [1, "predicted"])
+def test_patterns_solve_the_same_surrogate(target):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12, 4))
+    hashes = rng.integers(-2 ** 63, 2 ** 63, 12)
+    edges = [[-3.0, -0.7, 0.1, 0.8, 3.0 + k] for k in range(4)]
+    model = scoring.LinearScorer([0.5, -0.3, 0.2, 0.4], 0.1, "logistic")
+    altered, z = attribution.draw_altered(x, hashes, edges, 300)
+    plain = attribution.solve_ridge(z, attribution.pick_class(model.batch(altered), target))
+    solver = attribution.PatternSurrogate(edges, 300)
+    for r in range(12):
+        values, pattern = solver.altered(x[r], hashes.astype("uint64")[r])
+        assert (values == altered[r]).all() and (solver.z[pattern] == z[r]).all()
+    assert solver(x, hashes, model.batch, target) == pytest.approx(plain, abs=1e-9)
