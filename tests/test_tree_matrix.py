@@ -100,3 +100,17 @@ def test_patterns_solve_the_same_surrogate(target):
         values, pattern = solver.altered(x[r], hashes.astype("uint64")[r])
         assert (values == altered[r]).all() and (solver.z[pattern] == z[r]).all()
     assert solver(x, hashes, model.batch, target) == pytest.approx(plain, abs=1e-9)
+
+
+def test_faithfulness_moves_whole_arrays(rows):
+    """Rows travel as Arrow lists, never as one Python object each; missing numbers are NaN and unequal rows an error."""
+    e = attribution.LinearExplainer(scoring.LinearScorer([0.05, -0.03, 0.02, 0.04], 0.5), BASE)
+    out = quality.faithfulness(e.explain(rows, ["row_id"], "x", "phi"), ["row_id"], "x", "phi", BASE, e.scorer).collect()
+    assert len(out) == 53 and all(len(r["deletion_curve"]) == 4 and len(r["probability"]) == 2 for r in out)
+    import pyarrow as pa
+
+    two = pa.array([[9.0], [1.0, None], [3.0, 4.0]], pa.list_(pa.float64())).slice(1)
+    assert np.array_equal(quality.arrow_matrix(two), [[1.0, np.nan], [3.0, 4.0]], equal_nan=True)
+    assert quality.arrow_column(np.array([1.0, np.nan])).to_pylist() == [1.0, None]
+    with pytest.raises(ValueError):
+        quality.arrow_matrix(pa.array([[1.0], [1.0, 2.0]]))
