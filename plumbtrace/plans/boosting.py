@@ -1,11 +1,12 @@
 """Gradient-boosted trees over shared histograms: one logistic tree a round for two classes, K soft-max trees for more.
 
 Features become bins at quantiles of all training rows. Rows are packed into blocks (bins, label, weight,
-hash of the key, margins) and stored. A pass routes every row through the trees of the running round and adds up,
-for all classes at once, gradients and curvatures by (class, node, feature, bin); tasks hand on one array for
-each (class, node, feature), which are added per slot. The driver sees the sums of one level only,
+hash of the key, margins) and stored. The first pass of a round moves the margins by the trees of the round before and
+keeps them, with gradients and curvatures, in Spark's cache. A pass routes every row through the trees of the running
+round and adds up, for all classes at once, gradients and curvatures by (class, node, feature, bin); the tasks' arrays
+are added where there are few tasks by the driver, otherwise per slot by a shuffle. The driver sees the sums of one level only,
 picks the splits, and knows the values of the children from the same sums, so that a round of depth D takes D passes.
-Margins are stored every `STORE_EVERY` rounds; in between, passes apply the few trees that came since.
+Margins are stored every `STORE_EVERY` rounds, which ends the chain of cached tables.
 
 Gradients are whole multiples of 2 ** -20, so sums don't depend on the order of rows or on partitions. Rows and
 columns of a round are drawn by hashes of the row's key, the round and the class.
@@ -59,11 +60,14 @@ class Trees:
 
     def nodes(self, bins: np.ndarray, k: int, levels: int | None = None) -> np.ndarray:
         """The node of tree k that each row reaches."""
-        at, rows = np.zeros(len(bins), "int64"), np.arange(len(bins))
+        flat, row = np.ascontiguousarray(bins).reshape(-1), np.arange(len(bins)) * bins.shape[1]
+        inner = self.feature[k] >= 0
+        feature = np.maximum(self.feature[k], 0).astype("int64")
+        # no bin is above a leaf's, so rows stay there
+        bound, to = np.where(inner, self.bin[k], 255).astype("uint8"), np.where(inner, 2 * np.arange(len(inner)) + 1, np.arange(len(inner)))
+        at = np.zeros(len(bins), "int64")
         for _ in range(self.depth if levels is None else levels):
-            f = self.feature[k, at]
-            right = bins[rows, np.maximum(f, 0)] > self.bin[k, at]
-            at = np.where(f >= 0, 2 * at + 1 + right, at)
+            at = to[at] + (flat[row + feature[at]] > bound[at])
         return at
 
 
@@ -140,22 +144,40 @@ def best_split(g: np.ndarray, h: np.ndarray, columns: np.ndarray, penalty: float
     return float(gain[f, b]), int(f), int(b), float(left_g[f, b]), float(left_h[f, b])
 
 
-def _unpack(row: dict, d: int, margins: int):
-    bins = np.frombuffer(row["bins"], "uint8").reshape(-1, d)
-    label, weight, key = np.frombuffer(row["label"], "int32"), np.frombuffer(row["weight"], "float64"), np.frombuffer(row["key"], "uint64")
-    return bins, label, weight, key, np.frombuffer(row["margin"], "float64").reshape(-1, margins)
+BLOCK_SCHEMA = "bins binary, label binary, weight binary, key binary, margin binary"
+#: What passes of one round share: masked gradients and curvatures, loss and weight of the block.
+ROUND_SCHEMA = f"{BLOCK_SCHEMA}, g binary, h binary, loss double, total double"
+#: Up to so many tasks, the driver adds the sums of a level itself.
+TASKS_TO_DRIVER = 64
 
 
-def _moved(margin: np.ndarray, bins: np.ndarray, pending: list[Trees]) -> np.ndarray:
-    if pending:
-        margin = margin.copy()
-    for trees in pending:
-        for k in range(margin.shape[1]):
-            margin[:, k] += trees.value[k, trees.nodes(bins, k)]
-    return margin
+def _column(batch: pa.RecordBatch, name: str, place: int, kind: str) -> np.ndarray:
+    """The numbers that a block keeps under a name."""
+    return np.frombuffer(batch.column(name)[place].as_buffer(), kind)
 
 
-BLOCK_SCHEMA = "bins binary, label binary, weight binary, key binary, margin binary"
+def _begun(blocks: DataFrame, last: Trees | None, d: int, margins: int, number: int, row_share: float) -> DataFrame:
+    """Blocks with margins moved by the trees of the round before, and what the passes of round `number` share."""
+    def begin(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            for i in range(f.num_rows):
+                bins, label, weight, key, margin = (
+                    _column(f, n, i, t) for n, t in (("bins", "uint8"), ("label", "int32"), ("weight", "float64"), ("key", "uint64"), ("margin", "float64")))
+                bins, margin = bins.reshape(-1, d), margin.reshape(-1, margins)
+                if last is not None:
+                    margin = margin.copy()
+                    for k in range(margins):
+                        margin[:, k] += last.value[k, last.nodes(bins, k)]
+                g, h, loss = gradients(margin, label, weight)
+                out = ~drawn(key, number, row_share)
+                g[out], h[out] = 0.0, 0.0
+                kept = {n: [f.column(n)[i].as_py()] for n in ("bins", "label", "weight", "key")}
+                yield pa.RecordBatch.from_pydict({
+                    **kept, "margin": [margin.tobytes()], "g": [g.T.tobytes()], "h": [h.T.tobytes()], "loss": [loss], "total": [float(weight.sum())]},
+                    schema=shape)
+
+    shape = pa.schema([(n, pa.binary()) for n in ("bins", "label", "weight", "key", "margin", "g", "h")] + [("loss", pa.float64()), ("total", pa.float64())])
+    return blocks.select("bins", "label", "weight", "key", "margin").mapInArrow(begin, ROUND_SCHEMA)
 
 
 def _packed(df: DataFrame, features: str, label: str, weight: str | None, keys: list[str], model: BoostedModel) -> DataFrame:
@@ -173,7 +195,7 @@ def _packed(df: DataFrame, features: str, label: str, weight: str | None, keys:
     return materialise(rows.mapInPandas(pack, BLOCK_SCHEMA), "boosting_rows")
 
 
-def _level_sums(blocks: DataFrame, pending: list[Trees], trees: Trees, level: int, d: int, bins_: int, round_: int, row_share: float):
+def _level_sums(begun: DataFrame, tasks: int, trees: Trees, level: int, d: int, bins_: int):
     """Sums over the level's nodes: {(class, node): (g, h)} of features x bins, the loss and the total weight."""
     margins, first, width = len(trees.feature), 2 ** level - 1, 2 ** level
     # nodes that may split: the root, and children of nodes that did
@@ -181,28 +203,31 @@ def _level_sums(blocks: DataFrame, pending: list[Trees], trees: Trees, level: in
     slots = margins * width * d
 
     def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((slots, 2 * bins_))
+        total = np.zeros((margins, width, d, 2 * bins_))
         extra = np.zeros(2 * bins_)
         for f in frames:
-            for row in f.to_pylist():
-                bins, label, weight, key, margin = _unpack(row, d, margins)
-                g, h, loss = gradients(_moved(margin, bins, pending), label, weight)
-                extra[:2] += loss, weight.sum()
-                use = drawn(key, round_, row_share)
+            for i in range(f.num_rows):
+                bins = _column(f, "bins", i, "uint8").reshape(-1, d)
+                g, h = (_column(f, n, i, "float64").reshape(margins, -1) for n in "gh")
+                extra[:2] += f.column("loss")[i].as_py(), f.column("total")[i].as_py()
                 for k in range(margins):
                     node = trees.nodes(bins, k, level) - first
-                    ok = np.flatnonzero(use & (node >= 0))
-                    ok = ok[live[k, node[ok]]]
+                    # rows that weren't drawn add nothing; a sure and wrong margin has a gradient without curvature
+                    ok = np.flatnonzero(((g[k] != 0) | (h[k] != 0)) & (node >= 0))
+                    if level:
+                        ok = ok[live[k, node[ok]]]
                     if not len(ok):
                         continue
-                    base, gk, hk = node[ok] * bins_, g[ok, k], h[ok, k]
+                    base, gk, hk, used = node[ok] * bins_, g[k, ok], h[k, ok], bins[ok]
                     for c in range(d):
-                        at = base + bins[ok, c]
-                        place = (k * width + np.arange(width)) * d + c
-                        total[place, :bins_] += np.bincount(at, gk, width * bins_).reshape(width, bins_)
-                        total[place, bins_:] += np.bincount(at, hk, width * bins_).reshape(width, bins_)
+                        at = base + used[:, c]
+                        total[k, :, c, :bins_] += np.bincount(at, gk, width * bins_).reshape(width, bins_)
+                        total[k, :, c, bins_:] += np.bincount(at, hk, width * bins_).reshape(width, bins_)
+        total = total.reshape(slots, 2 * bins_)
         used = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(np.append(used, -1).astype("int32")), "v": pa.array(list(np.vstack([total[used], extra])))})
+        values = np.vstack([total[used], extra])
+        offsets = np.arange(len(values) + 1, dtype="int32") * np.int32(2 * bins_)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(np.append(used, -1).astype("int32")), "v": pa.ListArray.from_arrays(offsets, values.reshape(-1))})
 
     def merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -214,16 +239,20 @@ def _level_sums(blocks: DataFrame, pending: list[Trees], trees: Trees, level: in
             yield pa.RecordBatch.from_pydict({"slot": pa.array(list(sums), pa.int32()), "v": pa.array(list(sums.values()))})
 
     schema = "slot int, v array<double>"
-    added = blocks.mapInArrow(add, schema).repartition(max(1, -(-slots // 256)), "slot").mapInArrow(merge, schema).collect()
-    out, extra = {}, (0.0, 0.0)
-    for slot, v in added:
-        if slot < 0:
-            extra = v[0], v[1]
-            continue
+    added = begun.select("bins", "g", "h", "loss", "total").mapInArrow(add, schema)
+    if tasks > TASKS_TO_DRIVER:
+        added = added.repartition(max(1, -(-slots // 256)), "slot").mapInArrow(merge, schema)
+    table = added.toArrow()
+    sums = np.zeros((slots + 1, 2 * bins_))
+    for part in table.to_batches():
+        # -1, loss and weight, is the last row
+        np.add.at(sums, part.column("slot").to_numpy(), part.column("v").flatten().to_numpy().reshape(-1, 2 * bins_))
+    out = {}
+    for slot in np.flatnonzero(sums[:-1].any(1)).tolist():
         k, node, c = slot // (width * d), slot // d % width, slot % d
         g, h = out.setdefault((k, first + node), (np.zeros((d, bins_)), np.zeros((d, bins_))))
-        g[c], h[c] = np.array(v[:bins_]) / UNIT, np.array(v[bins_:]) / UNIT
-    return out, extra
+        g[c], h[c] = sums[slot, :bins_] / UNIT, sums[slot, bins_:] / UNIT
+    return out, (sums[-1, 0], sums[-1, 1])
 
 
 def bin_edges(df: DataFrame, features: str, size: int, bins: int) -> list[np.ndarray]:
@@ -244,17 +273,21 @@ def fit_boosted(df: DataFrame, features: str, size: int, label: str, classes: in
     curvature sum, and children need a curvature of `least`. `losses` holds the mean weighted log loss before each round.
     """
     model = BoostedModel(bin_edges(df, features, size, bins), classes)
-    # cached for the passes of the next rounds; what an executor loses is read again from the stored table
-    blocks, pending = _packed(df, features, label, weight, keys, model).persist(), []
+    # a round's table is cached; what an executor loses is made again from the table stored last
+    blocks, last, before = _packed(df, features, label, weight, keys, model), None, None
+    tasks = blocks.rdd.getNumPartitions()
     columns_of = np.arange(size, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
     for r in range(rounds):
         trees = Trees.empty(model.margins, depth)
         number = seed * 1_000_003 + r
         columns = [drawn(columns_of + np.uint64(k + 1), number, column_share) for k in range(model.margins)]
         columns = [c if c.any() else np.ones(size, bool) for c in columns]
+        begun = _begun(blocks, last, size, model.margins, number, row_share).persist()
         for level in range(depth):
-            sums, (loss, total) = _level_sums(blocks, pending, trees, level, size, bins, number, row_share)
+            sums, (loss, total) = _level_sums(begun, tasks, trees, level, size, bins)
             if level == 0:
+                if before is not None:
+                    before.unpersist()
                 model.losses.append(loss / max(total, 1e-300))
             split = False
             for (k, node), (g, h) in sums.items():
@@ -271,22 +304,10 @@ def fit_boosted(df: DataFrame, features: str, size: int, label: str, classes: in
             if not split:
                 break
         model.rounds.append(trees)
-        pending.append(trees)
-        if len(pending) == STORE_EVERY and r + 1 < rounds:
-            before = blocks
-            blocks, pending = _stored_margins(before, pending, size, model.margins).persist(), []
-            before.unpersist()
-    blocks.unpersist()
+        blocks, last, before = begun, trees, begun
+        if (r + 1) % STORE_EVERY == 0 and r + 1 < rounds:
+            blocks = materialise(begun.select("bins", "label", "weight", "key", "margin"), "boosting_rows")
+            tasks = blocks.rdd.getNumPartitions()
+    if before is not None:
+        before.unpersist()
     return model
-
-
-def _stored_margins(blocks: DataFrame, pending: list[Trees], d: int, margins: int) -> DataFrame:
-    def move(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for row in f.to_dict("records"):
-                bins, _, _, _, margin = _unpack(row, d, margins)
-                out.append(_moved(margin, bins, pending).tobytes())
-            yield f.assign(margin=out)
-
-    return materialise(blocks.mapInPandas(move, BLOCK_SCHEMA), "boosting_rows")

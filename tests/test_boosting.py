@@ -87,3 +87,27 @@ def test_missing_and_constant_features(spark):
     model = boosting.fit_boosted(spark.createDataFrame(rows, "id long, x array<double>, y int"), "x", 2, "y", 2, ["id"], rounds=4, depth=2, row_share=1.0, column_share=1.0, bins=4)
     p = model.batch(np.array([[np.nan, 5.0], [1.0, 5.0]]))
     assert p[0, 1] > 0.5 > p[1, 1]
+
+
+def test_a_round_computes_its_gradients_once(spark, data):
+    x, y, w = data
+    model = boosting.BoostedModel(boosting.bin_edges(frame(spark, data, 2), "x", 4, 8), 3)
+    blocks = boosting._packed(frame(spark, data, 2), "x", "y", "w", ["id"], model)
+    last = boosting.Trees.empty(3, 2)
+    last.value[1, 0] = 30.0
+    row = boosting._begun(blocks, last, 4, 3, 5, 0.5).collect()
+    g = np.concatenate([np.frombuffer(r["g"], "float64").reshape(3, -1) for r in row], axis=1)
+    margin = np.concatenate([np.frombuffer(r["margin"], "float64").reshape(-1, 3) for r in row])
+    label, weight = (np.concatenate([np.frombuffer(r[n], t) for r in row]) for n, t in (("label", "int32"), ("weight", "float64")))
+    use = np.concatenate([boosting.drawn(np.frombuffer(r["key"], "uint64"), 5, 0.5) for r in row])
+    assert (margin == [0.0, 30.0, 0.0]).all() and 200 < use.sum() < 400
+    expected = boosting.gradients(margin, label, weight)[0]
+    assert (g.T == expected * use[:, None]).all()
+    # a sure and wrong margin: gradients without curvature count
+    begun = boosting._begun(blocks, last, 4, 3, 5, 0.5)
+    trees = boosting.Trees.empty(3, 2)
+    sums = [boosting._level_sums(begun, tasks, trees, 0, 4, 8) for tasks in (1, 1000)]
+    assert sums[0][0][0, 0][0][0].sum() * boosting.UNIT == (expected * use[:, None])[:, 0].sum()
+    assert sums[0][1] == pytest.approx(sums[1][1])
+    for key, (a, b) in sums[0][0].items():
+        assert (a == sums[1][0][key][0]).all() and (b == sums[1][0][key][1]).all()
