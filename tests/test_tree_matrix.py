@@ -112,5 +112,6 @@ def test_faithfulness_moves_whole_arrays(rows):
     two = pa.array([[9.0], [1.0, None], [3.0, 4.0]], pa.list_(pa.float64())).slice(1)
     assert np.array_equal(quality.arrow_matrix(two), [[1.0, np.nan], [3.0, 4.0]], equal_nan=True)
     assert quality.arrow_column(np.array([1.0, np.nan])).to_pylist() == [1.0, None]
+    assert quality.arrow_column(np.array([[1.0, np.nan]])).to_pylist() == [[1.0, None]]
     with pytest.raises(ValueError):
         quality.arrow_matrix(pa.array([[1.0], [1.0, 2.0]]))
