@@ -34,7 +34,7 @@ END_ID = 0
 FRAME_BYTES = 1 << 18
 #: Input bytes that one file holds about.
 FILE_BYTES = 64 << 20
-#: Distinct pieces of text whose ids a worker keeps.
+#: Distinct pieces of text whose ids a worker keeps, half of them from before the last turn.
 CACHE_PIECES = 800_000
 
 #: Fixed values of the public seekable format.
@@ -69,10 +69,19 @@ class _Pieces(dict):
 
     def __init__(self, tokenizer, lead: str, stops: dict[str, bytes]):
         super().__init__()
+        #: What was known before the last turn; pieces that come again move over.
+        self.older: dict[str, bytes] = {}
         self.tokenizer, self.model, self.lead, self.stops = tokenizer, tokenizer.model, lead, stops
 
+    def turn(self) -> None:
+        """Forget what hasn't come since the last turn."""
+        self.older = dict(self)
+        self.clear()
+
     def __missing__(self, piece: str) -> bytes:
-        if piece[-1:] in self.stops and piece[-2:-1].isalpha():
+        if piece in self.older:
+            ids = self.older.pop(piece)
+        elif piece[-1:] in self.stops and piece[-2:-1].isalpha():
             ids = self[piece[:-1]] + self.stops[piece[-1]]
         elif piece.isalpha():
             # letters alone are one word of the pattern, so the vocabulary's merges can be asked directly
@@ -108,8 +117,8 @@ class PieceEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         for known in (self.first, self.later):
-            if len(known) > self.cache:
-                known.clear()
+            if len(known) > self.cache // 2:
+                known.turn()
         out = []
         get = self.later.__getitem__
         for text in texts:
