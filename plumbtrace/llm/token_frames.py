@@ -15,8 +15,10 @@ A task that is run again writes a new file; only files named in the manifest cou
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
@@ -52,7 +55,10 @@ def _tokenizer(path: str):
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+    made = PieceEncoder(path)
+    # the known pieces hold no cycles; otherwise the collector walks all of them again and again
+    gc.freeze()
+    return made
 
 
 def _byte_letters() -> dict[int, str]:
@@ -66,12 +72,17 @@ class _Pieces(dict):
     """Piece -> ids as bytes; a piece that isn't known yet is encoded by the library and kept."""
 
     _LETTERS = _byte_letters()
+    #: A line end beside white space or an end of the piece: the cut there isn't safe.
+    _ODD_LINE = re.compile(r"(?:^|\s)\n|\n(?:\s|\Z)")
 
-    def __init__(self, tokenizer, lead: str, stops: dict[str, bytes]):
+    def __init__(self, tokenizer, lead: str, first: _Pieces | None = None):
         super().__init__()
+        #: Where pieces without a lead are known, and the letters that stand for this lead.
+        self.first, self.mark = self if first is None else first, "".join(map(self._LETTERS.__getitem__, lead.encode("utf-8")))
         #: What was known before the last turn; pieces that come again move over.
         self.older: dict[str, bytes] = {}
-        self.tokenizer, self.model, self.lead, self.stops = tokenizer, tokenizer.model, lead, stops
+        self.tokenizer, self.model, self.lead = tokenizer, tokenizer.model, lead
+        self.line_end = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
 
     def turn(self) -> None:
         """Forget what hasn't come since the last turn."""
@@ -79,18 +90,23 @@ class _Pieces(dict):
         self.clear()
 
     def __missing__(self, piece: str) -> bytes:
-        if piece in self.older:
-            ids = self.older.pop(piece)
-        elif piece[-1:] in self.stops and piece[-2:-1].isalpha():
-            ids = self[piece[:-1]] + self.stops[piece[-1]]
-        elif piece.isalpha():
-            # letters alone are one word of the pattern, so the vocabulary's merges can be asked directly
-            whole = (self.lead + piece).encode("utf-8")
-            found = self.model.tokenize("".join(map(self._LETTERS.__getitem__, whole)))
-            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-        else:
-            found = self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}I", *found)
+        ids = self.older.pop(piece, None)
+        if ids is None:
+            if "\n" in piece and not self._ODD_LINE.search(piece):
+                # lines are known by their own; two words that a line end joins seldom come again, so they aren't kept
+                head, *lines = piece.split("\n")
+                return self.line_end.join([self[head], *map(self.first.__getitem__, lines)])
+            word = piece if piece.isalpha() else piece.rstrip(string.punctuation)
+            if not word.isalpha():
+                found = self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids
+                ids = struct.pack(f"<{len(found)}I", *found)
+            elif len(word) < len(piece):
+                ids = self[word] + self.first[piece[len(word):]]
+            else:
+                # letters alone are one word of the pattern, so the vocabulary's merges can be asked directly
+                letters = piece if piece.isascii() else "".join(map(self._LETTERS.__getitem__, piece.encode("utf-8")))
+                found = self.model.tokenize(self.mark + letters)
+                ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         self[piece] = ids
         return ids
 
@@ -99,20 +115,19 @@ class PieceEncoder:
     """Encodes whole texts with a byte-level BPE file, piece by piece.
 
     The vocabulary's word pattern never joins a blank with what stands before it, so a text may be cut
-    before each space that follows a character other than white space. A comma or stop after a letter is a
-    word of its own too. Pieces repeat, so the library encodes each of them once for as long as it is kept.
+    before each space that follows a character other than white space. Marks after a letter, up to the end of a piece,
+    are a word of their own too, and so is a line end between two characters other than white space. Pieces repeat,
+    so the library encodes each of them once for as long as it is kept.
     """
 
     #: White space before a space: the cut there isn't safe.
-    _ODD = re.compile(r"\s ")
+    _ODD = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 
     def __init__(self, path: str, cache: int = CACHE_PIECES):
         self.tokenizer, self.cache = _tokenizer(path), cache
-        stops: dict[str, bytes] = {}
-        plain = _Pieces(self.tokenizer, "", stops)
-        stops.update({c: plain[c] for c in ",."})
         #: Pieces as they stand, and pieces after a space.
-        self.first, self.later = _Pieces(self.tokenizer, "", stops), _Pieces(self.tokenizer, " ", stops)
+        self.first = _Pieces(self.tokenizer, "")
+        self.later = _Pieces(self.tokenizer, " ", self.first)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -122,7 +137,7 @@ class PieceEncoder:
         out = []
         get = self.later.__getitem__
         for text in texts:
-            if self._ODD.search(text):
+            if any(map(text.__contains__, self._ODD)):
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
                 head, *rest = text.split(" ")
@@ -235,30 +250,30 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, text: str = "text
     ranged = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     ranged = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, encode, writer, out, path, shard, n = struct.pack("<I", END_ID), None, None, None, "", -1, 0
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
             if writer is None:
-                encode, shard = _encoder(tokenizer), int(batch["shard"].iloc[0])
+                encode, shard = _encoder(tokenizer), batch.column("shard")[0].as_py()
                 path = f"{folder}/tokens-{shard:06d}-{uuid.uuid4().hex}.zst"
                 files_of, inner = _filesystem(path)
                 files_of.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 out = files_of.open_output_stream(inner, compression=None)
                 writer = FrameWriter(out)
-            texts = batch["text"].tolist()
-            ids = [None if x is pd.NA or x != x or x is None else int(x) for x in batch["doc_id"].astype(object)]
-            for k in range(0, len(texts), 256):
-                for doc_id, coded in zip(ids[k:k + 256], encode(texts[k:k + 256])):
+            for k in range(0, batch.num_rows, 256):
+                # of a batch's texts, few at a time are Python's
+                part = batch.slice(k, 256)
+                for doc_id, coded in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
                     writer.add(doc_id, coded + end)
                     n += 1
         if writer is not None:
             tokens = writer.close()
             out.close()
-            yield pd.DataFrame({"shard": [shard], "path": [path], "n_docs": [n], "n_tokens": [tokens]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [n], "n_tokens": [tokens]})
 
-    return materialise(ranged.mapInPandas(write, "shard int, path string, n_docs long, n_tokens long"), "token_manifest")
+    return materialise(ranged.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "token_manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
