@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbtrace.sources.scratch import materialise
@@ -164,21 +165,23 @@ def predict_language(text: Column, model: ByteNet | None, spark) -> Column:
     """Struct (lang_pred, score). `und` with score 0 for null texts, texts without a letter, or without a model."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = shared.value
         for texts in batches:
             names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             for start in range(0, len(texts), 128):
-                known = [k for k, t in enumerate(texts[start:start + 128], start) if t and net is not None and any(map(str.isalpha, t))]
+                # of a batch's texts, few at a time are Python's
+                part = texts.slice(start, 128).to_pylist()
+                known = [k for k, t in enumerate(part) if t and net is not None and any(map(str.isalpha, t))]
                 if not known:
                     continue
-                cut = [_bytes(texts.iloc[k]) for k in known]
+                cut = [_bytes(part[k]) for k in known]
                 for k, data, log_p in zip(known, cut, _mean_log_probabilities(net, cut)):
                     p = np.exp(log_p - log_p.max())
                     best = int(p.argmax())
-                    names[k], scores[k] = net.languages[best], float(p[best] / p.sum())
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+                    names[start + k], scores[start + k] = net.languages[best], float(p[best] / p.sum())
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return predict(text)
 

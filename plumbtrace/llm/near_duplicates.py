@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,6 +41,8 @@ LONG, STEP = 480, 96
 SMALL, BLOCK = 16, 1024
 #: Candidate nodes (24 bytes each) whose keys are broadcast to fetch texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
+#: Words whose hashes a task keeps.
+KNOWN_WORDS = 200_000
 _CHUNK = 1 << 17
 
 _RNG = np.random.default_rng(1009)
@@ -67,7 +70,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         for w in set(words):
             if w not in known:
@@ -157,13 +160,14 @@ def _cards(values) -> np.ndarray:
 def shingled(docs: DataFrame) -> DataFrame:
     """(doc_id, h, n_shingles, node, bands, card) of every row of docs (doc_id, text), stored."""
 
-    @F.pandas_udf("n_shingles long, node binary, bands array<long>, card binary")
-    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_shingles long, node binary, bands array<long>, card binary")
+    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler = Shingler()
         for texts in batches:
             rows = []
             for start in range(0, len(texts), 512):
-                sets = [shingler(t) for t in texts.iloc[start:start + 512]]
+                # of a batch's texts, few at a time are Python's
+                sets = [shingler(t) for t in texts.slice(start, 512).to_pylist()]
                 full = [s for s in sets if len(s)]
                 sig = signatures(full) if full else np.zeros((0, HASHES), np.uint32)
                 wide = sig.astype(np.uint64).reshape(-1, BANDS, ROWS)
@@ -177,7 +181,8 @@ def shingled(docs: DataFrame) -> DataFrame:
                         continue
                     rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), keys[k], np.uint32(len(s)).tobytes() + low[k].tobytes()))
                     k += 1
-            yield pd.DataFrame(rows, columns=["n_shingles", "node", "bands", "card"])
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()))]
+            yield pa.StructArray.from_arrays(columns, ["n_shingles", "node", "bands", "card"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), compute("text").alias("s"))
     return materialise(rows.select("doc_id", "h", "s.*"), "near_sets")
@@ -238,7 +243,7 @@ def _members(candidates: DataFrame, *more: str) -> DataFrame:
     return candidates.select("node", "card", *more, F.explode("keys").alias("key"))
 
 
-def _star_pairs(members: DataFrame) -> DataFrame:
+def _star_pairs(candidates: DataFrame) -> DataFrame:
     """Plausible pairs of a bucket's members with its smallest node."""
 
     @F.pandas_udf("boolean")
@@ -248,9 +253,13 @@ def _star_pairs(members: DataFrame) -> DataFrame:
             out[plausible(_cards(a), _cards(b))] = True
         return pd.Series(out)
 
-    first = members.groupBy("key").agg(F.min(F.struct("node", "card")).alias("first"))
-    pairs = members.join(first, "key").where("node <> first.node").where(likely("card", "first.card"))
-    return pairs.select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
+    # nodes alone are dealt by bucket; cards, six times as long, come to the pairs that are left of all buckets together
+    nodes = candidates.select("node", F.explode("keys").alias("key"))
+    first = nodes.groupBy("key").agg(F.min("node").alias("first"))
+    pairs = nodes.join(first, "key").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(candidates.select(F.col("node").alias(side), F.col("card").alias(f"card_{side}")), side)
+    return pairs.where(likely("card_a", "card_b")).select("a", "b")
 
 
 def _mixed_buckets(candidates: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -408,7 +417,7 @@ def _with_roots(docs: DataFrame) -> DataFrame:
     candidates = materialise(nodes.join(asked, "node").select("node", "pick", "card", "keys"), "near_candidates")
     texts = _texts(docs, candidates)
 
-    stars = materialise(_star_pairs(_members(candidates)), "near_pairs")
+    stars = materialise(_star_pairs(candidates), "near_pairs")
     found = materialise(_verified(stars, texts), "near_links")
     labels = None if found.isEmpty() else connected(found)
     rest = materialise(_mixed_buckets(candidates, labels), "near_rest_members")
