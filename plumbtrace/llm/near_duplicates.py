@@ -8,10 +8,12 @@
    batches; it is dropped as soon as the posterior chance of a similarity at the bar falls under `miss`.
    What survives is verified on the full sets, and verified links merge components.
 4. Rest: in buckets that still hold several components, all pairs of different components are compared in
-   the same sequential way: of small buckets as rows, of larger ones where blocks of cards meet. Of each two
+   the same sequential way: of small buckets as rows, of larger ones where blocks of members meet. Of each two
    components that meet, the pair that agrees most is verified first; once those links have merged components, all
-   plausible pairs of components that are still different are verified. Pairs in one component need no check, since
-   they can't change the result. So no link is lost but by the chances of the bands and of `miss`; nothing is capped.
+   plausible pairs of components that are still different are verified. Blocks bring their members' full sets along and
+   verify their pairs themselves, so only links that join components become rows: how many pairs lie just under the bar
+   grows with the square of a group's size. Pairs in one component need no check, since they can't change the result.
+   So no link is lost but by the chances of the bands and of `miss`; nothing is capped.
 
 Links, components and labels stay distributed; each step is a written table.
 """
@@ -37,8 +39,8 @@ BATCH = 16
 MISS = 1e-4
 #: Members of larger buckets are compared on so many hashes, checked after each further STEP.
 LONG, STEP = 480, 96
-#: Buckets of more members are compared by blocks of BLOCK.
-SMALL, BLOCK = 16, 1024
+#: Buckets of more members are compared by blocks of BLOCK, or of fewer whose sets have about BLOCK_BYTES together.
+SMALL, BLOCK, BLOCK_BYTES = 16, 1024, 8 << 20
 #: Candidate nodes (24 bytes each) whose keys are broadcast to fetch texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 #: Words whose hashes a task keeps.
@@ -294,31 +296,33 @@ def _small_pairs(told: DataFrame) -> DataFrame:
 
 
 def _blocks(told: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of larger buckets as (node, card, block), and which blocks meet (x, y); both stored.
+    """Members of larger buckets as (node, card, hashes, block), and which blocks meet (x, y); members and meetings are stored.
 
     Their cards hold LONG hashes: the posterior of a pair just under the bar falls with the number compared, and here
-    a member meets many.
+    a member meets many. `hashes` is a member's full set.
 
     Each member has one block, by the first of its buckets, whatever other buckets it is in; two blocks meet once,
-    however many buckets they share. A block has about BLOCK members.
+    however many buckets they share. A block has about BLOCK members, or BLOCK_BYTES of sets.
     """
 
-    @F.pandas_udf("binary")
-    def long_card(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("card binary, hashes binary")
+    def card_and_set(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for b in batches:
             out = []
             for start in range(0, len(b), 512):
                 sets = [shingler(t) for t in b.iloc[start:start + 512]]
-                out += [np.uint32(len(s)).tobytes() + low.tobytes() for s, low in zip(sets, signature_bytes(signatures(sets, LONG)))]
-            yield pd.Series(out, dtype=object)
+                cards = (np.uint32(len(s)).tobytes() + low.tobytes() for s, low in zip(sets, signature_bytes(signatures(sets, LONG))))
+                out += [(card, s.tobytes()) for card, s in zip(cards, sets)]
+            yield pd.DataFrame(out, columns=["card", "hashes"], dtype=object)
 
-    homes = told.groupBy("node").agg(F.min("key").alias("home"))
-    sizes = homes.groupBy("home").agg(F.count("*").alias("n"))
-    homes = homes.join(sizes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))))
-    homes = homes.select("node", "block").join(texts, "node")
+    homes = told.groupBy("node").agg(F.min("key").alias("home")).join(texts, "node")
     # texts are spread over all tasks again before they are hashed
-    homes = materialise(homes.repartition("node").select("node", long_card("text").alias("card"), "block"), "near_blocks")
+    homes = homes.repartition("node").select("node", "home", card_and_set("text").alias("s"))
+    homes = materialise(homes.select("node", "home", "s.*", F.octet_length("s.hashes").alias("bytes")), "near_blocks")
+    sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("n"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), "n")).alias("block")
+    homes = homes.join(sizes, "home").select("node", "card", "hashes", block)
     roots = told.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"))
     placed = told.select("key", "node", "root").join(homes.select("node", "block"), "node").join(roots, "key")
     placed = placed.groupBy("key", "block").agg(F.max(F.col("root") != F.col("most.root")).alias("minor"))
@@ -326,14 +330,24 @@ def _blocks(told: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return homes, materialise(meets.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "near_meetings")
 
 
-def _meeting_pairs(left: np.ndarray, right: np.ndarray | None, best: bool) -> list[tuple[bytes, bytes]]:
+def _meeting_pairs(left: np.ndarray, right: np.ndarray | None, best: bool, sets: list[np.ndarray] | None = None) -> list[tuple[bytes, bytes]]:
     """Plausible pairs of different components between two blocks, or inside one (right is None).
 
     Members are rows of node, root and card. With `best`, only the pair of each two components whose signatures agree most.
+    With `sets` (of the members of left, then right), only pairs that link on them and join what no pair before has joined.
     """
     u = left if right is None else np.concatenate([left, right])
     component = np.unique(np.ascontiguousarray(u[:, 16:32]).view("V16")[:, 0], return_inverse=True)[1]
     cards, out, top = u[:, 32:], [], {}
+
+    def counts(i: int, j: int) -> bool:
+        if sets is None:
+            return True
+        if component[i] == component[j] or not linked(sets[i], sets[j]):
+            return False
+        component[component == component[j]] = component[i]
+        return True
+
     here, there = np.arange(len(left)), np.arange(len(left), len(u))
     if right is not None and len(there) < len(here):  # one batch of comparisons for each of the fewer
         here, there = there, here
@@ -351,41 +365,40 @@ def _meeting_pairs(left: np.ndarray, right: np.ndarray | None, best: bool) -> li
                 if two not in top or agree[k] > top[two][0]:
                     top[two] = (agree[k], i, js[k])
         else:
-            out.extend((i, j) for j in js)
+            out.extend((i, j) for j in js if counts(i, j))
     if best:
-        out = [t[1:] for t in top.values()]
+        out = [(i, j) for _, i, j in sorted(top.values(), key=lambda t: -t[0]) if counts(i, j)]
     return [tuple(sorted((u[i, :16].tobytes(), u[j, :16].tobytes()))) for i, j in out]
 
 
-def _block_pairs(homes: DataFrame, meets: DataFrame, labels: DataFrame | None, best: bool) -> DataFrame:
-    """Plausible pairs of different components, found where blocks meet.
+def _block_links(homes: DataFrame, meets: DataFrame, labels: DataFrame | None, best: bool) -> DataFrame:
+    """Links (a, b) of different components, found and verified where blocks meet: at most one fewer than a meeting's members.
 
-    A block travels as one row of cards, so a meeting reads 2 x BLOCK x 516 bytes whatever the length of the texts;
-    full sets are fetched for the pairs that come out alone.
+    A block travels as one row, so a meeting reads 2 x (BLOCK x 516 bytes + BLOCK_BYTES) at most, however many of its
+    pairs are plausible.
     """
     told = homes if labels is None else homes.join(labels, "node", "left")
     root = F.col("node") if labels is None else F.coalesce("root", "node")
-    told = told.select("block", "node", root.alias("root"), "card")
+    told = told.select("block", "node", root.alias("root"), "card", "hashes")
     packed = materialise(
         told.groupBy("block").agg(
-            F.collect_list(F.concat("node", "root", "card")).alias("items"), F.min("root").alias("low"), F.max("root").alias("high")
+            F.collect_list(F.concat("node", "root", "card", "hashes")).alias("items"), F.min("root").alias("low"), F.max("root").alias("high")
         ), "near_packed_blocks",
     )
     ends = packed.select("block", "low", "high")
     for side in "xy":
         meets = meets.join(ends.select(F.col("block").alias(side), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}")), side)
-    meets = meets.where("least(low_x, low_y) <> greatest(high_x, high_y)").select("x", "y")
-    for side in "xy":
-        meets = meets.join(packed.select(F.col("block").alias(side), F.col("items").alias(f"items_{side}")), side)
+    meets = meets.where("least(low_x, low_y) <> greatest(high_x, high_y)")
+    sides = meets.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")).join(packed.select("block", "items"), "block")
     width = 32 + 4 + LONG
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        row = group.iloc[0]
-        left, right = (np.frombuffer(b"".join(row[name]), np.uint8).reshape(-1, width) for name in ("items_x", "items_y"))
-        pairs = _meeting_pairs(left, None if row["x"] == row["y"] else right, best)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+        blocks = [np.frombuffer(b"".join(x[:width] for x in items), np.uint8).reshape(-1, width) for items in group["items"]]
+        sets = [np.frombuffer(x[width:], np.uint64) for items in group["items"] for x in items]
+        links = _meeting_pairs(blocks[0], blocks[1] if len(blocks) > 1 else None, best, sets)
+        return pd.DataFrame(links, columns=["a", "b"])
 
-    return meets.groupBy("x", "y").applyInPandas(compare, "a binary, b binary").distinct()
+    return sides.groupBy("x", "y").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -423,12 +436,10 @@ def _with_roots(docs: DataFrame) -> DataFrame:
     rest = materialise(_mixed_buckets(candidates, labels), "near_rest_members")
     tried = stars.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
     homes, meets = _blocks(rest.where("large"), texts)
-    pairs = _small_pairs(rest.where("not large")).unionByName(_block_pairs(homes, meets, labels, True)).distinct()
-    pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "near_rest")
-    labels = _merged(labels, materialise(_verified(pairs, texts), "near_links"))
-    tried = tried.select("a", "b").unionByName(pairs)
-    last = materialise(_block_pairs(homes, meets, labels, False).join(tried, ["a", "b"], "left_anti"), "near_last")
-    labels = _merged(labels, materialise(_verified(last, texts), "near_links"))
+    pairs = materialise(_small_pairs(rest.where("not large")).join(tried, ["a", "b"], "left_anti"), "near_rest")
+    links = _verified(pairs, texts).unionByName(_block_links(homes, meets, labels, True))
+    labels = _merged(labels, materialise(links, "near_links"))
+    labels = _merged(labels, materialise(_block_links(homes, meets, labels, False), "near_links"))
 
     named = nodes.select("node", "least")
     if labels is not None:
