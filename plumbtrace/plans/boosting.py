@@ -1,12 +1,13 @@
 """Gradient-boosted trees over shared histograms: one logistic tree a round for two classes, K soft-max trees for more.
 
-Features become bins at quantiles of all training rows. Rows are packed into blocks (bins, label, weight,
-hash of the key, margins) and stored. The first pass of a round moves the margins by the trees of the round before and
-keeps them, with gradients and curvatures, in Spark's cache. A pass routes every row through the trees of the running
-round and adds up, for all classes at once, gradients and curvatures by (class, node, feature, bin); the tasks' arrays
-are added where there are few tasks by the driver, otherwise per slot by a shuffle. The driver sees the sums of one level only,
-picks the splits, and knows the values of the children from the same sums, so that a round of depth D takes D passes.
-Margins are stored every `STORE_EVERY` rounds, which ends the chain of cached tables.
+Features become bins at quantiles of all training rows. Rows are packed into blocks of cells (`plans/cells.py`): rows
+with equal bins, label and weight have equal margins, so they share gradients, each counted as often as its rows are drawn.
+The first pass of a round moves the margins by the trees of the round before and keeps them, with gradients and curvatures,
+in Spark's cache. A pass routes every cell through the trees of the running round and adds up, for all classes at
+once, gradients and curvatures by (class, node, feature, bin); the tasks' arrays are added where there are few tasks by the
+driver, otherwise per node by a shuffle. The driver sees the sums of one level only, picks the splits, and knows the values of
+the children from the same sums, so that a round of depth D takes D passes. Keys are read every `STORE_EVERY` rounds only: the
+draws of these rounds are then added up by cell, and the margins beside the keys catch up with the trees since.
 
 Gradients are whole multiples of 2 ** -20, so sums don't depend on the order of rows or on partitions. Rows and
 columns of a round are drawn by hashes of the row's key, the round and the class.
@@ -19,13 +20,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbtrace.sources.scratch import materialise
+from plumbtrace.plans.cells import cell_blocks, cell_rows, of_cells
 
-STORE_EVERY = 10
-BLOCK = 8192
+#: So many rounds, margins move in blocks without keys, which know the draws of these rounds; and cells of such a block.
+STORE_EVERY, CELLS = 10, 65_536
 UNIT = float(1 << 20)
 QUANTILE_ACCURACY = 10_000
 
@@ -118,10 +119,10 @@ def probabilities(margins: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def gradients(margins: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """First and second derivatives of the weighted log loss by margin, and the loss."""
+def gradients(margins: np.ndarray, label: np.ndarray, weight: np.ndarray, rows: np.ndarray | int = 1) -> tuple[np.ndarray, np.ndarray, float]:
+    """First and second derivatives of the weighted log loss by margin, and the loss, each row counted `rows` times."""
     p = probabilities(margins)
-    loss = float(-(weight * np.log(np.maximum(p[np.arange(len(label)), label], 1e-15))).sum())
+    loss = float(-(weight * rows * np.log(np.maximum(p[np.arange(len(label)), label], 1e-15))).sum())
     if margins.shape[1] == 1:
         g, h = p[:, 1:] - (label == 1)[:, None], p[:, 1:] * p[:, :1]
     else:
@@ -144,115 +145,104 @@ def best_split(g: np.ndarray, h: np.ndarray, columns: np.ndarray, penalty: float
     return float(gain[f, b]), int(f), int(b), float(left_g[f, b]), float(left_h[f, b])
 
 
-BLOCK_SCHEMA = "bins binary, label binary, weight binary, key binary, margin binary"
-#: What passes of one round share: masked gradients and curvatures, loss and weight of the block.
-ROUND_SCHEMA = f"{BLOCK_SCHEMA}, g binary, h binary, loss double, total double"
 #: Up to so many tasks, the driver adds the sums of a level itself.
 TASKS_TO_DRIVER = 64
 
 
-def _column(batch: pa.RecordBatch, name: str, place: int, kind: str) -> np.ndarray:
-    """The numbers that a block keeps under a name."""
-    return np.frombuffer(batch.column(name)[place].as_buffer(), kind)
+def _moved(b: dict, rounds: list[Trees]) -> np.ndarray:
+    """Margins of a block after the trees of some rounds."""
+    margin = b["margin"].copy()
+    for trees in rounds:
+        for k in range(margin.shape[1]):
+            margin[:, k] += trees.value[k, trees.nodes(b["bins"], k)]
+    return margin
 
 
-def _begun(blocks: DataFrame, last: Trees | None, d: int, margins: int, number: int, row_share: float) -> DataFrame:
-    """Blocks with margins moved by the trees of the round before, and what the passes of round `number` share."""
-    def begin(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in frames:
-            for i in range(f.num_rows):
-                bins, label, weight, key, margin = (
-                    _column(f, n, i, t) for n, t in (("bins", "uint8"), ("label", "int32"), ("weight", "float64"), ("key", "uint64"), ("margin", "float64")))
-                bins, margin = bins.reshape(-1, d), margin.reshape(-1, margins)
-                if last is not None:
-                    margin = margin.copy()
-                    for k in range(margins):
-                        margin[:, k] += last.value[k, last.nodes(bins, k)]
-                g, h, loss = gradients(margin, label, weight)
-                out = ~drawn(key, number, row_share)
-                g[out], h[out] = 0.0, 0.0
-                kept = {n: [f.column(n)[i].as_py()] for n in ("bins", "label", "weight", "key")}
-                yield pa.RecordBatch.from_pydict({
-                    **kept, "margin": [margin.tobytes()], "g": [g.T.tobytes()], "h": [h.T.tobytes()], "loss": [loss], "total": [float(weight.sum())]},
-                    schema=shape)
+def _taken(b: dict, number: int, row_share: float) -> np.ndarray:
+    """How many rows of each cell take part in a round."""
+    return of_cells(drawn(b["key"], number, row_share).astype("int64"), b["first"])
 
-    shape = pa.schema([(n, pa.binary()) for n in ("bins", "label", "weight", "key", "margin", "g", "h")] + [("loss", pa.float64()), ("total", pa.float64())])
-    return blocks.select("bins", "label", "weight", "key", "margin").mapInArrow(begin, ROUND_SCHEMA)
 
+def _ahead(blocks: RDD, numbers: list[int], row_share: float) -> RDD:
+    """Blocks without keys, with the rows that each of the next rounds draws from a cell; short blocks are joined."""
+    def joined(held: list[dict]) -> dict:
+        return {n: np.concatenate([b[n] for b in held], axis=-1 if n == "taken" else 0) for n in held[0]} | {"numbers": numbers}
 
-def _packed(df: DataFrame, features: str, label: str, weight: str | None, keys: list[str], model: BoostedModel) -> DataFrame:
-    rows = df.select(F.col(features).alias("x"), F.col(label).cast("int").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), F.xxhash64(*keys).alias("k"))
+    def ahead(frames: Iterator[dict]) -> Iterator[dict]:
+        held, cells = [], 0
+        for b in frames:
+            taken, rows = np.stack([_taken(b, number, row_share) for number in numbers]), cell_rows(b)
+            held.append({**{n: b[n] for n in ("bins", "label", "weight", "margin")}, "rows": rows, "taken": taken.astype(np.min_scalar_type(int(rows.max())))})
+            cells += len(rows)
+            if cells >= CELLS:
+                yield joined(held)
+                held, cells = [], 0
+        if held:
+            yield joined(held)
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), BLOCK):
-                part = f.iloc[at:at + BLOCK]
-                bins = model.binned(np.stack(part["x"].to_numpy()).astype("float64"))
-                yield pd.DataFrame([{
-                    "bins": bins.tobytes(), "label": part["y"].to_numpy("int32").tobytes(), "weight": part["w"].to_numpy("float64").tobytes(),
-                    "key": part["k"].to_numpy("int64").astype("uint64").tobytes(), "margin": np.zeros((len(part), model.margins)).tobytes()}])
+    return blocks.mapPartitions(ahead)
 
-    return materialise(rows.mapInPandas(pack, BLOCK_SCHEMA), "boosting_rows")
 
+def _begun(blocks: RDD, last: Trees | None, d: int, margins: int, number: int, row_share: float) -> RDD:
+    """Blocks with margins moved by the trees of the round before, and what the passes of round `number` share.
 
-def _level_sums(begun: DataFrame, tasks: int, trees: Trees, level: int, d: int, bins_: int):
+    Gradients of a cell come once for each of its drawn rows, the loss for all of them.
+    """
+    def begin(b: dict) -> dict:
+        margin, rows = b["margin"] if last is None else _moved(b, [last]), cell_rows(b)
+        g, h, loss = gradients(margin, b["label"], b["weight"], rows)
+        taken = (b["taken"][b["numbers"].index(number)] if "taken" in b else _taken(b, number, row_share)).astype("float64")[:, None]
+        return {**b, "margin": margin, "g": np.ascontiguousarray((g * taken).T), "h": np.ascontiguousarray((h * taken).T),
+                "loss": loss, "total": float((b["weight"] * rows).sum())}
+
+    return blocks.map(begin)
+
+
+def _packed(df: DataFrame, features: str, label: str, weight: str | None, keys: list[str], model: BoostedModel) -> RDD:
+    margins = model.margins
+    blocks = cell_blocks(df, F.col(features), F.col(label), F.col(weight) if weight else F.lit(1.0), F.xxhash64(*keys), model.binned)
+    return blocks.map(lambda b: {**b, "margin": np.zeros((len(b["label"]), margins))})
+
+
+def _level_sums(begun: RDD, tasks: int, trees: Trees, level: int, d: int, bins_: int):
     """Sums over the level's nodes: {(class, node): (g, h)} of features x bins, the loss and the total weight."""
     margins, first, width = len(trees.feature), 2 ** level - 1, 2 ** level
     # nodes that may split: the root, and children of nodes that did
     live = np.array([[level == 0 or trees.feature[k, (n - 1) // 2] >= 0 for n in range(first, first + width)] for k in range(margins)])
-    slots = margins * width * d
 
-    def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(blocks: Iterator[dict]) -> Iterator[tuple[int, np.ndarray]]:
         total = np.zeros((margins, width, d, 2 * bins_))
-        extra = np.zeros(2 * bins_)
-        for f in frames:
-            for i in range(f.num_rows):
-                bins = _column(f, "bins", i, "uint8").reshape(-1, d)
-                g, h = (_column(f, n, i, "float64").reshape(margins, -1) for n in "gh")
-                extra[:2] += f.column("loss")[i].as_py(), f.column("total")[i].as_py()
-                for k in range(margins):
-                    node = trees.nodes(bins, k, level) - first
-                    # rows that weren't drawn add nothing; a sure and wrong margin has a gradient without curvature
-                    ok = np.flatnonzero(((g[k] != 0) | (h[k] != 0)) & (node >= 0))
-                    if level:
-                        ok = ok[live[k, node[ok]]]
-                    if not len(ok):
-                        continue
-                    base, gk, hk, used = node[ok] * bins_, g[k, ok], h[k, ok], bins[ok]
-                    for c in range(d):
-                        at = base + used[:, c]
-                        total[k, :, c, :bins_] += np.bincount(at, gk, width * bins_).reshape(width, bins_)
-                        total[k, :, c, bins_:] += np.bincount(at, hk, width * bins_).reshape(width, bins_)
-        total = total.reshape(slots, 2 * bins_)
-        used = np.flatnonzero(total.any(1))
-        values = np.vstack([total[used], extra])
-        offsets = np.arange(len(values) + 1, dtype="int32") * np.int32(2 * bins_)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(np.append(used, -1).astype("int32")), "v": pa.ListArray.from_arrays(offsets, values.reshape(-1))})
-
-    def merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for f in frames:
-            values = f.column("v").values.to_numpy().reshape(-1, 2 * bins_)
-            for s, v in zip(f.column("slot").to_pylist(), values):
-                sums[s] = sums[s] + v if s in sums else v
-        if sums:
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(list(sums), pa.int32()), "v": pa.array(list(sums.values()))})
-
-    schema = "slot int, v array<double>"
-    added = begun.select("bins", "g", "h", "loss", "total").mapInArrow(add, schema)
+        extra = np.zeros(2)
+        for b in blocks:
+            bins = b["bins"]
+            extra += b["loss"], b["total"]
+            for k in range(margins):
+                g, h = b["g"][k], b["h"][k]
+                node = trees.nodes(bins, k, level) - first
+                # cells without a drawn row add nothing; a sure and wrong margin has a gradient without curvature
+                ok = np.flatnonzero(((g != 0) | (h != 0)) & (node >= 0))
+                if level:
+                    ok = ok[live[k, node[ok]]]
+                if not len(ok):
+                    continue
+                base, gk, hk, used = node[ok] * bins_, g[ok], h[ok], bins[ok]
+                for c in range(d):
+                    at = base + used[:, c]
+                    total[k, :, c, :bins_] += np.bincount(at, gk, width * bins_).reshape(width, bins_)
+                    total[k, :, c, bins_:] += np.bincount(at, hk, width * bins_).reshape(width, bins_)
+        yield -1, extra
+        for k in range(margins):
+            for n in np.flatnonzero(total[k].any((1, 2))).tolist():
+                yield k * width + n, total[k, n]
+
+    added = begun.mapPartitions(add)
     if tasks > TASKS_TO_DRIVER:
-        added = added.repartition(max(1, -(-slots // 256)), "slot").mapInArrow(merge, schema)
-    table = added.toArrow()
-    sums = np.zeros((slots + 1, 2 * bins_))
-    for part in table.to_batches():
-        # -1, loss and weight, is the last row
-        np.add.at(sums, part.column("slot").to_numpy(), part.column("v").flatten().to_numpy().reshape(-1, 2 * bins_))
-    out = {}
-    for slot in np.flatnonzero(sums[:-1].any(1)).tolist():
-        k, node, c = slot // (width * d), slot // d % width, slot % d
-        g, h = out.setdefault((k, first + node), (np.zeros((d, bins_)), np.zeros((d, bins_))))
-        g[c], h[c] = sums[slot, :bins_] / UNIT, sums[slot, bins_:] / UNIT
-    return out, (sums[-1, 0], sums[-1, 1])
+        added = added.reduceByKey(np.add, max(1, margins * width // 64))
+    sums: dict[int, np.ndarray] = {}
+    for slot, v in added.collect():
+        sums[slot] = sums[slot] + v if slot in sums else v
+    loss, total = sums.pop(-1, np.zeros(2))
+    return {(s // width, first + s % width): (sums[s][:, :bins_] / UNIT, sums[s][:, bins_:] / UNIT) for s in sorted(sums)}, (loss, total)
 
 
 def bin_edges(df: DataFrame, features: str, size: int, bins: int) -> list[np.ndarray]:
@@ -273,21 +263,31 @@ def fit_boosted(df: DataFrame, features: str, size: int, label: str, classes: in
     curvature sum, and children need a curvature of `least`. `losses` holds the mean weighted log loss before each round.
     """
     model = BoostedModel(bin_edges(df, features, size, bins), classes)
-    # a round's table is cached; what an executor loses is made again from the table stored last
-    blocks, last, before = _packed(df, features, label, weight, keys, model), None, None
-    tasks = blocks.rdd.getNumPartitions()
+    # what an executor loses is made again from the rows and the trees
+    blocks, kept = _packed(df, features, label, weight, keys, model).persist(StorageLevel.MEMORY_AND_DISK), []
+    tasks = blocks.getNumPartitions()
     columns_of = np.arange(size, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
     for r in range(rounds):
         trees = Trees.empty(model.margins, depth)
         number = seed * 1_000_003 + r
         columns = [drawn(columns_of + np.uint64(k + 1), number, column_share) for k in range(model.margins)]
         columns = [c if c.any() else np.ones(size, bool) for c in columns]
-        begun = _begun(blocks, last, size, model.margins, number, row_share).persist()
+        # tables that are read for the last time while the first sums of this round are made
+        old = kept
+        if r % STORE_EVERY == 0:
+            if r:
+                since, old = model.rounds[-STORE_EVERY:], [*kept, blocks]
+                blocks = blocks.map(lambda b, since=since: {**b, "margin": _moved(b, since)}).persist(StorageLevel.MEMORY_AND_DISK)
+            given, last = _ahead(blocks, [seed * 1_000_003 + i for i in range(r, min(r + STORE_EVERY, rounds))], row_share), None
+        else:
+            given, last = kept[0], model.rounds[-1]
+        begun = _begun(given, last, size, model.margins, number, row_share).persist(StorageLevel.MEMORY_AND_DISK)
+        kept = [begun]
         for level in range(depth):
             sums, (loss, total) = _level_sums(begun, tasks, trees, level, size, bins)
             if level == 0:
-                if before is not None:
-                    before.unpersist()
+                for table in old:
+                    table.unpersist()
                 model.losses.append(loss / max(total, 1e-300))
             split = False
             for (k, node), (g, h) in sums.items():
@@ -304,10 +304,6 @@ def fit_boosted(df: DataFrame, features: str, size: int, label: str, classes: in
             if not split:
                 break
         model.rounds.append(trees)
-        blocks, last, before = begun, trees, begun
-        if (r + 1) % STORE_EVERY == 0 and r + 1 < rounds:
-            blocks = materialise(begun.select("bins", "label", "weight", "key", "margin"), "boosting_rows")
-            tasks = blocks.rdd.getNumPartitions()
-    if before is not None:
-        before.unpersist()
+    for table in [*kept, blocks]:
+        table.unpersist()
     return model
