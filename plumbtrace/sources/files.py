@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 INDEX_PREFIX = "Unnamed"
@@ -207,7 +211,93 @@ def latest_artifacts(files: DataFrame, path: str = "path", content: str = "conte
     ).drop("priority")
 
 
+#: Files of more bytes are not read as one value.
+WHOLE_FILE = 64 << 20
+#: Bytes of a piece of a large file.
+PIECE = 1 << 20
+MARK = b"\xef\xbb\xbf"
+
+
 def input_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size of every input file, computed where the file is read."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """SHA-256 and size of every input file.
+
+    A file of up to `WHOLE_FILE` bytes is hashed where it is read. A larger one is read in splits as lines that end in a line feed,
+    whatever their bytes, packed to pieces, and hashed piece by piece in file order by one task, as the digest demands; a value
+    holds a piece, or a line if that is longer. Where lines and file don't have the same size, the query fails.
+    Files that Spark would unpack because of their name's ending are read whole at any size.
+    """
+    def whole(files: DataFrame) -> DataFrame:
+        return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+    reader, large = spark.read.format("binaryFile"), F.col("length") > WHOLE_FILE
+    found = reader.load(path).select("path", "length", "_metadata.file_path", F.col("path").rlike(PACKED).alias("packed")).where(large).collect()
+    named, packed = [r for r in found if not r["packed"]], [r["path"] for r in found if r["packed"]]
+    if not named:
+        return whole(reader.load(path))
+    # a plain bound on the length keeps the reader from opening larger files
+    small = whole(reader.load(path).where(~large))
+    if packed:
+        small = small.unionByName(whole(reader.load(packed)))
+    lines = spark.read.option("lineSep", "\n").text([r["path"] for r in named]).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    dealt = lines.mapInArrow(_pieces, "file string, start long, number long, piece binary").repartition(len(named), "file").sortWithinPartitions("file", "start", "number")
+    known = {r["file_path"]: (r["path"], r["length"]) for r in named}
+    return small.unionByName(dealt.mapInArrow(lambda frames: _digests(frames, known), small.schema))
+
+
+#: Endings that make Spark's line reader unpack a file.
+PACKED = r"\.(?i:gz|bz2|deflate|lz4|snappy|zst|zstd)$"
+
+
+def _pieces(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their line feeds as pieces of some `PIECE` bytes, numbered inside each split."""
+    at, number, held, size = None, 0, [], 0
+
+    def piece() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"file": [at[0]], "start": [at[1]], "number": [number], "piece": [b"".join(held)]}, schema=PIECES)
+
+    for f in frames:
+        for file, start, line in zip(f.column("file").to_pylist(), f.column("start").to_pylist(), f.column("line").to_pylist()):
+            if at != (file, start):
+                if held:
+                    yield piece()
+                at, number, held, size = (file, start), 0, [], 0
+            held += line, b"\n"
+            size += len(line) + 1
+            if size >= PIECE:
+                yield piece()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield piece()
+
+
+PIECES = pa.schema([("file", pa.string()), ("start", pa.int64()), ("number", pa.int64()), ("piece", pa.binary())])
+
+
+def _digests(frames: Iterator[pa.RecordBatch], known: dict[str, tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+    """The digest of each file from its pieces in order."""
+    file, digest, left, sizes = None, None, b"", 0
+
+    def ended() -> pa.RecordBatch:
+        path, length = known[file]
+        # the last line of a file may lack the line feed, and the reader leaves out a mark at the file's start
+        marked = length - sizes in (2, 3)
+        whole = digest[1 if marked else 0]
+        rest = length - sizes - (3 if marked else 0)
+        if rest not in (0, -1):
+            raise ValueError(f"{path}: {length} bytes, but lines of {sizes}")
+        whole.update(left if rest == 0 else left[:-1])
+        return pa.RecordBatch.from_pydict({"path": [path], "length": [length], "sha256": [whole.hexdigest()]})
+
+    for f in frames:
+        for name, piece in zip(f.column("file").to_pylist(), f.column("piece")):
+            if name != file:
+                if file is not None:
+                    yield ended()
+                file, digest, left, sizes = name, (hashlib.sha256(), hashlib.sha256(MARK)), b"", 0
+            for d in digest:
+                d.update(left)
+            left = piece.as_py()
+            sizes += len(left)
+    if file is not None:
+        yield ended()
