@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbtrace.plans.cells import cell_blocks, cell_rows, of_cells
+from plumbtrace.plans.cells import bin_numbers, cell_blocks, cell_rows, of_cells
 
 #: So many rounds, margins move in blocks without keys, which know the draws of these rounds; and cells of such a block.
 STORE_EVERY, CELLS = 10, 65_536
@@ -86,7 +86,7 @@ class BoostedModel:
         return 1 if self.classes == 2 else self.classes
 
     def binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(self.edges)], axis=1).astype("uint8")
+        return bin_numbers(self.edges, x)
 
     def batch(self, features: np.ndarray) -> np.ndarray:
         """Probabilities of a matrix, or of any stack of matrices."""
